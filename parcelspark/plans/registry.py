@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import panel_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-FLAGSHIP = problems.p2_found
+QUERIES = {**problems.QUERIES, **panel_queries.QUERIES}
+SQL = {**problems.SQL, **panel_queries.SQL}
+FLAGSHIP = panel_queries.particle_score

@@ -27,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if isinstance(v, (list, np.ndarray)):
             return tuple(cell(x) for x in v)
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return "null"
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
@@ -48,7 +48,8 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     a, b = rows(a), rows(b)
     if a == b:
         return ""
-    extra, missing = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    extra, missing = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
     return f"{len(a)} and {len(b)} rows; extra {extra}, missing {missing}"
 
 
