@@ -28,26 +28,26 @@ def island_units(assignment: DataFrame, values: DataFrame, keys: list[str], valu
 
 
 def tail_sets(assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
-    """side, size, unit_id: growing sets of 2..ceil(share · n) lowest (left) and highest (right) units of each cluster."""
+    """end, size, unit_id: growing sets of 2..ceil(share · n) lowest (left) and highest (right) units of each cluster."""
     on = [c for c in values.columns if c in (*keys, "unit_id")]
     rows = assignment.join(values.select(*on, value), on)
     w = Window.partitionBy(*keys, "cluster_id")
     ranked = rows.withColumn("most", F.ceil(F.count(F.lit(1)).over(w) * share).cast("int"))
-    sides = [ranked.withColumn("side", F.lit(s)).withColumn("rank", F.row_number().over(w.orderBy(o, "unit_id"))) for s, o in (("left", F.asc(value)), ("right", F.desc(value)))]
+    sides = [ranked.withColumn("end", F.lit(s)).withColumn("rank", F.row_number().over(w.orderBy(o, "unit_id"))) for s, o in (("left", F.asc(value)), ("right", F.desc(value)))]
     both = sides[0].unionByName(sides[1]).where((F.col("most") >= 2) & (F.col("rank") <= F.col("most")))
     sizes = F.explode(F.sequence(F.greatest(F.col("rank"), F.lit(2)), F.col("most"))).alias("size")
-    return both.select(*keys, "cluster_id", "side", sizes, "unit_id")
+    return both.select(*keys, "cluster_id", "end", sizes, "unit_id")
 
 
 def merges(edges: DataFrame, assignment: DataFrame, keys: list[str]) -> DataFrame:
-    """Each pair of adjacent clusters becomes one, under the lower label."""
+    """Parts: each pair of adjacent clusters becomes one."""
     pairs = cluster_adjacency(edges, assignment, keys)
     touched = pairs.select(*keys, "c1", "c2", F.explode(F.array("c1", "c2")).alias("cluster_id"))
-    return touched.join(assignment, [*keys, "cluster_id"]).select(*keys, _named("merge", "c1", "c2").alias("cand"), "unit_id", F.col("c1").alias("cluster_id"))
+    return touched.join(assignment, [*keys, "cluster_id"]).select(*keys, _named("merge", "c1", "c2").alias("cand"), "unit_id", F.lit(1).alias("part"))
 
 
-def _cut_rest(edges: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
-    """parts: keys, cand, unit_id, part. Each part is cut into its components; the new labels are negative."""
+def cut(edges: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates from parts (keys, cand, unit_id, part): each part is cut into its components; the new labels are negative. One call serves all families."""
     by = [*keys, "cand"]
     a = parts.select(*by, F.col("unit_id").alias("src"), F.col("part").alias("p"))
     b = parts.select(*by, F.col("unit_id").alias("dst"), F.col("part").alias("q"))
@@ -55,21 +55,20 @@ def _cut_rest(edges: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
     return components(parts, inner.select(*by, "src", "dst"), by).select(*by, "unit_id", (-F.col("component")).alias("cluster_id"))
 
 
-def islands(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.05) -> DataFrame:
-    """Each unit of island_units alone; the rest of its cluster in components."""
+def islands(assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.05) -> DataFrame:
+    """Parts: each unit of island_units alone, and the rest of its cluster."""
     chosen = island_units(assignment, values, keys, value, share).select(*keys, "cluster_id", F.col("unit_id").alias("alone"))
-    parts = chosen.join(assignment, [*keys, "cluster_id"]).select(*keys, _named("island", "alone").alias("cand"), "unit_id", (F.col("unit_id") == F.col("alone")).cast("int").alias("part"))
-    return _cut_rest(edges, parts, keys)
+    return chosen.join(assignment, [*keys, "cluster_id"]).select(*keys, _named("island", "alone").alias("cand"), "unit_id", (F.col("unit_id") == F.col("alone")).cast("int").alias("part"))
 
 
 def borders(edges: DataFrame, assignment: DataFrame, keys: list[str]) -> DataFrame:
-    """A unit of a cluster of over one unit goes to an adjacent cluster; what it leaves in components."""
+    """Parts: a unit of a cluster of over one unit goes to an adjacent cluster, and what it leaves."""
     sizes = assignment.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     movers = neighbour_clusters(edges, assignment, keys).join(sizes.where(F.col("n") > 1), [*keys, "cluster_id"]).select(*keys, "cluster_id", "neighbour", F.col("unit_id").alias("mover"))
     name = _named("border", "mover", "neighbour").alias("cand")
     touched = movers.select(*keys, name, "mover", "neighbour", F.explode(F.array("cluster_id", "neighbour")).alias("cluster_id")).join(assignment, [*keys, "cluster_id"])
     goes = (F.col("unit_id") == F.col("mover")) | (F.col("cluster_id") == F.col("neighbour"))
-    return _cut_rest(edges, touched.select(*keys, "cand", "unit_id", goes.cast("int").alias("part")), keys)
+    return touched.select(*keys, "cand", "unit_id", goes.cast("int").alias("part"))
 
 
 def kmeans_splits(assignment: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -89,17 +88,15 @@ def kmeans_splits(assignment: DataFrame, values: DataFrame, keys: list[str], val
     return rows.withColumn("cut", -best["minus"]).select(*keys, "cluster_id", "unit_id", (F.col("rank") > F.col("cut")).cast("int").alias("part"))
 
 
-def splits(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Clusters cut by kmeans_splits, both parts in components."""
-    parts = kmeans_splits(assignment, values, keys, value).select(*keys, _named("split", "cluster_id").alias("cand"), "unit_id", "part")
-    return _cut_rest(edges, parts, keys)
+def splits(assignment: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Parts of the clusters cut by kmeans_splits."""
+    return kmeans_splits(assignment, values, keys, value).select(*keys, _named("split", "cluster_id").alias("cand"), "unit_id", "part")
 
 
-def tails(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
-    """A tail of tail_sets apart from the rest of its cluster, both in components."""
+def tails(assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
+    """Parts: a tail of tail_sets, and the rest of its cluster."""
     sets = tail_sets(assignment, values, keys, value, share)
-    names = sets.select(*keys, "cluster_id", "side", "size").distinct()
+    names = sets.select(*keys, "cluster_id", "end", "size").distinct()
     all_units = names.join(assignment, [*keys, "cluster_id"])
-    marked = all_units.join(sets.withColumn("part", F.lit(1)), [*keys, "cluster_id", "side", "size", "unit_id"], "left")
-    parts = marked.select(*keys, _named("tail", "cluster_id", "side", "size").alias("cand"), "unit_id", F.coalesce("part", F.lit(0)).alias("part"))
-    return _cut_rest(edges, parts, keys)
+    marked = all_units.join(sets.withColumn("part", F.lit(1)), [*keys, "cluster_id", "end", "size", "unit_id"], "left")
+    return marked.select(*keys, _named("tail", "cluster_id", "end", "size").alias("cand"), "unit_id", F.coalesce("part", F.lit(0)).alias("part"))

@@ -452,9 +452,7 @@ def merge_candidates(spark, sf_dir):
 
 @query("SELECT run_id, particle_id, side, cluster_id, tail, size, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, particle_id, side, cluster_id, tail ORDER BY CASE WHEN tail = 'left' THEN value ELSE -value END, unit_id) AS rank, ceil(count(*) OVER (PARTITION BY run_id, particle_id, side, cluster_id, tail) * 0.1)::INT AS most FROM class, (SELECT unnest(['left', 'right']) AS tail)) r JOIN (SELECT unnest(range(2, 101))::INT AS size) z ON size <= most AND rank <= size")
 def tail_sets(spark, sf_dir):
-    asg = _asg(spark, sf_dir).withColumnRenamed("side", "side_")
-    values = _values(spark, sf_dir).withColumnRenamed("side", "side_")
-    return moves.tail_sets(asg, values, ["run_id", "particle_id", "side_"], "value").withColumnRenamed("side", "tail").withColumnRenamed("side_", "side")
+    return moves.tail_sets(_asg(spark, sf_dir), _values(spark, sf_dir), SIDE, "value").withColumnRenamed("end", "tail")
 
 
 # Incidents
