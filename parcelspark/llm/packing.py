@@ -115,10 +115,10 @@ def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n
     if len(known) > most_specs:
         raise ValueError(f"more than {most_specs} specs")
     each = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for s, c in known]) if known else F.array().cast("array<struct<spec_id:int,capacity:bigint>>")
-    whole = sizes.select(F.col(key), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_whole"), F.explode(each).alias("s"))
+    whole = sizes.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_whole"), F.explode(each).alias("s"))
     pieces = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("_whole") / F.col("s.capacity")) - 1, F.lit(0)).cast("bigint"))
-    cut = whole.select(F.col("s.spec_id").alias("spec_id"), F.col("s.capacity").alias("capacity"), key, "_whole", F.explode(pieces).alias("piece"))
-    items = cut.select("spec_id", "capacity", key, "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.least(F.col("capacity"), F.col("_whole") - F.col("piece") * F.col("capacity")).alias("n_tokens"))
+    cut = whole.select(F.col("s.spec_id").alias("spec_id"), F.col("s.capacity").alias("capacity"), "_key", "_whole", F.explode(pieces).alias("piece"))
+    items = cut.select("spec_id", "capacity", "_key", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.least(F.col("capacity"), F.col("_whole") - F.col("piece") * F.col("capacity")).alias("n_tokens"))
 
     counts = items.groupBy("spec_id", "capacity", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,18 +131,18 @@ def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n
     parts = max(PARTS, (facts[1] or 0) // PART)
 
     # Rank of an item among those of its size: ranks within parts, and where each part begins.
-    salted = items.withColumn("part", F.pmod(F.xxhash64(F.col(key), F.col("piece")), F.lit(parts)))
+    salted = items.withColumn("part", F.pmod(F.xxhash64("_key", "piece"), F.lit(parts)))
     held = salted.groupBy("spec_id", "n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
     by_size = Window.partitionBy("spec_id", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = held.select("spec_id", "n_tokens", "part", F.coalesce(F.sum("n").over(by_size), F.lit(0)).alias("begin"))
-    by_part = Window.partitionBy("spec_id", "n_tokens", "part").orderBy(key, "piece")
+    by_part = Window.partitionBy("spec_id", "n_tokens", "part").orderBy("_key", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(by_part) - 1).join(begins, ["spec_id", "n_tokens", "part"])
     ranked = ranked.withColumn("at", F.col("begin") + F.col("rank"))
     side = plans.select(F.col("spec_id").alias("_s"), F.col("n_tokens").alias("_t"), "first", "last", "container", "per")
     if facts[0] <= BROADCAST_ROWS:
         side = F.broadcast(side)
     placed = ranked.join(side, (F.col("spec_id") == F.col("_s")) & (F.col("n_tokens") == F.col("_t")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
-    return placed.select("spec_id", key, "piece", "first_token", "n_tokens", (F.col("container") + F.floor((F.col("at") - F.col("first")) / F.col("per"))).alias("container"))
+    return placed.select("spec_id", F.col("_key").alias(key), "piece", "first_token", "n_tokens", (F.col("container") + F.floor((F.col("at") - F.col("first")) / F.col("per"))).alias("container"))
 
 
 def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
