@@ -21,7 +21,7 @@ class EntityFeatures:
         """entity, kind, total, latest: the wide table's totals as rows, and those of unlisted kinds."""
         entity = self.wide.columns[0]
         cells = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`total|{k}`").alias("total"), F.col(f"`latest|{k}`").alias("latest")) for k in self.kinds])
-        rows = self.wide.select(entity, F.explode(cells).alias("c")).select(entity, "c.*").where(F.col("total") > 0)
+        rows = self.wide.select(F.col(f"`{entity}`"), F.explode(cells).alias("_c")).select(F.col(f"`{entity}`"), "_c.*").where(F.col("total") > 0)
         return rows.unionByName(self.unlisted)
 
 
@@ -36,8 +36,9 @@ def entity_features(events: DataFrame, entity: str, kind: str, period: str, kind
     A kind outside the list counts in total and latest, and in `unlisted`, but has no column.
     An empty table gives empty results.
     """
-    known = events.where(F.col(entity).isNotNull() & F.col(kind).isNotNull() & F.col(period).isin(periods))
-    long = known.groupBy(F.col(entity), F.col(kind).alias("kind"), F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    known = events.select(F.col(entity).alias("_entity"), F.col(kind).alias("kind"), F.col(period).alias("period"))
+    known = known.where(F.col("_entity").isNotNull() & F.col("kind").isNotNull() & F.col("period").isin(periods))
+    long = known.groupBy("_entity", "kind", "period").agg(F.count(F.lit(1)).alias("n"))
     listed = F.col("kind").isin(kinds)
     names = [f"n|{k}|{p}" for k in kinds for p in periods] + [f"{a}|{k}" for a in ("total", "latest") for k in kinds] + ["total", "latest"]
     name = lambda *parts: F.concat_ws("|", *parts)
@@ -48,9 +49,10 @@ def entity_features(events: DataFrame, entity: str, kind: str, period: str, kind
         F.struct(F.lit("total").alias("name"), F.col("n").alias("value"), F.lit(0).cast("bigint").alias("latest")),
         F.struct(F.lit("latest").alias("name"), F.lit(0).cast("bigint").alias("value"), F.col("period").cast("bigint").alias("latest")),
     )
-    cells = long.select(entity, F.explode(features).alias("f")).select(entity, "f.*").where(F.col("name").isNotNull())
-    cells = cells.groupBy(entity, "name").agg(F.greatest(F.sum("value"), F.max("latest")).alias("v"))
-    wide = cells.groupBy(entity).pivot("name", names).agg(F.first("v"))
+    cells = long.select("_entity", F.explode(features).alias("f")).select("_entity", "f.*").where(F.col("name").isNotNull())
+    cells = cells.groupBy("_entity", "name").agg(F.greatest(F.sum("value"), F.max("latest")).alias("v"))
+    wide = cells.groupBy("_entity").pivot("name", names).agg(F.first("v"))
     wide = wide.na.fill(0, [f"`{n}`" for n in names if not n.startswith("latest")])
-    unlisted = long.where(~listed).groupBy(entity, "kind").agg(F.sum("n").alias("total"), F.max("period").cast("bigint").alias("latest"))
-    return EntityFeatures(long, wide, unlisted, kinds)
+    unlisted = long.where(~listed).groupBy("_entity", "kind").agg(F.sum("n").alias("total"), F.max("period").cast("bigint").alias("latest"))
+    named = lambda df: df.withColumnRenamed("_entity", entity)
+    return EntityFeatures(named(long), named(wide), named(unlisted), kinds)

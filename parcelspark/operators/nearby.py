@@ -184,7 +184,7 @@ def metres(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def match_cover(points: DataFrame, x: str, y: str, cover: DataFrame, exact: Column) -> DataFrame:
-    """The points joined with the shapes that hold them: all columns of points, and shape_id.
+    """The points joined with the shapes that hold them: all columns of points, and shape_id (which takes the place of a column of that name).
 
     Points look up their cell of each level that the cover uses (equi-join); matches of inner
     cells are accepted, those of outline cells take the test `exact`, a column over x, y and the
@@ -203,4 +203,4 @@ def match_cover(points: DataFrame, x: str, y: str, cover: DataFrame, exact: Colu
     cells = F.array(*[cell_of(F.col(x), F.col(y), k) for k in levels]) if levels else F.array().cast("array<bigint>")
     found = known.withColumn("_cell", F.explode(cells)).join(side, F.col("_cell") == F.col("cover_cell"))
     found = found.where(F.col("cover_inside") | exact)
-    return found.select(*points.columns, F.col("cover_shape_id").alias("shape_id"))
+    return found.select(*[F.col(f"`{c}`") for c in points.columns if c != "shape_id"], F.col("cover_shape_id").alias("shape_id"))

@@ -6,29 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A number: optional minus, ASCII digits, optional point and digits, optional exponent.
-NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 #: Stand-ins while a quoted field is cut at its commas; MARK itself is doubled up first, so any text survives.
 MARK, OWN, COMMA = "\u0001", "\u0001a", "\u0001b"
 
 
-def split_fields(line: Column) -> tuple[Column, Column]:
-    """(fields, broken) of a record whose fields are separated by commas.
+def bare_line(line: Column) -> Column:
+    """The line without one carriage return at its end."""
+    return F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
+def split_fields(bare: Column, pieces: Column) -> tuple[Column, Column]:
+    """(fields, broken) of a record whose fields are separated by commas; pieces: bare, split at its double quotes.
 
     A field holds no double quote, or starts and ends with one and has each inner one twice;
     fields come out with their quotes. broken is true where the quoting is not of that form.
-    The text is cut at its quotes: every other piece is inside of one, the commas there are
-    content. Both are plain expressions, linear in the length of the line.
+    Every other piece is inside of quotes, the commas there are content. Both are plain
+    expressions, linear in the length of the line (nothing of the whole line within a lambda).
     """
-    bare = F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
-    pieces = F.split(bare, '"', -1)
-    last = F.size(pieces) - 1
-    inner_ok = lambda p: (p == "") | (p.startswith(",") & p.endswith(","))
-    outside = F.filter(pieces, lambda p, i: (i % 2 == 0) & (i > 0) & (i < last))
+    outer = F.filter(pieces, lambda p, i: (i % 2 == 0) & (i > 0))
+    between = F.slice(outer, F.lit(1), F.greatest(F.size(outer) - 1, F.lit(0)))
     first_piece, last_piece = F.element_at(pieces, 1), F.element_at(pieces, -1)
-    good = (last % 2 == 0) & ((first_piece == "") | first_piece.endswith(",")) & ((last_piece == "") | last_piece.startswith(",")) & F.forall(outside, inner_ok)
+    good = (F.size(pieces) % 2 == 1) & ((first_piece == "") | first_piece.endswith(",")) & ((last_piece == "") | last_piece.startswith(",")) & F.forall(between, lambda p: (p == "") | (p.startswith(",") & p.endswith(",")))
     safe = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(F.replace(p, F.lit(MARK), F.lit(OWN)), F.lit(","), F.lit(COMMA))).otherwise(F.replace(p, F.lit(MARK), F.lit(OWN))))
     back = lambda f: F.replace(F.replace(f, F.lit(COMMA), F.lit(",")), F.lit(OWN), F.lit(MARK))
-    quoted = F.contains(bare, F.lit('"'))
+    quoted = F.size(pieces) > 1
     fields = F.when(quoted, F.transform(F.split(F.array_join(safe, '"'), ",", -1), back)).otherwise(F.split(bare, ",", -1))
     return fields, quoted & ~good
 
@@ -44,11 +46,12 @@ def parse_records(df: DataFrame, line: str, names: list[str]) -> DataFrame:
 
     Reasons: "null line", "broken quoting", "wrong number of fields".
     """
-    fields, broken = split_fields(F.col(line))
+    fields, broken = split_fields(F.col("_bare"), F.col("_pieces"))
+    df = df.withColumn("_bare", bare_line(F.col(line))).withColumn("_pieces", F.split("_bare", '"', -1))
     df = df.withColumn("_fields", fields).withColumn("_broken", broken)
     shape = F.when(F.col(line).isNull(), "null line").when(F.col("_broken"), "broken quoting").when(F.size("_fields") != len(names), "wrong number of fields")
     df = df.withColumn("_shape", shape)
-    return df.withColumn("f", F.when(F.col("_shape").isNull(), F.struct(*[content(F.col("_fields")[i]).alias(n) for i, n in enumerate(names)]))).drop("_fields", "_broken")
+    return df.withColumn("f", F.when(F.col("_shape").isNull(), F.struct(*[content(F.col("_fields")[i]).alias(n) for i, n in enumerate(names)]))).drop("_bare", "_pieces", "_fields", "_broken")
 
 
 def number_rule(name: str, limit: float) -> tuple[str, Column]:

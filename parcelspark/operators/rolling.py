@@ -18,13 +18,13 @@ def rolling_totals(events: DataFrame, entity: str, day: str, first: str, last: s
     begin, end = F.lit(first).cast("date"), F.lit(last).cast("date")
     amount = F.count(F.lit(1)) if value is None else F.sum(F.coalesce(F.col(value), F.lit(0)))
     known = events.where(F.col(entity).isNotNull() & F.col(day).between(begin, end))
-    daily = known.groupBy(F.col(entity), F.col(day).alias("_from")).agg(amount.alias("_n"))
-    spread = daily.select(entity, "_n", "_from", F.explode(F.sequence(F.lit(0), F.lit(max(periods) - 1))).alias("_lag"))
-    spread = spread.select(entity, F.date_add("_from", F.col("_lag")).alias("day"), "_lag", "_n").where(F.col("day") <= end)
+    daily = known.groupBy(F.col(entity).alias("_entity"), F.col(day).alias("_from")).agg(amount.alias("_n"))
+    spread = daily.select("_entity", "_n", "_from", F.explode(F.sequence(F.lit(0), F.lit(max(periods) - 1))).alias("_lag"))
+    spread = spread.select("_entity", F.date_add("_from", F.col("_lag")).alias("day"), "_lag", "_n").where(F.col("day") <= end)
     sums = [F.sum(F.when(F.col("_lag") < p, F.col("_n"))).alias(f"t{p}") for p in periods]
-    totals = spread.groupBy(entity, "day").agg(*sums)
-    calendar = daily.select(entity).distinct().select(entity, F.explode(F.sequence(begin, end)).alias("day"))
-    out = calendar.join(totals, [entity, "day"], "left")
+    totals = spread.groupBy("_entity", "day").agg(*sums)
+    calendar = daily.select("_entity").distinct().select("_entity", F.explode(F.sequence(begin, end)).alias("day"))
+    out = calendar.join(totals, ["_entity", "day"], "left")
     cells = [F.coalesce(F.col(f"t{p}"), F.lit(0)).alias(f"t{p}") for p in periods]
     means = [(F.coalesce(F.col(f"t{p}"), F.lit(0)) / F.lit(float(p))).alias(f"avg{p}") for p in periods]
-    return out.select(entity, "day", *cells, *means)
+    return out.select(F.col("_entity").alias(entity), "day", *cells, *means)
