@@ -14,8 +14,9 @@ def ihs(y: Column) -> Column:
 
 
 def ihs_count(v: Column, exposure: Column) -> Column:
-    """The count behind an ihs density: half-even rounding, negative counts become 0."""
-    return F.greatest(F.bround(F.sinh(v + F.lit(math.log(2))) * exposure), F.lit(0.0))
+    """The count behind an ihs density: half-even rounding, negative counts become 0; null for null."""
+    n = F.bround(F.sinh(v + F.lit(math.log(2))) * exposure)
+    return F.when(n < 0, 0.0).otherwise(n)
 
 
 def square_miles(area_m2: Column) -> Column:

@@ -49,7 +49,8 @@ def scored_particles(assignment: DataFrame, units: DataFrame, edges: DataFrame,
     hyper = default_hyperparameters(units, rho) if hyper is None else hyper
     keys = ["run_id", "particle_id", "side"]
     stats = scored_clusters(assignment, units, edges, hyper, keys, rho)
-    sums = stats.groupBy("run_id", "particle_id").agg(F.sum("quad").alias("quad"), F.sum("log_det").alias("log_det"))
+    whole = F.count("quad") == F.count(F.lit(1))
+    sums = stats.groupBy("run_id", "particle_id").agg(F.when(whole, F.sum("quad")).alias("quad"), F.when(whole, F.sum("log_det")).alias("log_det"))
     prior = prior_py(assignment, keys, eta).groupBy("run_id", "particle_id").agg(F.sum("log_prior").alias("log_prior"))
     rows = sums.join(totals(units, hyper), "run_id").join(prior, ["run_id", "particle_id"])
     like = log_likelihood(*[F.col(c) for c in ("quad", "log_det", "yy", "alpha_sigma", "beta_sigma", "obs")])

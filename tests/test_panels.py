@@ -139,16 +139,16 @@ def test_weights(spark):
 def test_kmeans(spark):
     random.seed(3)
     values = [round(random.gauss(0, 1), 3) for _ in range(11)] + [0.5, 0.5]
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values, 1)], "k int, unit_id int, value double")
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values, 1)], "g int, unit_id int, value double")
     ss = lambda parts: sum(sum((v - sum(p) / len(p)) ** 2 for v in p) for p in parts if p)
-    rows = compare.kmeans_path(df, ["k"], 4).toPandas()
+    rows = compare.kmeans_path(df, ["g"], 4).toPandas()
     ordered = sorted(values)
     for k in (1, 2, 3, 4):
         own = rows[rows.k == k]
         got = ss([[values[u - 1] for u in g.unit_id] for _, g in own.groupby("cluster_id")])
         best = min(ss([ordered[a:b] for a, b in zip((0, *cut), (*cut, len(ordered)))]) for cut in itertools.combinations(range(1, len(ordered)), k - 1))
         assert math.isclose(got, best, abs_tol=1e-9)
-    two = moves.kmeans_splits(df.select("k", "unit_id", F.lit(1).alias("cluster_id")), df, ["k"], "value").toPandas()
+    two = moves.kmeans_splits(df.select("g", "unit_id", F.lit(1).alias("cluster_id")), df, ["g"], "value").toPandas()
     assert math.isclose(ss([[values[u - 1] for u in g.unit_id] for _, g in two.groupby("part")]), min(ss([ordered[:c], ordered[c:]]) for c in range(1, len(ordered))), abs_tol=1e-9)
 
 
