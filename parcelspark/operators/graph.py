@@ -79,16 +79,20 @@ def components(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFr
     """keys, unit_id, component: the least unit of each connected component, in every graph at once.
 
     edges: keys, src, dst, in both directions. Each round takes the least label among the neighbours,
-    then the label of the label, so the rounds grow with the logarithm of the longest path. Rounds
-    are written to the shared folder, which cuts lineage.
+    then the label of the label, so the rounds grow with the logarithm of the longest path. Every
+    second one is written to the shared folder, which cuts lineage.
     """
     edges = written(edges.select(*keys, "src", "dst"), "edges")
     labels = vertices.select(*keys, "unit_id", F.col("unit_id").alias("component"))
-    while True:
+
+    def spread(labels: DataFrame) -> DataFrame:
         near = edges.join(labels.withColumnRenamed("unit_id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("unit_id")).agg(F.min("component").alias("near"))
         low = labels.join(near, [*keys, "unit_id"], "left").select(*keys, "unit_id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = low.select(*keys, F.col("unit_id").alias("low"), F.col("low").alias("far"))
-        labels = written(low.join(jump, [*keys, "low"]).select(*keys, "unit_id", "old", F.least("low", "far").alias("component")), "labels")
+        return low.join(jump, [*keys, "low"]).select(*keys, "unit_id", "old", F.least("low", "far").alias("component"))
+
+    while True:
+        labels = written(spread(spread(labels).drop("old")), "labels")
         if not labels.where(F.col("old") != F.col("component")).limit(1).count():
             return labels.drop("old")
 
