@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .graph import cluster_adjacency, components, neighbour_clusters
 
 
@@ -49,6 +50,7 @@ def merges(edges: DataFrame, assignment: DataFrame, keys: list[str]) -> DataFram
 def cut(edges: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates from parts (keys, cand, unit_id, part): each part is cut into its components; the new labels are negative. One call serves all families."""
     by = [*keys, "cand"]
+    parts = written(parts, "parts")
     a = parts.select(*by, F.col("unit_id").alias("src"), F.col("part").alias("p"))
     b = parts.select(*by, F.col("unit_id").alias("dst"), F.col("part").alias("q"))
     inner = a.join(edges.select("src", "dst"), "src").join(b, [*by, "dst"]).where(F.col("p") == F.col("q"))

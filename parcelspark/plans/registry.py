@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fit_queries, panel_queries, problems
+from . import fit_queries, mean_queries, panel_queries, problems
 
-QUERIES = {**problems.QUERIES, **panel_queries.QUERIES, **fit_queries.QUERIES}
-SQL = {**problems.SQL, **panel_queries.SQL, **fit_queries.SQL}
+QUERIES = {**problems.QUERIES, **panel_queries.QUERIES, **fit_queries.QUERIES, **mean_queries.QUERIES}
+SQL = {**problems.SQL, **panel_queries.SQL, **fit_queries.SQL, **mean_queries.SQL}
 FLAGSHIP = panel_queries.particle_score

@@ -99,7 +99,7 @@ def candidates(problem: Problem, assignment: DataFrame, side: str, share: float
     out = None
     for name in families:
         out = made[name]() if out is None else out.unionByName(made[name]())
-    return moves.cut(problem.edges, written(out, "parts"), KEYS)
+    return moves.cut(problem.edges, out, KEYS)
 
 
 def judged(problem: Problem, now: DataFrame, stats: DataFrame, assignment: DataFrame, cands: DataFrame, side: str) -> DataFrame:

@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parcelspark.operators import compare, graph, joint, kernel, moves, panel, partitions, score, weights
+from parcelspark.operators import compare, graph, joint, kernel, mean_only, moves, panel, partitions, score, weights
 from parcelspark.plans import search
+from parcelspark.sources import generators
 
 
 def lattice(side):
@@ -196,3 +197,44 @@ def test_kernel_identity():
     a = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0.0]])
     m = 0.9 * (np.diag(a.sum(1)) - a) + 0.1 * np.eye(3)
     assert np.allclose(np.linalg.inv(omega), 0.5 * np.linalg.inv(m) + 2.0)
+
+
+def test_mean_only(spark, world):
+    df, asg, hyper, e, x, y, la, lb, edges = world
+    h = spark.createDataFrame([(1, 0.5, 2.0, 3.0, 0.7)], "run_id int, a1 double, a2 double, nu double, lambda double")
+    got = mean_only.mean_only_scores(asg, df, e, h).first()
+    n, t = y.shape
+    s = dense(n, edges, la, 0.5, 2.0, 0.9) + np.eye(n) / t
+    mean = y.mean(1)
+    rest = ((y - mean[:, None]) ** 2).sum()
+    # Squares around the means enter as they are, the means' part on their own scale.
+    want = -0.5 * np.linalg.slogdet(s)[1] - (3.0 + n * t) / 2 * np.log((3.0 * 0.7 + mean @ np.linalg.solve(s, mean) + rest) / 2)
+    assert math.isclose(got["log_like"], want, rel_tol=1e-9)
+    assert math.isclose(got["log_prior"], 3 * math.log(2), rel_tol=1e-9)
+    both = mean_only.equal_sides(asg).toPandas()
+    assert len(both) == 18 and sorted(both[both.side == "B"].cluster_id) == sorted(la)
+
+
+def test_block_candidates(spark, world):
+    df, asg, hyper, e, x, y, la, lb, edges = world
+    values = spark.createDataFrame([(1, i + 1, float(v)) for i, v in enumerate([0, 0, 0, 1, 1, 1, 5, 5, 5])], "run_id int, unit_id int, value double")
+    a = asg.where("side = 'A'")
+    keys = ["run_id", "particle_id", "side"]
+    got = mean_only.candidates(e, a, values, keys).toPandas()
+    assert {"merge:1:2", "merge:2:3", "island:1"} <= set(got.cand)
+    assert not any(c.startswith("block:1:2") for c in got.cand)  # nothing of cluster 2 would be left
+
+
+def test_generators(spark):
+    e = spark.createDataFrame(sorted(lattice(3)), "src int, dst int")
+    near = score.neighbour_lists(e)
+    member = F.collect_list(F.struct(F.col("unit_id").cast("int").alias("unit_id"), "neighbours"))
+    runs = spark.range(1, 401).select(F.col("id").cast("int").alias("run_id"))
+    rows = runs.join(near)
+    packed = rows.groupBy("run_id", F.lit(1).alias("cluster_id")).agg(member.alias("members"), F.lit(3.0).alias("mean"), F.lit(0.5).alias("c1"), F.lit(0.2).alias("c2"))
+    draws = generators.parameters(packed, ["run_id"], rho=0.9, seed=1).toPandas().pivot(index="run_id", columns="unit_id", values="value").to_numpy()
+    want = dense(9, lattice(3), [1] * 9, 0.5, 0.2, 0.9)
+    assert np.abs(np.cov(draws.T) - want).max() < 0.35 and np.abs(draws.mean(0) - 3).max() < 0.2
+    truth = runs.select("run_id", F.lit(1).alias("unit_id"), F.lit(1.0).alias("alpha"), F.lit(0.5).alias("beta"))
+    counts = generators.poisson_panel(truth, 4, seed=2).groupBy("t").agg(F.first("x").alias("x"), F.avg("y").alias("m"), F.var_samp("y").alias("v")).toPandas()
+    assert (abs(counts.m - np.exp(1 + 0.5 * counts.x)) < 0.6).all() and (abs(counts.v / counts.m - 1) < 0.5).all()
