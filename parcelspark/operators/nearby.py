@@ -22,8 +22,8 @@ SIDE = 0.32
 #: Cells are numbered from the origin of the coordinates, up to this number either way.
 REACH = 1 << 29
 EARTH_M = 6_371_008.8
-#: A cover of at most so many rows is broadcast (about 50 MB with the rings); a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: A cover of at most so many rows, with at most so many corners in its rings, is broadcast (under 100 MB); a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_CORNERS = 200_000, 2_000_000
 POLYGON_COVER = "shape_id int, level int, cell bigint, inside boolean, xs array<double>, ys array<double>"
 DISC_COVER = "shape_id int, level int, cell bigint, inside boolean, cx double, cy double"
 
@@ -188,16 +188,17 @@ def match_cover(points: DataFrame, x: str, y: str, cover: DataFrame, exact: Colu
 
     Points look up their cell of each level that the cover uses (equi-join); matches of inner
     cells are accepted, those of outline cells take the test `exact`, a column over x, y and the
-    cover's columns, which begin with cover_. The cover is broadcast if it has at most
-    BROADCAST_ROWS rows, counted, else both sides are shuffled by cell and Spark splits cells
+    cover's columns, which begin with cover_. The cover is broadcast if it is within
+    BROADCAST_ROWS and BROADCAST_CORNERS, counted, else both sides are shuffled by cell and Spark splits cells
     that hold many points. Points with a null or NaN coordinate match nothing. A point in several
     shapes comes out once for each; repeated points come out as often as they occur.
     """
     cover = written(cover, "cover")
-    facts = cover.groupBy("level").count().collect()  # a handful of levels
-    levels, rows = sorted(r["level"] for r in facts), sum(r["count"] for r in facts)
+    corners = F.sum(F.greatest(F.size("xs"), F.lit(0))) if "xs" in cover.columns else F.lit(0)
+    facts = cover.groupBy("level").agg(F.count(F.lit(1)).alias("rows"), corners.alias("corners")).collect()  # a handful of levels
+    levels, rows, corners = sorted(r["level"] for r in facts), sum(r["rows"] for r in facts), sum(r["corners"] or 0 for r in facts)
     side = cover.select(*[F.col(c).alias(f"cover_{c}") for c in cover.columns if c != "level"])
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and corners <= BROADCAST_CORNERS:
         side = F.broadcast(side)
     known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     cells = F.array(*[cell_of(F.col(x), F.col(y), k) for k in levels]) if levels else F.array().cast("array<bigint>")
