@@ -113,7 +113,7 @@ def test_pack(spark, limit, monkeypatch):
 def test_abuse(spark):
     r = random.Random(11)
     plain = "the loader reads a frame and kills the worker process when the packet is stale".split()
-    bad = ["you stupid idiot", "what a dumb moron", "idiot moron get lost"]
+    bad = ["you stupid idiot", "what a dumb moron", "idiot m o r o n get lost"]
     docs, labels = [], []
     for i in range(700):
         words = [r.choice(plain) for _ in range(r.randint(5, 200))]
