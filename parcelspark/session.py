@@ -57,6 +57,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for stages that are heavy per row; an input that is large enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
