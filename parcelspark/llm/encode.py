@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: The pattern of the vocabularies, with the white space of Unicode (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -206,7 +208,7 @@ def _apply(df: DataFrame, key: str, text: str, out: str, kind: str, make, tokeni
                 ids, sizes = encoder.rows(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), make(ids, sizes)], names=[key, out])
 
-    return df.select(F.col(key), words_of(F.col(text)).alias("_words")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, `{out}` {kind}")
+    return spread(df.select(F.col(key), F.col(text).alias("_text"))).select(F.col(key), words_of(F.col("_text")).alias("_words")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, `{out}` {kind}")
 
 
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
