@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,17 +33,18 @@ def _cuts(v: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def kmeans_path(values: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+def kmeans_path(values: DataFrame, keys: list[str], most: int | Callable[[int], int] = 5) -> DataFrame:
     """keys, k, unit_id, cluster_id: the best k classes of value, k = 1..most (no more than distinct units), for each key.
 
     values: keys, unit_id, value; a key's units (one panel) are one group. Null values are left out.
+    most may depend on the number of units.
     """
     types = dict(values.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", k int, unit_id {types['unit_id']}, cluster_id int"
 
     def path(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["value", "unit_id"])
-        made = _cuts(group["value"].to_numpy(float), min(most, len(group)))
+        made = _cuts(group["value"].to_numpy(float), min(most(len(group)) if callable(most) else most, len(group)))
         at = np.arange(len(group))
         return pd.concat([group[[*keys]].assign(k=k, unit_id=group["unit_id"], cluster_id=np.searchsorted(starts, at, side="right")) for k, starts in enumerate(made, 1)])
 
@@ -51,7 +52,12 @@ def kmeans_path(values: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
 
 
 def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
-    """keys, cluster_id, unit_id, part: spectral cut of clusters of over k units into k.
+    """keys, cluster_id, unit_id, part: the cut of spectral_path into k parts."""
+    return spectral_path(clusters, keys, lambda n: [k]).drop("k")
+
+
+def spectral_path(clusters: DataFrame, keys: list[str], ks: Callable[[int], Iterable[int]]) -> DataFrame:
+    """keys, cluster_id, k, unit_id, part: spectral cuts of a cluster of n units into k parts, for each k of ks(n) that is under n.
 
     clusters: keys, cluster_id, members ARRAY<STRUCT<unit_id, value, neighbours>>, one row per cluster. Similarity is
     exp(-(v_i - v_j)² / (2 var)) on neighbours, with 1 on the diagonal; rows of the first k
@@ -59,11 +65,11 @@ def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2) -> DataFram
     ten means steps. Clusters whose values are all equal have no cut.
     """
     types = dict(clusters.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "cluster_id"]) + ", unit_id int, part int"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "cluster_id"]) + ", k int, unit_id int, part int"
     m = F.col("members")
-    flat = clusters.where(F.size(m) > k).select(*keys, "cluster_id", m["unit_id"].alias("units"), m["value"].alias("value"), m["neighbours"].alias("near"))
+    flat = clusters.where(F.size(m) > 1).select(*keys, "cluster_id", m["unit_id"].alias("units"), m["value"].alias("value"), m["neighbours"].alias("near"))
 
-    def cut(units: np.ndarray, v: np.ndarray, near: list) -> np.ndarray:
+    def vectors(units: np.ndarray, v: np.ndarray, near: list) -> np.ndarray:
         place = {int(u): i for i, u in enumerate(units)}
         w = np.eye(len(units))
         for i, other in enumerate(near):
@@ -71,7 +77,9 @@ def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2) -> DataFram
                 if int(u) in place:
                     w[i, place[int(u)]] = np.exp(-((v[i] - v[place[int(u)]]) ** 2) / (2 * v.var(ddof=1)))
         d = 1 / np.sqrt(w.sum(axis=1))
-        rows = np.linalg.eigh(np.eye(len(units)) - d[:, None] * w * d)[1][:, :k]
+        return np.linalg.eigh(np.eye(len(units)) - d[:, None] * w * d)[1]
+
+    def cut(rows: np.ndarray, k: int) -> np.ndarray:
         rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
         seeds = [0]
         while len(seeds) < k:
@@ -86,8 +94,11 @@ def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2) -> DataFram
         for batch in batches:
             for row in batch.to_dict("records"):
                 v = np.array(row["value"], float)
-                if v.var() > 0:
-                    yield pd.DataFrame({**{c: row[c] for c in [*keys, "cluster_id"]}, "unit_id": row["units"], "part": cut(row["units"], v, row["near"])})
+                wanted = [k for k in ks(len(v)) if k < len(v)] if v.var() > 0 else []
+                if wanted:
+                    found = vectors(row["units"], v, row["near"])
+                for k in wanted:
+                    yield pd.DataFrame({**{c: row[c] for c in [*keys, "cluster_id"]}, "k": k, "unit_id": row["units"], "part": cut(found[:, :k], k)})
 
     return flat.mapInPandas(run, schema)
 

@@ -6,6 +6,7 @@ algebra on it. Spark spreads the particles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,21 +42,100 @@ def _precision(units: np.ndarray, labels: np.ndarray, near: list, rho: float, c1
     return omega, logdet
 
 
-def _apply(particles: DataFrame, helper) -> DataFrame:
-    """run_id, particle_id, log_like by helper(units, ca, cb, xs, ys, near, hyper), null for unusable hyperparameters."""
+def _flat(particles: DataFrame) -> DataFrame:
     u = F.col("units")
-    flat = particles.select("run_id", "particle_id", *HYPER, u["unit_id"].alias("ids"), u["ca"].alias("ca"), u["cb"].alias("cb"), u["xs"].alias("xs"), u["ys"].alias("ys"), u["near"].alias("near"))
+    return particles.select("run_id", "particle_id", *HYPER, u["unit_id"].alias("ids"), u["ca"].alias("ca"), u["cb"].alias("cb"), u["xs"].alias("xs"), u["ys"].alias("ys"), u["near"].alias("near"))
+
+
+def _called(row, helper):
+    """helper(ids, ca, cb, xs, ys, near, hyper) of a row, or None for unusable hyperparameters."""
+    hyper = {h: getattr(row, h) for h in HYPER}
+    good = all(hyper[h] is not None and hyper[h] > 0 for h in HYPER)
+    return helper(np.array(row.ids), np.array(row.ca), np.array(row.cb), list(row.xs), list(row.ys), list(row.near), hyper) if good else None
+
+
+def _apply(particles: DataFrame, helper) -> DataFrame:
+    """run_id, particle_id, log_like by helper, null for unusable hyperparameters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                hyper = {h: getattr(r, h) for h in HYPER}
-                good = all(hyper[h] is not None and hyper[h] > 0 for h in HYPER)
-                out.append(helper(np.array(r.ids), np.array(r.ca), np.array(r.cb), list(r.xs), list(r.ys), list(r.near), hyper) if good else None)
+            out = [_called(r, helper) for r in batch.itertuples(index=False)]
             yield batch[["run_id", "particle_id"]].assign(log_like=pd.Series(out, index=batch.index, dtype=float))
 
-    return flat.mapInPandas(run, "run_id int, particle_id int, log_like double")
+    return _flat(particles).mapInPandas(run, "run_id int, particle_id int, log_like double")
+
+
+def _apply_units(particles: DataFrame, helper) -> DataFrame:
+    """run_id, particle_id, unit_id, alpha, beta by helper; no rows for unusable hyperparameters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                means = _called(r, helper)
+                if means is not None:
+                    yield pd.DataFrame({"run_id": r.run_id, "particle_id": r.particle_id, "unit_id": r.ids, "alpha": means[0], "beta": means[1]})
+
+    return _flat(particles).mapInPandas(run, "run_id int, particle_id int, unit_id int, alpha double, beta double")
+
+
+def _sums(xs: list, ys: list) -> tuple[np.ndarray, ...]:
+    """Per unit: periods, Σx, Σx², Σy, Σxy."""
+    pairs = [(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)]
+    return tuple(np.array([f(x, y) for x, y in pairs], float) for f in (lambda x, y: len(x), lambda x, y: x.sum(), lambda x, y: x @ x, lambda x, y: y.sum(), lambda x, y: x @ y))
+
+
+def _solved(oa: np.ndarray, ob: np.ndarray, sums: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior means of levels and slopes together, and the log determinant of their precision."""
+    n, sx, sxx, sy, sxy = sums
+    whole = np.block([[np.diag(n) + oa, np.diag(sx)], [np.diag(sx), np.diag(sxx) + ob]])
+    means = np.linalg.solve(whole, np.concatenate([sy, sxy]))
+    return means[: len(n)], means[len(n) :], float(np.linalg.slogdet(whole)[1])
+
+
+def joint_means(particles: DataFrame, rho: float = 0.9) -> DataFrame:
+    """run_id, particle_id, unit_id, alpha, beta: posterior means of levels and slopes at once, also where x is not centred."""
+
+    def helper(ids, ca, cb, xs, ys, near, h):
+        oa, ob = _precision(ids, ca, near, rho, h["a1"], h["a2"])[0], _precision(ids, cb, near, rho, h["b1"], h["b2"])[0]
+        return _solved(oa, ob, _sums(xs, ys))[:2]
+
+    return _apply_units(particles, helper)
+
+
+def ascent_means(particles: DataFrame, rho: float = 0.9, sweeps: int = 2) -> DataFrame:
+    """run_id, particle_id, unit_id, alpha, beta: levels given slopes and slopes given levels in turns, from least-squares slopes (0 where x does not vary); many sweeps reach joint_means."""
+
+    def helper(ids, ca, cb, xs, ys, near, h):
+        oa, ob = _precision(ids, ca, near, rho, h["a1"], h["a2"])[0], _precision(ids, cb, near, rho, h["b1"], h["b2"])[0]
+        n, sx, sxx, sy, sxy = _sums(xs, ys)
+        spread = sxx - sx * sx / n
+        beta = np.where(spread > 1e-12, (sxy - sx * sy / n) / np.where(spread > 1e-12, spread, 1), 0.0)
+        alpha = sy / n
+        for _ in range(sweeps):
+            alpha = np.linalg.solve(np.diag(n) + oa, sy - sx * beta)
+            beta = np.linalg.solve(np.diag(sxx) + ob, sxy - sx * alpha)
+        return alpha, beta
+
+    return _apply_units(particles, helper)
+
+
+def joint_likelihood(particles: DataFrame, rho: float = 0.9) -> DataFrame:
+    """run_id, particle_id, log_like: density of the data and of the posterior means together, the variance integrated out.
+
+    With N observations of n units, ν = N/2 + n and Q the squared residuals plus αᵀΩα + βᵀΩβ, it is
+    ½ Σ ln|Ω| + ln Γ(as + ν) - ln Γ(as) + as ln bs - (as + ν) ln(bs + Q/2). It favours many clusters;
+    exact_likelihood is the one to choose by.
+    """
+
+    def helper(ids, ca, cb, xs, ys, near, h):
+        (oa, da), (ob, db) = _precision(ids, ca, near, rho, h["a1"], h["a2"]), _precision(ids, cb, near, rho, h["b1"], h["b2"])
+        alpha, beta, _ = _solved(oa, ob, _sums(xs, ys))
+        rest = sum(float(((np.asarray(y) - p - q * np.asarray(x)) ** 2).sum()) for x, y, p, q in zip(xs, ys, alpha, beta))
+        quad, a, s = rest + alpha @ oa @ alpha + beta @ ob @ beta, h["alpha_sigma"], h["beta_sigma"]
+        more = sum(len(x) for x in xs) / 2 + len(ids)
+        return 0.5 * (da + db) + math.lgamma(a + more) - math.lgamma(a) + a * np.log(s) - (a + more) * np.log(s + quad / 2)
+
+    return _apply(particles, helper)
 
 
 def exact_likelihood(particles: DataFrame, rho: float = 0.9) -> DataFrame:
@@ -64,13 +144,11 @@ def exact_likelihood(particles: DataFrame, rho: float = 0.9) -> DataFrame:
     def helper(ids, ca, cb, xs, ys, near, h):
         oa, da = _precision(ids, ca, near, rho, h["a1"], h["a2"])
         ob, db = _precision(ids, cb, near, rho, h["b1"], h["b2"])
-        sx, sxx, sy, sxy = (np.array([f(np.asarray(x), np.asarray(y)) for x, y in zip(xs, ys)]) for f in (lambda x, y: x.sum(), lambda x, y: x @ x, lambda x, y: y.sum(), lambda x, y: x @ y))
-        n = np.array([len(x) for x in xs], float)
-        whole = np.block([[np.diag(n) + oa, np.diag(sx)], [np.diag(sx), np.diag(sxx) + ob]])
-        b = np.concatenate([sy, sxy])
-        q = sum(float(np.dot(y, y)) for y in ys) - b @ np.linalg.solve(whole, b)
+        sums = _sums(xs, ys)
+        alpha, beta, det = _solved(oa, ob, sums)
+        q = sum(float(np.dot(y, y)) for y in ys) - sums[3] @ alpha - sums[4] @ beta
         a, s = h["alpha_sigma"], h["beta_sigma"]
-        return 0.5 * (da + db - np.linalg.slogdet(whole)[1]) - (a + n.sum() / 2) * np.log(s + q / 2) + a * np.log(s)
+        return 0.5 * (da + db - det) - (a + sums[0].sum() / 2) * np.log(s + q / 2) + a * np.log(s)
 
     return _apply(particles, helper)
 

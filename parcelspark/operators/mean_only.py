@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ln_gamma_int
-from .graph import cluster_adjacency, nearest_clusters
+from ..session import written
+from .compare import kmeans_path, spectral_path
+from .graph import cluster_adjacency, connected_clusters, nearest_clusters
 from .kernel import cluster_stats, packed
 from .moves import cut
+from .parts import both_tails, join_in_turn, kmeans_parts, nearest_outside, packed_values, spectral_cuts, wide_down, wide_up
 from .score import neighbour_lists
 
 
@@ -84,6 +87,36 @@ def candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys:
     return cut(edges, nearest_merges(edges, assignment, values, keys).unionByName(border_blocks(edges, assignment, values, keys)).unionByName(islands), keys)
 
 
+def split_candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], share: float = 0.025) -> DataFrame:
+    """Cuts of every cluster by spectral parts, k-means and tails, and after each cut its first 1, 2, ... pieces joined to their nearest outside clusters."""
+    parts = spectral_cuts(assignment, values, neighbour_lists(edges), keys, wide_up).unionByName(kmeans_parts(assignment, values, keys, wide_down)).unionByName(both_tails(assignment, values, keys, share))
+    pieces = written(cut(edges, parts, keys), "pieces")
+    nearest = written(nearest_outside(edges, assignment, values, keys, pieces), "nearest")
+    return pieces.unionByName(join_in_turn(assignment, keys, pieces, nearest))
+
+
+def class_paths(panel: DataFrame, edges: DataFrame, hyper: DataFrame, most: int = 5, rho: float = 0.9, eta: float = 1.0) -> DataFrame:
+    """run_id, method (kmeans, spectral), k, connected, clusters, log_like, log_prior, log_post: the best 1..most classes of the units' means, as they are and cut into connected clusters.
+
+    hyper as in mean_only_scores. A run whose means are all equal has no spectral classes.
+    """
+    units = level_units(panel, hyper).select("run_id", "unit_id", F.col("mean").alias("value"))
+    whole = units.select("run_id", F.lit(1).alias("cluster_id"), "unit_id")
+    spectral = spectral_path(packed_values(whole, units, neighbour_lists(edges), ["run_id"]), ["run_id"], lambda n: range(1, most + 1))
+    made = kmeans_path(units, ["run_id"], most).select("run_id", F.lit("kmeans").alias("method"), "k", "unit_id", "cluster_id")
+    made = made.unionByName(spectral.select("run_id", F.lit("spectral").alias("method"), "k", "unit_id", F.col("part").alias("cluster_id")))
+    coded = F.when(F.col("method") == "kmeans", 0).otherwise(2 * most) + 2 * (F.col("k") - 1)
+    raw = written(made.select("run_id", (coded + 1).cast("int").alias("particle_id"), F.lit("A").alias("side"), "unit_id", "cluster_id"), "classes")
+    keys = ["run_id", "particle_id", "side"]
+    joined = connected_clusters(edges, raw, keys).withColumn("particle_id", (F.col("particle_id") + 1).cast("int"))
+    both = written(raw.unionByName(joined.select(*raw.columns)), "paths")
+    count = both.groupBy("run_id", "particle_id").agg(F.count_distinct("cluster_id").alias("clusters"))
+    code = F.col("particle_id") - 1
+    rows = mean_only_scores(both, panel, edges, hyper, rho, eta).join(count, ["run_id", "particle_id"])
+    method = F.when(code < 2 * most, "kmeans").otherwise("spectral")
+    return rows.select("run_id", method.alias("method"), (F.floor(code / 2) % most + 1).cast("int").alias("k"), (code % 2 == 1).alias("connected"), "clusters", "log_like", "log_prior", "log_post")
+
+
 def uncovered(assignment: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
     """keys, unit_id, fault: units of a run that a partition leaves out, holds twice or that the run does not have; none if all is well. units: run_id, unit_id."""
     have = assignment.groupBy(*keys, "unit_id").agg(F.count(F.lit(1)).alias("n"))

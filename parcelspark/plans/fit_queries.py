@@ -17,9 +17,8 @@ def _problem(spark, sf_dir):
 
 
 def _start(spark, sf_dir):
-    """The first two particles, their clusters made connected."""
-    asg = _asg(spark, sf_dir).where("particle_id <= 2")
-    return partitions.relabelled(graph.connected_clusters(_edges(spark, sf_dir), asg, SIDE), SIDE)
+    """All particles, their clusters made connected."""
+    return partitions.relabelled(graph.connected_clusters(_edges(spark, sf_dir), _asg(spark, sf_dir), SIDE), SIDE)
 
 
 def map_search(spark, sf_dir):
@@ -58,6 +57,21 @@ def poisson_score(spark, sf_dir):
     return joint.poisson_laplace(_packed(spark, sf_dir, joint.counts(_panel(spark, sf_dir))))
 
 
+def joint_score(spark, sf_dir):
+    """Density of the data with the posterior means, of every particle."""
+    return joint.joint_likelihood(_packed(spark, sf_dir, _panel(spark, sf_dir)))
+
+
+def joint_estimates(spark, sf_dir):
+    """Posterior means of levels and slopes at once, on the panel as recorded."""
+    return joint.joint_means(_packed(spark, sf_dir, _panel(spark, sf_dir)))
+
+
+def ascent_estimates(spark, sf_dir):
+    """Levels and slopes after two sweeps of coordinate ascent."""
+    return joint.ascent_means(_packed(spark, sf_dir, _panel(spark, sf_dir)))
+
+
 def kmeans_path(spark, sf_dir):
     """Best classes of levels and slopes, 1 to 5 of them."""
     return compare.kmeans_path(_values(spark, sf_dir), ["run_id", "side"])
@@ -92,7 +106,7 @@ def spanning_tree(spark, sf_dir):
     return compare.spanning_tree(weighted, ["run_id"])
 
 
-QUERIES = {f.__name__: f for f in (map_search, ensemble_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, kmeans_path, spectral_split, kmeans_split, silhouette, spanning_tree)}
+QUERIES = {f.__name__: f for f in (map_search, ensemble_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, kmeans_split, silhouette, spanning_tree)}
 _PAIRS = "SELECT a.run_id, a.particle_id, a.side, a.unit_id, a.cluster_id AS own, b.cluster_id AS other, sum(abs(a.value - b.value)) AS d, count(*) AS n FROM class a JOIN class b ON (a.run_id, a.particle_id, a.side) = (b.run_id, b.particle_id, b.side) GROUP BY ALL"
 _SILHOUETTE = f"SELECT run_id, particle_id, side, round(avg(CASE WHEN b IS NULL THEN NULL WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM (SELECT run_id, particle_id, side, unit_id, max(d / nullif(n - 1, 0)) FILTER (own = other) AS a, min(d / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM ({_PAIRS}) GROUP BY ALL) GROUP BY ALL"
 SQL = {"silhouette": "WITH " + ", ".join(_needed(_SILHOUETTE)) + " " + _SILHOUETTE}

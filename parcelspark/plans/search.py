@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ln_gamma_int
-from ..operators import moves
+from ..operators import moves, parts
 from ..operators.kernel import cluster_stats, packed
 from ..operators.panel import default_hyperparameters, unit_ols
 from ..operators.partitions import relabelled
@@ -25,7 +25,7 @@ from ..session import written
 
 PARTICLE = ["run_id", "particle_id"]
 KEYS = [*PARTICLE, "side"]
-FAMILIES = ("island", "border", "merge", "split", "tail")
+FAMILIES = ("island", "border", "merge", "split", "tail", "onward")
 
 
 @dataclass
@@ -87,19 +87,32 @@ def state(problem: Problem, assignment: DataFrame, stats: DataFrame) -> DataFram
 
 
 def candidates(problem: Problem, assignment: DataFrame, side: str, share: float = 0.05, families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """All candidate changes of one side: KEYS, cand, unit_id, cluster_id."""
+    """All candidate changes of one side: KEYS, cand, unit_id, cluster_id.
+
+    onward: each piece of a split, and each piece of a tail, joins the nearest cluster outside.
+    """
     values = problem.values(side)
     made = {
         "island": lambda: moves.islands(assignment, values, KEYS, "value", share),
         "border": lambda: moves.borders(problem.edges, assignment, KEYS),
         "merge": lambda: moves.merges(problem.edges, assignment, KEYS),
-        "split": lambda: moves.splits(assignment, values, KEYS, "value"),
+        "split": lambda: parts.kmeans_parts(assignment, values, KEYS),
+        "spectral": lambda: parts.spectral_cuts(assignment, values, neighbour_lists(problem.edges), KEYS),
         "tail": lambda: moves.tails(assignment, values, KEYS, "value"),
     }
     out = None
     for name in families:
-        out = made[name]() if out is None else out.unionByName(made[name]())
-    return moves.cut(problem.edges, out, KEYS)
+        if name != "onward":
+            out = made[name]() if out is None else out.unionByName(made[name]())
+    cands = moves.cut(problem.edges, out, KEYS)
+    if "onward" not in families:
+        return cands
+    cuts = cands.where(F.split("cand", ":")[0].isin("kmeans", "spectral", "tail"))
+    nearest = parts.nearest_outside(problem.edges, assignment, values, KEYS, cuts)
+    ends = moves.tail_sets(assignment, values, KEYS, "value").select(*KEYS, F.concat_ws(":", F.lit("tail"), "cluster_id", "end", "size").alias("cand"), "unit_id")
+    peeled = cuts.join(ends, [*KEYS, "cand", "unit_id"]).select(*KEYS, "cand", F.col("cluster_id").alias("piece")).distinct()
+    movable = nearest.where(~F.col("cand").startswith("tail:")).unionByName(nearest.join(peeled, [*KEYS, "cand", "piece"]).select(*nearest.columns))
+    return cands.unionByName(parts.join_one(assignment, KEYS, cuts, movable))
 
 
 def judged(problem: Problem, now: DataFrame, stats: DataFrame, assignment: DataFrame, cands: DataFrame, side: str) -> DataFrame:
