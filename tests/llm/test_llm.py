@@ -136,3 +136,12 @@ def test_abuse(spark):
     assert abuse.abuse_scores(d.limit(0), lab).count() == 0
     rates = abuse.abuse_rates(abuse.abuse_scores(d, lab, keep=("source",))).collect()
     assert {x["source"] for x in rates} == {"even", None, "x"} and sum(x["documents"] for x in rates) == 703
+
+
+def test_long_words_stay_whole(spark):
+    """A run of letters beyond the length of a word is several words, and none of it is lost."""
+    run = "".join(chr(97 + i % 26) for i in range(1003))
+    df = spark.createDataFrame([(1, run), (2, None), (3, ""), (4, "x" * 40 + " y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["w"] for r in df.select("doc_id", abuse.words_of(F.col("text")).alias("w")).collect()}
+    assert "".join(got[1]) == run and max(map(len, got[1])) == 40
+    assert got[2] == [] and got[3] == [] and got[4] == ["x" * 40, "y"]
