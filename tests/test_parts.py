@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from test_panels import dense, lattice
 
 from parcelspark.operators import joint, mean_only, moves, parts, score
+from parcelspark.plans import search
+from parcelspark.session import written
 
 KEYS = ["run_id", "particle_id", "side"]
 H = (0.5, 2.0, 0.3, 1.5, 3.0, 0.7)
@@ -145,3 +147,31 @@ def test_class_paths(spark):
     want = mean_only.mean_only_scores(one, panel, e, hyper).first()["log_post"]
     assert all(math.isclose(rows[m, 1, c]["log_post"], want, rel_tol=1e-9) for m in ("kmeans", "spectral") for c in (False, True))
     assert rows["kmeans", 3, False]["clusters"] == 3 and rows["kmeans", 3, True]["clusters"] >= 3
+
+
+def test_candidates_of_the_search(spark):
+    """Every candidate, onward ones as well, gets the score that the whole changed partition has, and stays connected."""
+    rng = np.random.default_rng(6)
+    edges = lattice(5)
+    panel = spark.createDataFrame([(1, u, k, float(k), float(rng.normal(u % 4, 0.5))) for u in range(1, 26) for k in range(1, 5)], "run_id int, unit_id int, t int, x double, y double")
+    e = spark.createDataFrame(sorted(edges), "src int, dst int")
+    hyper = spark.createDataFrame([(1, *H)], "run_id int, a1 double, a2 double, b1 double, b2 double, alpha_sigma double, beta_sigma double")
+    problem = search.Problem.of(panel, e, hyper)
+    asg = written(spark.createDataFrame([(1, 1, s, u, 1 if u <= 15 else 2) for s in "AB" for u in range(1, 26)], "run_id int, particle_id int, side string, unit_id int, cluster_id int"), "assignment")
+    stats = problem.scored(asg, search.KEYS)
+    at = asg.where("side = 'A'")
+    cands = written(search.candidates(problem, at, "A", families=("split", "spectral", "tail", "onward")), "candidates")
+    scores = {r["cand"]: r["log_post_new"] for r in search.judged(problem, search.state(problem, asg, stats), stats, at, cands, "A").collect()}
+    kinds = {c.split(":")[0] + (">" if ">" in c else "") for c in scores}
+    assert kinds == {"kmeans", "spectral", "tail", "kmeans>", "spectral>", "tail>"}
+    names = {c: i for i, c in enumerate(sorted(scores), 1)}
+    rows = []
+    for cand, by in groups(cands.collect(), "cand").items():
+        label = {u: 1 if u <= 15 else 2 for u in range(1, 26)}
+        for c, us in by.items():
+            assert connected(us, edges)
+            label |= dict.fromkeys(us, c)
+        rows += [(1, names[cand], "A", u, c) for u, c in label.items()] + [(1, names[cand], "B", u, 1 if u <= 15 else 2) for u in label]
+    whole = spark.createDataFrame(rows, "run_id int, particle_id int, side string, unit_id int, cluster_id int")
+    want = {r["particle_id"]: r["log_post"] for r in score.scored_particles(whole, problem.units, e, hyper).collect()}
+    assert len(want) == len(scores) and all(math.isclose(scores[c], want[i], rel_tol=1e-9) for c, i in names.items())
