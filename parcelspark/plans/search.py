@@ -25,7 +25,7 @@ from ..session import written
 
 PARTICLE = ["run_id", "particle_id"]
 KEYS = [*PARTICLE, "side"]
-FAMILIES = ("island", "border", "merge", "split", "tail", "onward")
+FAMILIES = ("island", "border", "merge", "split", "spectral", "tail", "onward")
 
 
 @dataclass
