@@ -27,9 +27,8 @@ def map_search(spark, sf_dir):
 
 
 def ensemble_search(spark, sf_dir):
-    """Particles of an ensemble after a sweep, with their weights."""
-    problem = _problem(spark, sf_dir)
-    _, now, weights = ensemble_fit(problem, _start(spark, sf_dir), most_sweeps=ROUNDS, last_islands=False, families=("merge", "split"))
+    """Particles of an ensemble, with their weights: all families, sweeps until nothing changes, then every unit as an island."""
+    _, now, weights = ensemble_fit(_problem(spark, sf_dir), _start(spark, sf_dir))
     return now.join(weights, ["run_id", "particle_id"]).select("run_id", "particle_id", "k_A", "k_B", "log_post", "w")
 
 

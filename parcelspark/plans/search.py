@@ -153,8 +153,8 @@ def _entropy_gain(rows: DataFrame, others: DataFrame, side: str) -> DataFrame:
     return joined.withColumn("entropy", -(F.coalesce("rest", F.lit(0.0)) - plogp(same) + plogp(F.col("w") + same))).drop("orun", "oa", "ob", "ow", "rest")
 
 
-def step(problem: Problem, assignment: DataFrame, stats: DataFrame, side: str, particle: int | None = None, weights: DataFrame | None = None, temper: float = 10.0, share: float = 0.05, families: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame, int]:
-    """(assignment, stats, particles changed) after one side of the particles (or of the one given) took its best change.
+def step(problem: Problem, assignment: DataFrame, stats: DataFrame, side: str, particle: int | None = None, weights: DataFrame | None = None, temper: float = 10.0, share: float = 0.05, families: tuple[str, ...] = FAMILIES, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(assignment, stats, run_id and particle_id of what changed or None) after one side of the particles (of the one given, or those of among) took its best change.
 
     Without weights the objective is the log posterior. With weights (run_id, particle_id, w) it is
     w · log posterior + temper · entropy of the weights over distinct particles. A change has to be
@@ -163,6 +163,7 @@ def step(problem: Problem, assignment: DataFrame, stats: DataFrame, side: str, p
     now = written(state(problem, assignment, stats), "state")
     at = assignment.where(F.col("side") == side)
     at = at.where(F.col("particle_id") == particle) if particle is not None else at
+    at = at.join(among, PARTICLE, "left_semi") if among is not None else at
     cands = written(candidates(problem, at, side, share, families), "candidates")
     rows = judged(problem, now, stats, at, cands, side).join(now.select(*PARTICLE, "log_post", "sig_A", "sig_B"), PARTICLE)
     if weights is None:
@@ -176,25 +177,29 @@ def step(problem: Problem, assignment: DataFrame, stats: DataFrame, side: str, p
         gain = F.col("w") * (F.col("log_post_new") - F.col("log_post")) + temper * (F.col("entropy_new") - F.col("entropy"))
     best = rows.withColumn("gain", F.round(gain, 9)).where(F.col("gain") > 0).groupBy(*PARTICLE).agg(F.min_by("cand", F.struct(-F.col("gain"), "cand")).alias("cand"))
     best = written(best, "best")
-    changed = best.count()
-    if not changed:
-        return assignment, stats, 0
+    if best.isEmpty():
+        return assignment, stats, None
     moved = applied(at, cands, best)
     after = written(assignment.join(at.select(*KEYS, "unit_id"), [*KEYS, "unit_id"], "left_anti").unionByName(moved), "assignment")
-    return after, written(problem.scored(after, KEYS), "stats"), changed
+    return after, written(problem.scored(after, KEYS), "stats"), best.select(*PARTICLE)
 
 
 def map_fit(problem: Problem, start: DataFrame | None = None, most_rounds: int = 25, families: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame]:
-    """(assignment, state) of the best pair found for each run and particle: side A and side B take turns until nothing changes."""
+    """(assignment, state) of the best pair found for each run and particle: side A and side B take turns until nothing changes.
+
+    A particle that a round left as it was is finished, and left out of later rounds.
+    """
     assignment = written(one_cluster(problem.units) if start is None else start, "assignment")
     stats = written(problem.scored(assignment, KEYS), "stats")
+    among = None
     for _ in range(most_rounds):
-        changes = 0
+        changes = []
         for side in "AB":
-            assignment, stats, n = step(problem, assignment, stats, side, families=families)
-            changes += n
+            assignment, stats, changed = step(problem, assignment, stats, side, families=families, among=among)
+            changes += [] if changed is None else [changed]
         if not changes:
             break
+        among = changes[0] if len(changes) == 1 else changes[0].unionByName(changes[1]).distinct()
     return assignment, state(problem, assignment, stats)
 
 
@@ -217,15 +222,15 @@ def ensemble_fit(problem: Problem, start: DataFrame, temper: float = 10.0, most_
     stats = written(problem.scored(assignment, KEYS), "stats")
     slots = [r[0] for r in start.select("particle_id").distinct().orderBy("particle_id").collect()]  # the few particles of a run
     weights = written(start.select(*PARTICLE).distinct().withColumn("w", F.lit(1.0 / len(slots))), "weights")
-    changes = 1
+    changes = True
     for share in [0.05] * most_sweeps + ([1.0] if last_islands else []):
         if share < 1 and not changes:
             continue
-        changes = 0
+        changes = False
         for slot in slots:
             for side in "AB":
-                assignment, stats, n = step(problem, assignment, stats, side, slot, weights, temper, share, families if share < 1 else ("island",))
-                changes += n
+                assignment, stats, changed = step(problem, assignment, stats, side, slot, weights, temper, share, families if share < 1 else ("island",))
+                changes = changes or changed is not None
         weights = written(particle_weights(state(problem, assignment, stats), temper).select(*PARTICLE, "w"), "weights")
     return assignment, state(problem, assignment, stats), weights
 
