@@ -22,8 +22,8 @@ def _start(spark, sf_dir):
 
 
 def map_search(spark, sf_dir):
-    """The best pair after a round from one cluster: assignment of every unit."""
-    return map_fit(_problem(spark, sf_dir), most_rounds=ROUNDS)[0]
+    """The best pair from one cluster, rounds until nothing changes: assignment of every unit."""
+    return map_fit(_problem(spark, sf_dir))[0]
 
 
 def ensemble_search(spark, sf_dir):

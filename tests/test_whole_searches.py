@@ -24,3 +24,9 @@ def test_ensemble_is_whole(spark, small, steps):
     sweep = [(side, slot) for slot in (1, 2, 3, 4) for side in "AB"]
     assert [c[:2] for c in steps] == 4 * sweep  # two sweeps that change something, one that does not, the last islands
     assert all(c[2:] == (0.05, search.FAMILIES) for c in steps[:24]) and all(c[2:] == (1.0, ("island",)) for c in steps[24:])
+
+
+def test_map_is_whole(spark, small, steps):
+    assert fit_queries.map_search(spark, small).count() == 200
+    assert [c[0] for c in steps] == ["A", "B"] * 6  # five rounds that change something, one that does not
+    assert all(c[1] is None and c[3] == search.FAMILIES for c in steps)
