@@ -86,19 +86,29 @@ def state(problem: Problem, assignment: DataFrame, stats: DataFrame) -> DataFram
     return rows.withColumn("log_post", like + F.col("prior"))
 
 
-def candidates(problem: Problem, assignment: DataFrame, side: str, share: float = 0.05, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+def current_means(stats: DataFrame, side: str) -> DataFrame:
+    """KEYS, unit_id, value: the posterior mean of every unit given the partition."""
+    return posterior_means(stats.where(F.col("side") == side), KEYS).select(*KEYS, "unit_id", F.col("mean").alias("value"))
+
+
+def candidates(problem: Problem, assignment: DataFrame, side: str, share: float = 0.05, families: tuple[str, ...] = FAMILIES, stats: DataFrame | None = None) -> DataFrame:
     """All candidate changes of one side: KEYS, cand, unit_id, cluster_id.
 
+    split and spectral cut by the least-squares values, and (":now") by the current posterior means;
+    island, tail and onward rank by the means. stats: the clusters' numbers, computed if not given.
     onward: each piece of a split, and each piece of a tail, joins the nearest cluster outside.
     """
     values = problem.values(side)
+    means = current_means(problem.scored(assignment, KEYS) if stats is None else stats, side)
+    near = neighbour_lists(problem.edges)
+    now = lambda made: made.withColumn("cand", F.concat("cand", F.lit(":now")))
     made = {
-        "island": lambda: moves.islands(assignment, values, KEYS, "value", share),
+        "island": lambda: moves.islands(assignment, means, KEYS, "value", share),
         "border": lambda: moves.borders(problem.edges, assignment, KEYS),
         "merge": lambda: moves.merges(problem.edges, assignment, KEYS),
-        "split": lambda: parts.kmeans_parts(assignment, values, KEYS),
-        "spectral": lambda: parts.spectral_cuts(assignment, values, neighbour_lists(problem.edges), KEYS),
-        "tail": lambda: moves.tails(assignment, values, KEYS, "value"),
+        "split": lambda: parts.kmeans_parts(assignment, values, KEYS).unionByName(now(parts.kmeans_parts(assignment, means, KEYS))),
+        "spectral": lambda: parts.spectral_cuts(assignment, values, near, KEYS).unionByName(now(parts.spectral_cuts(assignment, means, near, KEYS))),
+        "tail": lambda: moves.tails(assignment, means, KEYS, "value"),
     }
     out = None
     for name in families:
@@ -108,8 +118,8 @@ def candidates(problem: Problem, assignment: DataFrame, side: str, share: float
     if "onward" not in families:
         return cands
     cuts = cands.where(F.split("cand", ":")[0].isin("kmeans", "spectral", "tail"))
-    nearest = parts.nearest_outside(problem.edges, assignment, values, KEYS, cuts)
-    ends = moves.tail_sets(assignment, values, KEYS, "value").select(*KEYS, F.concat_ws(":", F.lit("tail"), "cluster_id", "end", "size").alias("cand"), "unit_id")
+    nearest = parts.nearest_outside(problem.edges, assignment, means, KEYS, cuts)
+    ends = moves.tail_sets(assignment, means, KEYS, "value").select(*KEYS, F.concat_ws(":", F.lit("tail"), "cluster_id", "end", "size").alias("cand"), "unit_id")
     peeled = cuts.join(ends, [*KEYS, "cand", "unit_id"]).select(*KEYS, "cand", F.col("cluster_id").alias("piece")).distinct()
     movable = nearest.where(~F.col("cand").startswith("tail:")).unionByName(nearest.join(peeled, [*KEYS, "cand", "piece"]).select(*nearest.columns))
     return cands.unionByName(parts.join_one(assignment, KEYS, cuts, movable))
@@ -164,7 +174,7 @@ def step(problem: Problem, assignment: DataFrame, stats: DataFrame, side: str, p
     at = assignment.where(F.col("side") == side)
     at = at.where(F.col("particle_id") == particle) if particle is not None else at
     at = at.join(among, PARTICLE, "left_semi") if among is not None else at
-    cands = written(candidates(problem, at, side, share, families), "candidates")
+    cands = written(candidates(problem, at, side, share, families, stats), "candidates")
     rows = judged(problem, now, stats, at, cands, side).join(now.select(*PARTICLE, "log_post", "sig_A", "sig_B"), PARTICLE)
     if weights is None:
         gain = F.col("log_post_new") - F.col("log_post")

@@ -1,8 +1,10 @@
-"""The registered searches run to their end, with all families; the step itself is counted, not run."""
+"""The registered searches run to their end, with all families (the step itself is counted, not run), and their candidates follow the current means."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from parcelspark.plans import fit_queries, search
+from parcelspark.session import written
 
 
 @pytest.fixture
@@ -30,3 +32,32 @@ def test_map_is_whole(spark, small, steps):
     assert fit_queries.map_search(spark, small).count() == 200
     assert [c[0] for c in steps] == ["A", "B"] * 6  # five rounds that change something, one that does not
     assert all(c[1] is None and c[3] == search.FAMILIES for c in steps)
+
+
+def test_candidates_by_current_means(spark):
+    """Where shrinkage reorders the units, islands, tails, cuts and merge partners follow the current means; cuts on the least-squares values come beside them."""
+    panel = spark.createDataFrame([(1, u, k, float(k), y + (u == 9) * k) for u, y in enumerate([4.0, 0.1, 0.0, 0.2, 2.0, 2.1, 2.2, 2.3, 2.4], 1) for k in range(-2, 3)], "run_id int, unit_id int, t int, x double, y double")
+    # Unit 1 has the greatest level, but low neighbours; 5..9 are a chain of levels about 2.
+    pairs = [(1, 2), (1, 3), (1, 4), (4, 5), (5, 6), (6, 7), (7, 8), (8, 9)]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src int, dst int")
+    hyper = spark.createDataFrame([(1, 0.02, 2.0, 0.3, 1.5, 3.0, 0.7)], "run_id int, a1 double, a2 double, b1 double, b2 double, alpha_sigma double, beta_sigma double")
+    problem = search.Problem.of(panel, edges, hyper)
+    asg = written(search.one_cluster(problem.units).withColumn("cluster_id", F.when(F.col("side") == "B", 1).when(F.col("unit_id") < 9, 1).otherwise(2)), "assignment")
+    stats = problem.scored(asg, search.KEYS)
+    at = asg.where("side = 'A'")
+    means = {r["unit_id"]: r["value"] for r in search.current_means(stats, "A").collect()}
+    level = {r["unit_id"]: r["value"] for r in problem.values("A").collect()}
+    own = [u for u in means if u < 9]
+    top = max(own, key=lambda u: (means[u], -u))
+    assert max(own, key=level.get) == 1 and top != 1
+    made = {}
+    for r in search.candidates(problem, at, "A", families=("island", "split", "spectral"), stats=stats).collect():
+        made.setdefault(r["cand"], {}).setdefault(r["cluster_id"], set()).add(r["unit_id"])
+    assert {c for c in made if c.startswith("island")} == {f"island:{top}", f"island:{min(own, key=lambda u: (means[u], u))}"}
+    assert {"kmeans:1:2", "kmeans:1:2:now", "spectral:1:2", "spectral:1:2:now"} <= set(made)
+    order = sorted(own, key=means.get)
+    cost = lambda us: sum((means[u] - sum(means[v] for v in us) / len(us)) ** 2 for u in us)
+    k = min(range(1, 8), key=lambda k: cost(order[:k]) + cost(order[k:]))
+    low = set(order[:k])
+    assert all(us <= low or not us & low for us in made["kmeans:1:2:now"].values())
+    assert made["kmeans:1:2:now"] != made["kmeans:1:2"]
