@@ -8,9 +8,6 @@ from ..operators import compare, graph, joint, panel, partitions, score
 from .panel_queries import SIDE, _asg, _classes, _edges, _needed, _panel, _units, _values
 from .search import Problem, ensemble_fit, estimates, map_fit, tuned
 
-#: Rounds of the searches in the registered queries; the functions' own defaults are those of a full fit.
-ROUNDS = 1
-
 
 def _problem(spark, sf_dir):
     return Problem.of(_panel(spark, sf_dir), _edges(spark, sf_dir))
@@ -38,8 +35,9 @@ def posterior_estimates(spark, sf_dir):
 
 
 def hyperparam_tuning(spark, sf_dir):
-    """Hyperparameters where the likelihood of the first particle is greatest."""
-    return tuned(_problem(spark, sf_dir), _start(spark, sf_dir), rounds=ROUNDS)
+    """Hyperparameters where the likelihood of the best pair found by map_fit is greatest."""
+    problem = _problem(spark, sf_dir)
+    return tuned(problem, map_fit(problem)[0])
 
 
 def _packed(spark, sf_dir, rows):

@@ -252,28 +252,37 @@ def estimates(problem: Problem, assignment: DataFrame) -> DataFrame:
     return means.groupBy(*PARTICLE, "unit_id").agg(pick("A").alias("alpha"), pick("B").alias("beta"))
 
 
-def tuned(problem: Problem, assignment: DataFrame, rounds: int = 3, width: float = 4.0) -> DataFrame:
-    """The hyperparameters with a1 and b1 moved to where the likelihood of the given partitions is greatest, on grids of 5 × 5 factors that narrow.
+def tuned(problem: Problem, assignment: DataFrame, most_rounds: int = 40, width: float = 4.0, tolerance: float = 0.01) -> DataFrame:
+    """The hyperparameters with a1 and b1 moved to where the likelihood of particle 1 is greatest, and settled; a2 and b2 stay.
 
-    All runs and grid points are scored in one batch a round. a2 and b2 follow by their formulas'
-    identity a2 + a1/(1 - rho) = const; points where they fall to 0 do not count.
+    A round scores 5 × 5 factors, up to width either way at first, of all unsettled runs in one batch
+    and moves the centre to the best. The factors narrow, their logarithm by half, unless the best
+    lies on the grid's edge. A run is settled when the centre beats factors of at most 1 + tolerance;
+    it is not if most_rounds were too few, or if a hyperparameter is not above 0 (all then stay).
     """
-    hyper = problem.hyper
-    for _ in range(rounds):
-        factors = F.array(*[F.lit(width ** (i / 2)) for i in (-2, -1, 0, 1, 2)])
-        grid = hyper.withColumn("fa", F.explode(factors)).withColumn("fb", F.explode(factors))
-        move = lambda d, s: d.withColumn(f"{s}2", F.col(f"{s}2") + F.col(f"{s}1") * (1 - F.col(f"f{s}")) / (1 - problem.rho)).withColumn(f"{s}1", F.col(f"{s}1") * F.col(f"f{s}"))
-        grid = move(move(grid, "a"), "b").where((F.col("a2") > 0) & (F.col("b2") > 0))
-        grid = grid.withColumn("point", F.row_number().over(Window.partitionBy("run_id").orderBy("fa", "fb")))
+    names = ["run_id", "a1", "a2", "b1", "b2", "alpha_sigma", "beta_sigma"]
+    usable = F.coalesce((F.col("a1") > 0) & (F.col("a2") > 0) & (F.col("b1") > 0) & (F.col("b2") > 0), F.lit(False))
+    out = problem.hyper.where(~usable).select(*names, F.lit(False).alias("settled"))
+    todo = problem.hyper.where(usable).select(*names, F.lit(math.log(width) / 2).alias("gap"))
+    near = neighbour_lists(problem.edges)
+    for _ in range(most_rounds):
+        steps = F.array(*[F.lit(i) for i in (-2, -1, 0, 1, 2)])
+        grid = todo.withColumn("ia", F.explode(steps)).withColumn("ib", F.explode(steps))
+        grid = grid.withColumn("a1", F.col("a1") * F.exp(F.col("ia") * F.col("gap"))).withColumn("b1", F.col("b1") * F.exp(F.col("ib") * F.col("gap")))
+        grid = written(grid.withColumn("point", (5 * F.col("ia") + F.col("ib") + 13).cast("int")), "grid")
         a = assignment.where("particle_id = 1").drop("particle_id").join(grid.select("run_id", F.col("point").alias("particle_id")), "run_id")
         sides = F.array(F.struct(F.lit("A").alias("side"), F.col("sum_y").alias("b"), F.col("periods").cast("double").alias("w"), F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.lit("B").alias("side"), F.col("sum_xy").alias("b"), F.col("sum_xx").alias("w"), F.col("b1").alias("c1"), F.col("b2").alias("c2")))
         units = problem.units.join(grid.select("run_id", F.col("point").alias("particle_id"), "a1", "a2", "b1", "b2"), "run_id").select(*PARTICLE, "unit_id", F.explode(sides).alias("s")).select(*PARTICLE, "unit_id", "s.*")
         member = F.struct(F.col("unit_id").cast("int").alias("unit_id"), "b", "w", "neighbours")
-        rows = a.join(units, [*KEYS, "unit_id"]).join(neighbour_lists(problem.edges), "unit_id", "left")
+        rows = a.join(units, [*KEYS, "unit_id"]).join(near, "unit_id", "left")
         clusters = rows.groupBy(*KEYS, "cluster_id").agg(F.collect_list(member).alias("members"), F.first("c1").alias("c1"), F.first("c2").alias("c2"))
         sums = cluster_stats(clusters, KEYS, problem.rho).groupBy(*PARTICLE).agg(F.sum("quad").alias("quad"), F.sum("log_det").alias("log_det")).join(totals(problem.units, problem.hyper), "run_id")
         like = log_likelihood(*[F.col(c) for c in ("quad", "log_det", "yy", "alpha_sigma", "beta_sigma", "obs")])
-        best = sums.groupBy("run_id").agg(F.max_by("particle_id", F.struct(like, -F.col("particle_id"))).alias("point"))
-        hyper = written(grid.join(best, ["run_id", "point"]).select("run_id", "a1", "a2", "b1", "b2", "alpha_sigma", "beta_sigma"), "hyper")
-        width = math.sqrt(width)
-    return hyper
+        best = sums.groupBy("run_id").agg(F.max_by("particle_id", F.struct(F.round(like, 9), -F.abs(F.col("particle_id") - 13), "particle_id")).alias("point"))
+        edge = F.greatest(F.abs("ia"), F.abs("ib")) == 2
+        moved = written(grid.join(best, ["run_id", "point"]).withColumn("settled", ~edge & (F.col("gap") <= math.log(1 + tolerance))).withColumn("gap", F.when(edge, F.col("gap")).otherwise(F.col("gap") / 2)).select(*names, "gap", "settled"), "tuned")
+        out = out.unionByName(moved.where("settled").select(*names, "settled"))
+        todo = moved.where(~F.col("settled")).select(*names, "gap")
+        if todo.isEmpty():
+            return out
+    return out.unionByName(todo.select(*names, F.lit(False).alias("settled")))
