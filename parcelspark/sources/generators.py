@@ -42,13 +42,14 @@ def gaussian_panel(truth: DataFrame, periods: int, sd: float, seed: int = 0) ->
     return rows.select("run_id", "unit_id", "t", "x", (F.col("alpha") + F.col("beta") * F.col("x") + sd * F.randn(seed)).alias("y"))
 
 
-def poisson_panel(truth: DataFrame, periods: int, seed: int = 0, most: int = 400) -> DataFrame:
-    """The same with counts of mean exp(alpha + beta x), by inverting the distribution function at a seeded uniform column; counts stop at `most`."""
-    mean = F.exp(F.col("y"))
-    rows = gaussian_panel(truth, periods, 0.0, seed).withColumn("u", F.rand(seed)).withColumn("m", mean)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
-        F.struct(F.exp(-F.col("m")).alias("p"), F.exp(-F.col("m")).alias("cdf"), F.lit(0).alias("k")),
-        lambda acc, i: F.struct((acc["p"] * F.col("m") / i).alias("p"), (acc["cdf"] + acc["p"] * F.col("m") / i).alias("cdf"), F.when(acc["cdf"] < F.col("u"), i).otherwise(acc["k"]).alias("k")),
-    )
-    return rows.withColumn("y", walk["k"].cast("double")).drop("u", "m")
+def poisson_panel(truth: DataFrame, periods: int, seed: int = 0) -> DataFrame:
+    """The same with counts of mean exp(alpha + beta x). The draw depends on the seed, run_id, unit_id and t only, not on how rows are spread; a null mean has a null count."""
+    rows = gaussian_panel(truth, periods, 0.0, seed).withColumn("_own", F.xxhash64(F.lit(seed), "run_id", "unit_id", "t")).withColumn("y", F.exp("y"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_own")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            drawn = [float(np.random.default_rng(own % 2**63).poisson(m)) if m == m else None for own, m in zip(batch["_own"], batch["y"])]
+            yield batch.drop(columns="_own").assign(y=drawn)
+
+    return rows.mapInPandas(run, schema)

@@ -1,8 +1,10 @@
+import math
+
 from pyspark.sql import functions as F
 
 from parcelspark.functions import scalars
 from parcelspark.operators import incidents
-from parcelspark.sources import tables
+from parcelspark.sources import generators, tables
 
 
 def test_matrix_round_trip(spark, tmp_path):
@@ -31,3 +33,14 @@ def test_times_and_kinds(spark):
     rows = {r["id"]: r for r in incidents.with_times(incidents.with_kind(df, codes)).collect()}
     assert rows[1]["kind"] == "theft" and rows[1]["weekday_name"] == "Sunday" and rows[1]["year_of_day"] == 2010
     assert rows[2]["kind"] is None and rows[2]["day"] is None and rows[2]["week_time"] is None and len(rows) == 3
+
+
+def test_counts_without_a_cap(spark):
+    truth = spark.createDataFrame([(r, 1, a, 0.0) for r in range(1, 201) for a in ([6.0, 8.0][r % 2],)], "run_id int, unit_id int, alpha double, beta double")
+    rows = generators.poisson_panel(truth, 4, seed=5).toPandas()
+    for odd, alpha in ((0, 6.0), (1, 8.0)):
+        y = rows[rows.run_id % 2 == odd].y
+        assert abs(y.mean() / math.exp(alpha) - 1) < 0.02 and 0.7 < y.var() / math.exp(alpha) < 1.3
+    again = generators.poisson_panel(truth.repartition(7), 4, seed=5).toPandas()
+    key = ["run_id", "unit_id", "t"]
+    assert rows.sort_values(key).y.tolist() == again.sort_values(key).y.tolist()
