@@ -13,7 +13,7 @@ from .compare import kmeans_path, spectral_path
 from .graph import cluster_adjacency, connected_clusters, nearest_clusters
 from .kernel import cluster_stats, packed
 from .moves import cut
-from .parts import both_tails, join_in_turn, kmeans_parts, nearest_outside, packed_values, spectral_cuts, wide_down, wide_up
+from .parts import both_tails, join_all, join_in_turn, kmeans_parts, nearest_outside, packed_values, spectral_cuts, wide_down, wide_up
 from .score import neighbour_lists
 
 
@@ -80,11 +80,28 @@ def far_units(assignment: DataFrame, values: DataFrame, keys: list[str], share:
     return ranked.where((F.col("_n") > 1) & (F.col("_rank") <= F.ceil(F.col("_n") * share))).select(*keys, "unit_id", "cluster_id")
 
 
-def candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], share: float = 0.05) -> DataFrame:
-    """Nearest merges, border blocks, and far units alone (which then stand beside the rest, in components)."""
+def _island_parts(assignment: DataFrame, values: DataFrame, keys: list[str], share: float) -> DataFrame:
     far = far_units(assignment, values, keys, share).select(*keys, "cluster_id", F.col("unit_id").alias("alone")).join(assignment, [*keys, "cluster_id"])
-    islands = far.select(*keys, F.concat_ws(":", F.lit("island"), "alone").alias("cand"), "unit_id", (F.col("unit_id") == F.col("alone")).cast("int").alias("part"))
-    return cut(edges, nearest_merges(edges, assignment, values, keys).unionByName(border_blocks(edges, assignment, values, keys)).unionByName(islands), keys)
+    return far.select(*keys, F.concat_ws(":", F.lit("island"), "alone").alias("cand"), "unit_id", (F.col("unit_id") == F.col("alone")).cast("int").alias("part"))
+
+
+def _with_all_joined(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], cands: DataFrame) -> DataFrame:
+    """cands, and for each island of them the candidate ">>all": the island and every piece of the rest join their nearest outside clusters at once; pieces that have none stay."""
+    cands = written(cands, "cands")
+    islands = cands.where(F.col("cand").startswith("island:"))
+    nearest = written(nearest_outside(edges, assignment, values, keys, islands), "nearest")
+    return cands.unionByName(join_all(assignment, keys, islands, nearest))
+
+
+def candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], share: float = 0.05) -> DataFrame:
+    """Nearest merges, border blocks, and far units alone: beside the rest, in components, and with all of these pieces joined to their nearest outside clusters."""
+    parts = nearest_merges(edges, assignment, values, keys).unionByName(border_blocks(edges, assignment, values, keys)).unionByName(_island_parts(assignment, values, keys, share))
+    return _with_all_joined(edges, assignment, values, keys, cut(edges, parts, keys))
+
+
+def local_candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """The island candidates of every unit, for where no other candidate is better."""
+    return _with_all_joined(edges, assignment, values, keys, cut(edges, _island_parts(assignment, values, keys, 1.0), keys))
 
 
 def split_candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], share: float = 0.025) -> DataFrame:

@@ -105,6 +105,11 @@ def join_one(assignment: DataFrame, keys: list[str], pieces: DataFrame, nearest:
     return _joined(assignment, keys, pieces, nearest.withColumn("new", F.concat_ws(">", "cand", "piece")))
 
 
+def join_all(assignment: DataFrame, keys: list[str], pieces: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Candidates: a cut, and all of its pieces that have a nearest_outside join it at once."""
+    return _joined(assignment, keys, pieces, nearest.withColumn("new", F.concat("cand", F.lit(">>all"))))
+
+
 def join_in_turn(assignment: DataFrame, keys: list[str], pieces: DataFrame, nearest: DataFrame) -> DataFrame:
     """Candidates: a cut, and its first 1, 2, ... pieces that have a nearest_outside join it, in the order of the pieces' least units."""
     w = Window.partitionBy(*keys, "cand")

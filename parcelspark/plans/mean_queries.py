@@ -30,6 +30,12 @@ def mean_only_candidates(spark, sf_dir):
     return mean_only.candidates(_edges(spark, sf_dir), asg, _values(spark, sf_dir), SIDE).groupBy(*SIDE, "cand").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("cluster_id").alias("clusters"))
 
 
+def mean_only_local_candidates(spark, sf_dir):
+    """Units and clusters by candidate when every unit is tried as an island in that model."""
+    asg = written(_asg(spark, sf_dir), "assignment")
+    return mean_only.local_candidates(_edges(spark, sf_dir), asg, _values(spark, sf_dir), SIDE).groupBy(*SIDE, "cand").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("cluster_id").alias("clusters"))
+
+
 def split_merge_candidates(spark, sf_dir):
     """Units and clusters by candidate of the cuts of that model, with the merges that follow a cut."""
     asg = written(graph.connected_clusters(_edges(spark, sf_dir), _asg(spark, sf_dir), SIDE), "assignment")
@@ -63,7 +69,7 @@ def cover_faults(spark, sf_dir):
     return mean_only.uncovered(broken, _units(spark, sf_dir), SIDE)
 
 
-QUERIES = {f.__name__: f for f in (mean_only_score, equal_sides_score, mean_only_candidates, split_merge_candidates, class_path_scores, both_tails, far_units, nearest_merges, cover_faults)}
+QUERIES = {f.__name__: f for f in (mean_only_score, equal_sides_score, mean_only_candidates, mean_only_local_candidates, split_merge_candidates, class_path_scores, both_tails, far_units, nearest_merges, cover_faults)}
 
 _FAR = "SELECT run_id, particle_id, side, unit_id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, particle_id, side, cluster_id ORDER BY off DESC, unit_id) AS r FROM (SELECT *, abs(value - avg(value) OVER w) AS off, count(*) OVER w AS n FROM class WINDOW w AS (PARTITION BY run_id, particle_id, side, cluster_id))) WHERE n > 1 AND r <= ceil(n * 0.05)"
 _MEAN = "SELECT run_id, particle_id, side, cluster_id, avg(value) AS m, count(*) AS n FROM class GROUP BY ALL"
