@@ -124,6 +124,13 @@ def silhouettes(assignment: DataFrame, values: DataFrame, keys: list[str]) -> Da
     return by.groupBy(*keys).agg(F.avg(s).alias("silhouette"))
 
 
+def chosen_classes(paths: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, k, unit_id, cluster_id: of the classes of each k (paths) those of the greatest mean silhouette; one class counts 0, of equal ones the least k is taken."""
+    widths = silhouettes(paths, values, [*keys, "k"])
+    best = widths.groupBy(*keys).agg(F.max_by("k", F.struct(F.round(F.coalesce("silhouette", F.lit(0.0)), 9), -F.col("k"))).alias("k"))
+    return paths.join(best, [*keys, "k"]).select(*keys, "k", "unit_id", "cluster_id")
+
+
 def spanning_tree(edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, src, dst (src < dst), weight: a least spanning tree (or forest) of each graph, by Borůvka's rounds.
 

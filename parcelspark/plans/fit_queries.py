@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, graph, joint, panel, partitions, score
+from ..operators import compare, graph, joint, panel, partitions, parts, score
+from ..session import written
 from .panel_queries import SIDE, _asg, _classes, _edges, _needed, _panel, _units, _values
 from .search import Problem, ensemble_fit, estimates, map_fit, tuned
 
@@ -94,6 +95,22 @@ def silhouette(spark, sf_dir):
     return compare.silhouettes(_asg(spark, sf_dir), _values(spark, sf_dir), SIDE).withColumn("silhouette", F.round("silhouette", 6))
 
 
+def comparator_scores(spark, sf_dir):
+    """Scores of the k-means (up to 5) and the spectral classes (up to 10) of greatest silhouette, cut into connected clusters, of one cluster and of singletons."""
+    keys, edges, values = ["run_id", "side"], _edges(spark, sf_dir), written(_values(spark, sf_dir), "values")
+    whole = values.select(*keys, F.lit(1).alias("k"), "unit_id", F.lit(1).alias("cluster_id"))
+    cuts = compare.spectral_path(parts.packed_values(whole, values, score.neighbour_lists(edges), keys), keys, lambda n: range(2, 11))
+    spectral = whole.unionByName(cuts.select(*keys, "k", "unit_id", F.col("part").alias("cluster_id")))
+    paths = compare.kmeans_path(values, keys).withColumn("particle_id", F.lit(1)).unionByName(spectral.withColumn("particle_id", F.lit(2)))
+    picked = compare.chosen_classes(written(paths, "paths"), values, SIDE).drop("k")
+    connected = graph.connected_clusters(edges, written(picked, "picked"), SIDE).select(*SIDE, "unit_id", F.col("cluster_id").cast("int").alias("cluster_id"))
+    one = whole.select("run_id", F.lit(3).alias("particle_id"), "side", "unit_id", "cluster_id")
+    alone = one.withColumns({"particle_id": F.lit(4), "cluster_id": F.col("unit_id").cast("int")})
+    method = F.element_at(F.array(*map(F.lit, ("kmeans", "spectral", "one cluster", "singletons"))), F.col("particle_id")).alias("method")
+    scored = score.scored_particles(connected.unionByName(one).unionByName(alone), _units(spark, sf_dir), edges)
+    return scored.select("run_id", method, "log_like", "log_prior", "log_post")
+
+
 def spanning_tree(spark, sf_dir):
     """Least spanning tree of each run's lattice, edges weighted by the difference of levels."""
     units = _units(spark, sf_dir).select("run_id", "unit_id", "alpha")
@@ -103,7 +120,7 @@ def spanning_tree(spark, sf_dir):
     return compare.spanning_tree(weighted, ["run_id"])
 
 
-QUERIES = {f.__name__: f for f in (map_search, ensemble_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, kmeans_split, silhouette, spanning_tree)}
+QUERIES = {f.__name__: f for f in (map_search, ensemble_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, kmeans_split, silhouette, comparator_scores, spanning_tree)}
 _PAIRS = "SELECT a.run_id, a.particle_id, a.side, a.unit_id, a.cluster_id AS own, b.cluster_id AS other, sum(abs(a.value - b.value)) AS d, count(*) AS n FROM class a JOIN class b ON (a.run_id, a.particle_id, a.side) = (b.run_id, b.particle_id, b.side) GROUP BY ALL"
 _SILHOUETTE = f"SELECT run_id, particle_id, side, round(avg(CASE WHEN b IS NULL THEN NULL WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM (SELECT run_id, particle_id, side, unit_id, max(d / nullif(n - 1, 0)) FILTER (own = other) AS a, min(d / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM ({_PAIRS}) GROUP BY ALL) GROUP BY ALL"
 SQL = {"silhouette": "WITH " + ", ".join(_needed(_SILHOUETTE)) + " " + _SILHOUETTE}
