@@ -9,6 +9,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Inputs of at most so many bytes may be moved for the sake of more tasks; larger ones never are.
+SPREAD_BYTES = 64 << 20
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster use the cluster's own."""
@@ -27,13 +30,18 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset.
+
+    A cluster without the setting is an error, as no folder of the driver's machine is shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parcelspark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -58,16 +66,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for stages that are heavy per row; an input that is large enough stays as it is."""
+    """df over at least as many partitions as there are cores where it is an input of at most SPREAD_BYTES, which one file may hold; any larger input is read as its files are cut."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def _path_on(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
-    Later reads survive the loss of executors and do not compute df again.
+    Later reads survive the loss of executors and do not compute df again. The table is removed
+    when the application ends, or before that by dropped.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, place = _path_on(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that written made and that nothing reads any more."""
+    for table in tables:
+        for path in {os.path.dirname(f) for f in table.inputFiles()}:
+            files, place = _path_on(table.sparkSession, path)
+            files.delete(place, True)

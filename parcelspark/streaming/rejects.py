@@ -24,8 +24,10 @@ def load_stream(lines: DataFrame, codes: DataFrame, loaded: str, rejected: str,
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        good, bad = load_incidents(batch, codes)
+        lines = batch.persist()  # read once for the two outputs
+        good, bad = load_incidents(lines, codes)
         good.write.mode("overwrite").parquet(f"{loaded}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        lines.unpersist()
 
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
