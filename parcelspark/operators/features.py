@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 @dataclass
 class EntityFeatures:
@@ -30,7 +32,7 @@ def entity_features(events: DataFrame, entity: str, kind: str, period: str, kind
 
     First the events are counted by (entity, kind, period), with partial counts before the
     shuffle, so a hot entity or kind is one row per task. Only this table, of at most
-    entities × kinds × periods rows, is pivoted. The wide table has, with `|` in the names,
+    entities × kinds × periods rows, is written once and pivoted. The wide table has, with `|` in the names,
     n|kind|period (0 if none), total|kind (0 if none), latest|kind (null if none), total and
     latest. Rows with a null entity, kind or period, or a period outside the list, do not count.
     A kind outside the list counts in total and latest, and in `unlisted`, but has no column.
@@ -38,7 +40,7 @@ def entity_features(events: DataFrame, entity: str, kind: str, period: str, kind
     """
     known = events.select(F.col(entity).alias("_entity"), F.col(kind).alias("kind"), F.col(period).alias("period"))
     known = known.where(F.col("_entity").isNotNull() & F.col("kind").isNotNull() & F.col("period").isin(periods))
-    long = known.groupBy("_entity", "kind", "period").agg(F.count(F.lit(1)).alias("n"))
+    long = written(known.groupBy("_entity", "kind", "period").agg(F.count(F.lit(1)).alias("n")), "features")
     listed = F.col("kind").isin(kinds)
     names = [f"n|{k}|{p}" for k in kinds for p in periods] + [f"{a}|{k}" for a in ("total", "latest") for k in kinds] + ["total", "latest"]
     name = lambda *parts: F.concat_ws("|", *parts)
