@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ihs, is_nonviolent, is_violent, square_miles
-from .nearby import cover_polygons, inside_ring, match_cover
+from .nearby import cover_polygons, match_cover, polygons
 
 
 def with_points(incidents: DataFrame) -> DataFrame:
@@ -22,9 +22,11 @@ def with_kind(incidents: DataFrame, codes: DataFrame, name: str = "kind") -> Dat
 
 
 def with_times(incidents: DataFrame) -> DataFrame:
-    """day (of dispatch_date, ISO at its start), moment, weekday, year and week_time, the time of day on a fixed Sunday; null where a text does not parse."""
-    day = F.substring("dispatch_date", 1, 10).try_cast("date")
-    text = F.when(F.substring("dispatch_date", 5, 1) == "-", F.date_format(day, "yyyy-MM-dd"))
+    """day (of dispatch_date, yyyy-MM-dd at its start or MM/dd/yyyy), moment, weekday, year and week_time, the time of day on a fixed Sunday; null where a text does not parse."""
+    head = F.substring("dispatch_date", 1, 10)
+    iso = F.when(head.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), head)
+    american = F.when(head.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.concat_ws("-", F.substring(head, 7, 4), F.substring(head, 1, 2), F.substring(head, 4, 2)))
+    text = F.coalesce(iso, american)
     return incidents.withColumn("day", text.try_cast("date")).withColumns(
         {"moment": F.concat_ws(" ", text, "dispatch_time").try_cast("timestamp"), "weekday_name": F.date_format("day", "EEEE"), "year_of_day": F.year("day"), "week_time": F.concat(F.lit("2016-05-08 "), F.col("dispatch_time")).try_cast("timestamp")}
     )
@@ -32,9 +34,8 @@ def with_times(incidents: DataFrame) -> DataFrame:
 
 def with_region(incidents: DataFrame, regions: DataFrame, name: str = "region") -> DataFrame:
     """The region that holds each incident's point; incidents outside of all regions are left out. Where regions overlap the greatest id holds."""
-    cover = cover_polygons(regions, "region_id", "ring")
-    held = match_cover(incidents, "point_x", "point_y", cover, inside_ring(F.col("point_x"), F.col("point_y"), F.col("cover_xs"), F.col("cover_ys")))
-    return held.withColumnRenamed("shape_id", name)
+    held = match_cover(incidents, "point_x", "point_y", cover_polygons(regions, "region_id", "ring"), polygons(regions, "region_id", "ring"))
+    return held.withColumn(name, F.col("shape_id").cast(dict(regions.dtypes)["region_id"])).drop("shape_id")
 
 
 def region_years(incidents: DataFrame, regions: DataFrame, region: str, first: int, last: int) -> DataFrame:

@@ -156,7 +156,7 @@ def unit_resid_sd(spark, sf_dir):
     return _r(_units(spark, sf_dir), "resid_sd").select("run_id", "unit_id", "resid_sd")
 
 
-@query("SELECT run_id, coalesce(sum(abs(s)) < 1e-10, false) AS raw, true AS centred FROM (SELECT run_id, unit_id, sum(x) AS s FROM panel GROUP BY ALL) GROUP BY run_id")
+@query("SELECT run_id, coalesce(sum(abs(s)) < 1e-10, false) AS raw, coalesce(sum(abs(c)) < 1e-10, false) AS centred FROM (SELECT run_id, unit_id, sum(x) AS s, sum(x - m) AS c FROM (SELECT *, avg(x) OVER (PARTITION BY run_id, unit_id) AS m FROM panel) GROUP BY ALL) GROUP BY run_id")
 def orthogonality_check(spark, sf_dir):
     raw, centred = (panel.orthogonality(p) for p in (_panel(spark, sf_dir), panel.centred(_panel(spark, sf_dir))))
     return raw.withColumnRenamed("orthogonal", "raw").join(centred.withColumnRenamed("orthogonal", "centred"), "run_id")
@@ -285,7 +285,8 @@ def partition_meet(spark, sf_dir):
 
 @query("SELECT a.run_id, a.particle_id, a.side, count(*) AS pairs FROM class a JOIN class b ON (a.run_id, a.particle_id, a.side, a.cluster_id) = (b.run_id, b.particle_id, b.side, b.cluster_id) AND a.unit_id < b.unit_id GROUP BY ALL")
 def comembership_counts(spark, sf_dir):
-    return partitions.comembership(_asg(spark, sf_dir), SIDE).groupBy(*SIDE).agg(F.count(F.lit(1)).alias("pairs"))
+    sizes = partitions.cluster_sizes(_asg(spark, sf_dir), SIDE)
+    return sizes.groupBy(*SIDE).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).where("pairs > 0")
 
 
 def _contingency(spark, sf_dir):
@@ -499,7 +500,7 @@ def incident_type_lookup(spark, sf_dir):
     return incidents.with_kind(table(spark, sf_dir, "clean_crime"), table(spark, sf_dir, "crime_code")).select("crime_id", "ucr_general", plain_kind(F.col("kind")).alias("kind"))
 
 
-_DAY = "CASE WHEN dispatch_date[5] = '-' THEN try_cast(dispatch_date[:10] AS DATE) END"
+_DAY = "CASE WHEN contains(dispatch_date, '/') THEN try_strptime(dispatch_date, '%m/%d/%Y')::DATE ELSE try_cast(dispatch_date[:10] AS DATE) END"
 
 
 @query(f"SELECT crime_id, strftime(d, '%Y-%m-%d') AS day, strftime(try_cast(strftime(d, '%Y-%m-%d') || ' ' || dispatch_time AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS moment, dayname(d) AS weekday_name, year(d)::INT AS year_of_day, strftime(try_cast('2016-05-08 ' || dispatch_time AS TIMESTAMP), '%H:%M:%S') AS week_time FROM (SELECT *, {_DAY} AS d FROM clean_crime WHERE point_x IS NOT NULL AND point_y IS NOT NULL AND NOT isnan(point_x) AND NOT isnan(point_y))")

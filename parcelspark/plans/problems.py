@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import plain_kind
 from ..operators.current import current_rows
 from ..operators.features import EntityFeatures, entity_features
-from ..operators.nearby import cover_discs, cover_polygons, inside_ring, match_cover, metres
+from ..operators.nearby import cover_discs, cover_polygons, discs, edge_share, match_cover, polygons
 from ..operators.rejects import load_incidents
 from ..operators.rolling import rolling_totals
 from ..sources.tables import table
@@ -51,29 +51,32 @@ def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_incidents(table(spark, sf_dir, "incident_raw"), table(spark, sf_dir, "crime_code"))[0]
 
 
-def _in_tract(points: DataFrame, tracts: DataFrame) -> DataFrame:
-    cover = cover_polygons(tracts, "region_id", "ring")
-    return match_cover(points, "point_x", "point_y", cover, inside_ring(F.col("point_x"), F.col("point_y"), F.col("cover_xs"), F.col("cover_ys")))
-
-
-def _near_site(points: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
-    cover = cover_discs(sites, "site_id", "site_x", "site_y", radius_m, steps=0)
-    return match_cover(points, "point_x", "point_y", cover, metres(F.col("point_x"), F.col("point_y"), F.col("cover_cx"), F.col("cover_cy")) <= radius_m)
+def _kinds(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """make of tracts and of sites, with their kind."""
+    tracts, sites = make(polygons, cover_polygons, (table(spark, sf_dir, "tract"), "region_id", "ring")), make(discs, cover_discs, (table(spark, sf_dir, "site"), "site_id", "site_x", "site_y", RADIUS_M))
+    return tracts.withColumn("kind", F.lit("tract")).unionByName(sites.withColumn("kind", F.lit("site")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites within 50 m of each row's point, and the tract that holds it where ngbh says otherwise."""
     points = table(spark, sf_dir, "clean_crime").select("crime_id", "ngbh", "point_x", "point_y")
-    sites = _near_site(points.drop("ngbh"), table(spark, sf_dir, "site"), RADIUS_M)
-    tracts = _in_tract(points, table(spark, sf_dir, "tract")).where(F.col("ngbh").isNull() | (F.col("ngbh") != F.col("shape_id")))
-    row = lambda df, kind: df.select("crime_id", F.lit(kind).alias("kind"), F.col("shape_id").alias("other_id"))
-    return row(sites, "site").unionByName(row(tracts, "tract"))
+    cover, shapes = _kinds(spark, sf_dir, lambda exact, cover, of: cover(*of)), _kinds(spark, sf_dir, lambda exact, cover, of: exact(*of))
+    held = match_cover(points, "point_x", "point_y", cover, shapes, ("kind",))
+    listed = (F.col("kind") == "site") | F.col("ngbh").isNull() | (F.col("ngbh") != F.col("shape_id"))
+    return held.where(listed).select("crime_id", "kind", F.col("shape_id").cast("int").alias("other_id"))
 
 
 def p4_region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by the tract that contains their point."""
-    points = table(spark, sf_dir, "clean_crime").select("point_x", "point_y")
-    return _in_tract(points, table(spark, sf_dir, "tract")).groupBy(F.col("shape_id").alias("region_id")).agg(F.count(F.lit(1)).alias("n"))
+    points, tracts = table(spark, sf_dir, "clean_crime").select("point_x", "point_y"), table(spark, sf_dir, "tract")
+    held = match_cover(points, "point_x", "point_y", cover_polygons(tracts, "region_id", "ring"), polygons(tracts, "region_id", "ring"))
+    return held.groupBy(F.col("shape_id").cast("int").alias("region_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the covers, and the share of their area that takes the exact test, by kind."""
+    share = edge_share(_kinds(spark, sf_dir, lambda exact, cover, of: cover(*of)), ["kind"])
+    return share.select("kind", "cells", F.round("edge_share", 6).alias("edge_share"))
 
 
 def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +95,7 @@ def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolling(spark, sf_dir).select("ngbh", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("t7").cast("bigint").alias("t7"), F.col("t30").cast("bigint").alias("t30"), F.round("avg7", 6).alias("avg7"), F.round("avg30", 6).alias("avg30"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_features, p3_found, p3_reasons, p3_loaded, p4_found, p4_region_counts, p5_found, p5_rolling)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_features, p3_found, p3_reasons, p3_loaded, p4_found, p4_region_counts, p4_cover, p5_found, p5_rolling)}
 
 _CURRENT = "current_row AS (SELECT * FROM clean_crime QUALIFY row_number() OVER (PARTITION BY dc_key ORDER BY loaded_at DESC NULLS LAST, crime_id DESC) = 1)"
 _SIDES = "side AS (SELECT region_id, ring[i].x AS x1, ring[i].y AS y1, ring[i % len(ring) + 1].x AS x2, ring[i % len(ring) + 1].y AS y2 FROM (SELECT region_id, ring, unnest(range(1, len(ring) + 1)) AS i FROM tract))"

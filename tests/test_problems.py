@@ -81,36 +81,67 @@ def shapes(spark):
     return rings, spark.createDataFrame([(i, None if r is None else [(float(x), float(y)) for x, y in r]) for i, r in rings], "region_id int, ring array<struct<x:double,y:double>>")
 
 
+def in_ring(ring, x, y):
+    """By the angles under which the point sees the sides."""
+    turn = 0.0
+    for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
+        turn += math.atan2((x1 - x) * (y2 - y) - (x2 - x) * (y1 - y), (x1 - x) * (x2 - x) + (y1 - y) * (y2 - y))
+    return abs(turn) > 3
+
+
 @pytest.mark.parametrize("limit", [nearby.BROADCAST_ROWS, 0])
-def test_regions(spark, shapes, limit, monkeypatch):
+@pytest.mark.parametrize("target", [1.0, 0.1])
+def test_regions(spark, shapes, limit, target, monkeypatch):
     monkeypatch.setattr(nearby, "BROADCAST_ROWS", limit)
     rings, df = shapes
+    df = df.unionByName(df.where("region_id = 2"))  # a shape that occurs twice matches twice
     rng = np.random.default_rng(3)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.uniform(-0.1, 0.5, (1500, 2)), rng.uniform(0.99, 1.02, (300, 2))]))]
-    pts += [(5000, None, 0.1), (5001, float("nan"), 0.1), (5002, float("inf"), 0.1), (5003, 0.05, 0.05), (5003, 0.05, 0.05)]
-    points = spark.createDataFrame(pts, "id int, px double, py double").withColumn("shape_id", F.lit(-1)).withColumn("level", F.lit(0)).withColumn("inside", F.lit(0))
-    cover = nearby.cover_polygons(df, "region_id", "ring")
-    got = sorted((r["id"], r["shape_id"]) for r in nearby.match_cover(points, "px", "py", cover, nearby.inside_ring(F.col("px"), F.col("py"), F.col("cover_xs"), F.col("cover_ys"))).collect())
+    pts += [(5000, None, 0.1), (5001, float("nan"), 0.1), (5002, float("inf"), 0.1), (5003, 0.05, 0.05), (5003, 0.05, 0.05), (5004, -1e300, 0.1)]
+    points = spark.createDataFrame(pts, "id int, px double, py double").withColumn("shape_id", F.lit(-1)).withColumn("level", F.lit(0)).withColumn("edge", F.lit(0))
+    cover, exact = nearby.cover_polygons(df, "region_id", "ring", target), nearby.polygons(df, "region_id", "ring")
+    got = sorted((r["id"], r["shape_id"]) for r in nearby.match_cover(points, "px", "py", cover, exact).collect())
     want = []
     for i, x, y in pts:
         for sid, ring in rings:
-            if ring and len(ring) > 2 and x is not None and np.isfinite(x):
-                xs, ys = np.array([*ring, ring[0]], float).T
-                if nearby._in_ring(xs, ys, np.array([x]), np.array([y]))[0]:
-                    want.append((i, sid))
+            if ring and len(ring) > 2 and x is not None and np.isfinite(x) and abs(x) < 1e6 and in_ring(ring, x, y):
+                want.extend([(i, sid)] * (2 if sid == 2 else 1))
     assert got == sorted(want) and len(want) > 300
-    assert nearby.match_cover(points.limit(0), "px", "py", cover, F.lit(True)).count() == 0
-    assert nearby.match_cover(points, "px", "py", nearby.cover_polygons(df.limit(0), "region_id", "ring"), F.lit(True)).count() == 0
+    assert all(r["edge_share"] <= target for r in nearby.edge_share(cover, ["shape_id"]).where("shape_id < 4").collect())
+    assert nearby.match_cover(points.limit(0), "px", "py", cover, exact).count() == 0
+    assert nearby.match_cover(points, "px", "py", nearby.cover_polygons(df.limit(0), "region_id", "ring"), exact.limit(0)).count() == 0
+
+
+def test_region_of_two_forms(spark):
+    """An id with two different outlines holds the points of both."""
+    square = lambda a: [(float(x), float(y)) for x, y in [(a, 0), (a + 0.1, 0), (a + 0.1, 0.1), (a, 0.1)]]
+    df = spark.createDataFrame([(1 << 40, square(0)), (1 << 40, square(5))], "region_id bigint, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 0.001, 0.05), (2, 5.05, 0.0999), (3, 3.0, 0.05)], "id int, px double, py double")
+    got = nearby.match_cover(points, "px", "py", nearby.cover_polygons(df, "region_id", "ring"), nearby.polygons(df, "region_id", "ring")).collect()
+    assert sorted((r["id"], r["shape_id"]) for r in got) == [(1, 1 << 40), (2, 1 << 40)]
+
+
+def test_large_region(spark):
+    """Sixty degrees across, of 4,000 corners: starts from coarse cells, ends in few."""
+    at = np.linspace(0, 2 * np.pi, 4000, endpoint=False)
+    ring = [(float(x), float(y)) for x, y in zip(30 * np.cos(at) * (1 + 0.05 * np.sin(40 * at)), 30 * np.sin(at) * (1 + 0.05 * np.sin(40 * at)))]
+    df = spark.createDataFrame([(1, ring)], "region_id int, ring array<struct<x:double,y:double>>")
+    cover = nearby.cover_polygons(df, "region_id", "ring")
+    share = nearby.edge_share(cover, ["shape_id"]).first()
+    assert share["cells"] < 5000 and share["edge_share"] <= 0.1
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.random.default_rng(5).uniform(-33, 33, (400, 2)))]
+    got = nearby.match_cover(spark.createDataFrame(pts, "id int, px double, py double"), "px", "py", cover, nearby.polygons(df, "region_id", "ring"))
+    assert sorted(r["id"] for r in got.collect()) == [i for i, x, y in pts if in_ring(ring, x, y)]
 
 
-@pytest.mark.parametrize("steps", [0, 2])
-def test_discs(spark, steps):
+@pytest.mark.parametrize("target", [1.0, 0.15])
+def test_discs(spark, target):
     rng = np.random.default_rng(4)
     sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.01, 0.01, (20, 2)))] + [(50, 179.9999, 60.0), (51, 0.0, 89.99), (52, None, 0.0), (53, 0.005, 0.005), (54, 0.005, 0.005)]
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.012, 0.012, (3000, 2)))] + [(9000, -179.9995, 60.0), (9001, 179.9999, 60.002), (9002, 1.0, 89.991), (9003, 0.005, 0.005), (9004, None, None)]
-    cover = nearby.cover_discs(spark.createDataFrame(sites, "s int, x double, y double"), "s", "x", "y", 300.0, steps)
+    centres = spark.createDataFrame(sites, "s int, x double, y double")
+    cover = nearby.cover_discs(centres, "s", "x", "y", 300.0, target)
     points = spark.createDataFrame(pts, "id int, px double, py double")
-    near = nearby.metres(F.col("px"), F.col("py"), F.col("cover_cx"), F.col("cover_cy")) <= 300.0
-    got = sorted((r["id"], r["shape_id"]) for r in nearby.match_cover(points, "px", "py", cover, near).collect())
+    got = sorted((r["id"], r["shape_id"]) for r in nearby.match_cover(points, "px", "py", cover, nearby.discs(centres, "s", "x", "y", 300.0)).collect())
     want = sorted((i, s) for i, x, y in pts for s, a, b in sites if x is not None and a is not None and nearby._metres(x, y, a, b) <= 300.0)
     assert got == want and len(want) > 1000

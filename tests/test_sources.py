@@ -28,11 +28,12 @@ def test_scalars(spark):
 
 
 def test_times_and_kinds(spark):
-    df = spark.createDataFrame([(1, 600, "2010-01-03 00:00:00", "10:00:00"), (2, 7, "01/03/2010", "25:00:00"), (3, None, None, None)], "id int, ucr_general int, dispatch_date string, dispatch_time string")
+    df = spark.createDataFrame([(1, 600, "2010-01-03 00:00:00", "10:00:00"), (2, 7, "01/03/2010", "25:00:00"), (3, None, None, None), (4, 7, "13/01/2010", "10:00:00"), (5, 7, "5 May", "10:00:00")], "id int, ucr_general int, dispatch_date string, dispatch_time string")
     codes = spark.createDataFrame([(600, "theft"), (600, "zzz"), (None, "x")], "ucr_general int, crimetype string")
     rows = {r["id"]: r for r in incidents.with_times(incidents.with_kind(df, codes)).collect()}
     assert rows[1]["kind"] == "theft" and rows[1]["weekday_name"] == "Sunday" and rows[1]["year_of_day"] == 2010
-    assert rows[2]["kind"] is None and rows[2]["day"] is None and rows[2]["week_time"] is None and len(rows) == 3
+    assert rows[2]["kind"] is None and str(rows[2]["day"]) == "2010-01-03" and rows[2]["moment"] is None and rows[2]["week_time"] is None and len(rows) == 5
+    assert all(rows[i]["day"] is None for i in (3, 4, 5))
 
 
 def test_counts_without_a_cap(spark):
