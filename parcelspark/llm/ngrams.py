@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +29,27 @@ GATHER = 200_000
 
 
 def _suffixes(longest: int):
-    """Suffixes of each record's terms, equal ones of a task summed."""
+    """Suffixes of each record's terms, equal ones of a task summed; equal records of a batch are cut once."""
+    kinds = pa.schema([("field", pa.string()), ("suffix", pa.list_(pa.string())), ("seen", pa.int32()), ("n", pa.int64())])
 
-    def frame(counts: Counter) -> pd.DataFrame:
-        keys = list(counts)
-        return pd.DataFrame({"field": [k[0] for k in keys], "suffix": [k[1] for k in keys], "seen": [k[2] for k in keys], "n": list(counts.values())})
+    def frame(counts: Counter) -> pa.RecordBatch:
+        columns = [[k[0] for k in counts], [list(k[1]) for k in counts], [k[2] for k in counts], list(counts.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for field, terms, n in zip(batch["field"], batch["terms"], batch["n"]):
+            equal = pa.Table.from_batches([batch]).group_by(["field", "value", "cut"]).aggregate([([], "count_all")]).to_pydict()
+            for field, value, cut, n in zip(equal["field"], equal["value"], equal["cut"], equal["count_all"]):
+                terms = value.split(" ") if cut else [value]
                 shown: set = set()
                 for i in range(len(terms)):
-                    prefixes = [" ".join(terms[i : i + k]) for k in range(1, min(longest, len(terms) - i) + 1)]
+                    suffix = tuple(terms[i : i + longest])
                     seen = 0
-                    while seen < len(prefixes) and prefixes[seen] in shown:
+                    while seen < len(suffix) and suffix[: seen + 1] in shown:
                         seen += 1
-                    shown.update(prefixes[seen:])
-                    counts[field, prefixes[-1], seen] += n
+                    shown.update(suffix[: k + 1] for k in range(seen, len(suffix)))
+                    counts[field, suffix, seen] += n
                 if len(counts) > GATHER:
                     yield frame(counts)
                     counts = Counter()
@@ -69,7 +73,7 @@ def _stacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for f, suffix, seen, n in zip(batch["field"], batch["suffix"], batch["seen"], batch["n"]):
-            terms = suffix.split(" ")
+            terms = list(suffix)
             shared = 0
             if f == field:
                 while shared < min(len(stack), len(terms)) and stack[shared][0] == terms[shared]:
@@ -90,7 +94,7 @@ def _stacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["field", "term", "length", "occurrences", "records"])
 
 
-def term_frequencies(df: DataFrame, texts: list[str] = (), codes: list[str] = (), longest: int = 1, least_records: int = 5, most_share: float = 0.1) -> DataFrame:
+def term_frequencies(df: DataFrame, texts: list[str] = (), codes: list[str] = (), longest: int = 3, least_records: int = 5, most_share: float = 0.1) -> DataFrame:
     """field, term, length, occurrences, records, mark for every n-gram of 1..longest terms.
 
     texts: columns of which the lower-cased text is cut into TERMs. codes: columns of which the
@@ -99,19 +103,18 @@ def term_frequencies(df: DataFrame, texts: list[str] = (), codes: list[str] = ()
     null. Every row counts as a record, repeated rows as well. Null, empty and term-free texts
     give no term but count as rows; an empty df gives no row.
 
-    Equal values of a column are counted before they are cut, equal suffixes before they are
+    Equal records of a batch are cut once, equal suffixes of a task are summed before they are
     shuffled, and the suffixes of one first term go to SALTS places by their second term; so a
-    value or term that fills a third of the rows is a few rows per task.
+    value or term that fills a third of the rows is a few rows per task. No text is shuffled, only its
+    suffixes of up to longest terms.
     """
     total = df.count()
-    picked = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in [*texts, *codes]])
-    values = df.select(F.explode(picked).alias("p")).select("p.*").where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    cut = F.when(F.col("field").isin(list(codes)), F.array("value")).otherwise(F.regexp_extract_all(F.lower("value"), F.lit(TERM), F.lit(0)))
-    records = values.select("field", cut.alias("terms"), "n")
-    suffixes = records.mapInPandas(_suffixes(longest), "field string, suffix string, seen int, n bigint")
-    terms = F.split("suffix", " ")
-    routed = suffixes.repartition("field", terms[0], F.pmod(F.hash(F.get(terms, F.lit(1))), F.lit(SALTS)))
+    cut = [F.struct(F.lit(c).alias("field"), F.array_join(F.regexp_extract_all(F.lower(F.col(c).cast("string")), F.lit(TERM), F.lit(0)), " ").alias("value"), F.lit(True).alias("cut")) for c in texts]
+    whole = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"), F.lit(False).alias("cut")) for c in codes]
+    records = df.select(F.explode(F.array(*cut, *whole)).alias("p")).select("p.*").where(F.col("value").isNotNull() & (~F.col("cut") | (F.col("value") != "")))
+    suffixes = records.mapInArrow(_suffixes(longest), "field string, suffix array<string>, seen int, n bigint")
+    routed = suffixes.repartition("field", F.get("suffix", F.lit(0)), F.pmod(F.hash(F.get("suffix", F.lit(1))), F.lit(SALTS)))
     counted = routed.sortWithinPartitions(F.desc("field"), F.desc("suffix")).mapInPandas(_stacked, "field string, term string, length int, occurrences bigint, records bigint")
-    whole = counted.groupBy("field", "term", "length").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    sums = counted.groupBy("field", "term", "length").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     mark = F.when(F.col("records") < least_records, "rare").when(F.col("records") > most_share * total, "common")
-    return whole.withColumn("mark", mark)
+    return sums.withColumn("mark", mark)
