@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .slices import sliced
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: The pattern of the vocabularies, with the white space of Unicode (fixed value).
@@ -203,8 +204,7 @@ def _apply(df: DataFrame, key: str, text: str, out: str, kind: str, make, tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(file.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in sliced(batch, 1):
                 ids, sizes = encoder.rows(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), make(ids, sizes)], names=[key, out])
 
@@ -225,3 +225,16 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """key and n_tokens (BIGINT) of every row; see token_ids."""
     return _apply(df, key, text, "n_tokens", "bigint", lambda ids, sizes: pa.array(sizes, pa.int64()), tokenizer, folder)
+
+
+def decoded(ids: DataFrame, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """key and text, as bytes, of every row of token ids: the inverse of token_ids; an empty or null list gives no bytes."""
+    file = ids.sparkSession.sparkContext.broadcast(_ranks(tokenizer, folder))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {rank: t for t, rank in vocabulary(file.value).ranks.items()}
+        for batch in batches:
+            texts = [b"".join(map(token.__getitem__, row or ())) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=[key, "text"])
+
+    return ids.select(key, "ids").mapInArrow(run, f"`{key}` {dict(ids.dtypes)[key]}, text binary")

@@ -10,7 +10,7 @@ tightest gaps.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Items of one size are ranked in this many parts at least, and in parts of about PART items.
-PARTS, PART = 32, 100_000
+#: Items of one size are ranked in this many parts at least, and in parts of about PART items; a plan that is not broadcast is joined in SALTS parts.
+PARTS, PART, SALTS = 32, 100_000, 32
 #: A plan of at most so many rows is broadcast; it has a few rows per distinct size, however many items.
 BROADCAST_ROWS = 500_000
 PLAN = "spec_id int, n_tokens bigint, first bigint, last bigint, container bigint, per bigint"
@@ -53,7 +53,7 @@ def plan(capacity: int, counts: dict[int, int]) -> list[tuple[int, int, int, int
     large = sorted(s for s in left if 3 * s > capacity)
     while large:
         size = large[-1]
-        at = bisect_left(large, capacity - size + 1) - 1
+        at = bisect_right(large, capacity - size) - 1
         mate = large[min(at, len(large) - 1)] if at >= 0 else None
         if mate == size and left[size] == 1:
             mate = large[-2] if len(large) > 1 else None
@@ -71,7 +71,9 @@ def plan(capacity: int, counts: dict[int, int]) -> list[tuple[int, int, int, int
             put(mate, n, opened, 1)
             leave(capacity - size - mate, opened, n)
         opened += n
-        large = [s for s in large if left[s]] if mate is not None else large[:-1]
+        for s in {size, mate} if mate is not None else {size}:
+            if not left[s]:
+                del large[bisect_left(large, s)]
 
     for size in sorted((s for s in left if 0 < 3 * s <= capacity), reverse=True):
         while left[size]:
@@ -102,20 +104,19 @@ def plan(capacity: int, counts: dict[int, int]) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n_tokens", most_specs: int = 1000) -> DataFrame:
+def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """spec_id, key, piece, first_token, n_tokens, container: where each item goes for each capacity.
 
-    specs: spec_id, capacity, a small table (more than most_specs rows are an error). An item above
+    specs: spec_id, capacity, a small table, broadcast as one row; of a repeated spec_id the least capacity holds. An item above
     the capacity is cut into pieces of just the capacity and a rest, numbered from 0; no other
     item is cut. An item of size 0 (a null counts as 0, and so does a negative size) has one piece
     without tokens. Rows with a null or repeated key are items like any other. A spec with a
     null or non-positive capacity gives no row; neither does an empty table of items.
     """
-    known = [(r[0], r[1]) for r in specs.select("spec_id", F.col("capacity").cast("bigint")).where(F.col("capacity") > 0).limit(most_specs + 1).collect()]
-    if len(known) > most_specs:
-        raise ValueError(f"more than {most_specs} specs")
-    each = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for s, c in known]) if known else F.array().cast("array<struct<spec_id:int,capacity:bigint>>")
-    whole = sizes.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_whole"), F.explode(each).alias("s"))
+    known = specs.where(F.col("capacity") > 0).groupBy(F.col("spec_id").cast("int").alias("spec_id")).agg(F.min(F.col("capacity").cast("bigint")).alias("capacity"))
+    each = known.groupBy(F.lit(1).alias("_one")).agg(F.collect_list(F.struct("spec_id", "capacity")).alias("_specs"))
+    whole = sizes.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_whole"), F.lit(1).alias("_one"))
+    whole = whole.join(F.broadcast(each), "_one").select("_key", "_whole", F.explode("_specs").alias("s"))
     pieces = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("_whole") / F.col("s.capacity")) - 1, F.lit(0)).cast("bigint"))
     cut = whole.select(F.col("s.spec_id").alias("spec_id"), F.col("s.capacity").alias("capacity"), "_key", "_whole", F.explode(pieces).alias("piece"))
     items = cut.select("spec_id", "capacity", "_key", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.least(F.col("capacity"), F.col("_whole") - F.col("piece") * F.col("capacity")).alias("n_tokens"))
@@ -138,11 +139,15 @@ def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n
     by_part = Window.partitionBy("spec_id", "n_tokens", "part").orderBy("_key", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(by_part) - 1).join(begins, ["spec_id", "n_tokens", "part"])
     ranked = ranked.withColumn("at", F.col("begin") + F.col("rank"))
-    side = plans.select(F.col("spec_id").alias("_s"), F.col("n_tokens").alias("_t"), "first", "last", "container", "per")
+    ranges = F.array_sort(F.collect_list(F.struct("first", "container", "per"))).alias("ranges")  # one row a size, so an item meets one row
+    side = plans.groupBy(F.col("spec_id").alias("_s"), F.col("n_tokens").alias("_t")).agg(ranges)
+    on = (F.col("spec_id") == F.col("_s")) & (F.col("n_tokens") == F.col("_t"))
     if facts[0] <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    placed = ranked.join(side, (F.col("spec_id") == F.col("_s")) & (F.col("n_tokens") == F.col("_t")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
-    return placed.select("spec_id", F.col("_key").alias(key), "piece", "first_token", "n_tokens", (F.col("container") + F.floor((F.col("at") - F.col("first")) / F.col("per"))).alias("container"))
+    else:  # a size may hold a third of the items
+        side, on = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on & (F.pmod("part", F.lit(SALTS)) == F.col("_salt"))
+    placed = ranked.join(side, on).withColumn("r", F.element_at(F.filter("ranges", lambda r: r["first"] <= F.col("at")), -1))
+    return placed.select("spec_id", F.col("_key").alias(key), "piece", "first_token", "n_tokens", (F.col("r.container") + F.floor((F.col("at") - F.col("r.first")) / F.col("r.per"))).alias("container"))
 
 
 def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
@@ -153,3 +158,19 @@ def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     sums = packed.groupBy("spec_id").agg((F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
     joined = sums.join(specs.select("spec_id", "capacity"), "spec_id")
     return joined.select("spec_id", "capacity", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("filled"))
+
+
+def faults(packed: DataFrame, sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """spec_id, documents, overfull (containers above the capacity), torn (items cut though they fit), lost (items whose tokens don't come out just once); key is unique.
+
+    sizes: tokenizer, key, size. A packing without faults has 0 in the last three.
+    """
+    known = specs.where(F.col("capacity") > 0).select("spec_id", "tokenizer", "capacity")
+    load = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("load")).join(F.broadcast(known), "spec_id")
+    overfull = load.groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"))
+    pieces = packed.groupBy("spec_id", key).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("held"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end")).join(F.broadcast(known), "spec_id")
+    want = sizes.select("tokenizer", key, F.col(size).alias("want"))
+    rows = pieces.join(want, ["tokenizer", key], "full")
+    wrong = F.coalesce((F.col("held") != F.col("want")) | (F.col("end") != F.col("want")), F.lit(True))
+    by = rows.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("want") <= F.col("capacity"))).alias("torn"), F.count_if(wrong).alias("lost"))
+    return by.join(overfull, "spec_id", "left").select("spec_id", "documents", "overfull", "torn", "lost")

@@ -43,6 +43,22 @@ def test_terms(spark, longest):
     assert ngrams.term_frequencies(df.limit(0), texts=["value"]).count() == 0
 
 
+def test_codes_with_blanks(spark):
+    """A code is one term, whatever it holds."""
+    df = spark.createDataFrame([("Theft over",)] * 5 + [("Theft",)] * 2 + [("Theft from car",)] * 3 + [("",), (None,)], "code string")
+    got = {r["term"]: (r["length"], r["occurrences"], r["records"]) for r in ngrams.term_frequencies(df, codes=["code"]).collect()}
+    assert got == {"Theft over": (1, 5, 5), "Theft": (1, 2, 2), "Theft from car": (1, 3, 3), "": (1, 1, 1)}
+
+
+def test_hot_term_and_long_text(spark, monkeypatch):
+    """A term of a third of all records, and a text far longer than what a task gathers."""
+    monkeypatch.setattr(ngrams, "GATHER", 50)
+    rows = ["hot a"] * 400 + [f"w{i} hot b{i % 7}" for i in range(600)] + [" ".join(f"t{i % 90}" for i in range(5000))]
+    df = spark.createDataFrame([(t,) for t in rows], "value string").repartition(5)
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in ngrams.term_frequencies(df, texts=["value"]).collect()}
+    assert got == brute_terms(rows, 3)
+
+
 def library():
     import public_tokenizers as p
     import tiktoken
@@ -59,6 +75,7 @@ def test_token_ids(spark, small):
     assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
     assert {r["doc_id"]: r["n_tokens"] for r in encode.token_counts(df).collect()} == {i: len(x) for i, x in got.items()}
     assert encode.token_ids(df.limit(0)).count() == 0
+    assert {r["doc_id"]: bytes(r["text"]) for r in encode.decoded(encode.token_ids(df)).collect()} == {i: (t or "").encode() for i, t in enumerate(TEXTS)}
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     texts = {r[0]: r[1] for r in docs.collect()}
     assert all(list(r["ids"]) == (enc.encode_ordinary(texts[r["doc_id"]]) if texts[r["doc_id"]] else []) for r in encode.token_ids(docs).collect())
@@ -106,6 +123,13 @@ def test_pack(spark, limit, monkeypatch):
         assert all(pieces[k] == max(1, -(-s // capacity)) for k, s in sizes.items())
     assert set(rows.spec_id) == {1, 2}
     df = df.withColumnRenamed("piece", "doc_id")
+    sound = df.select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).alias("n_tokens"), F.lit("t").alias("tokenizer"))
+    named = specs.withColumn("tokenizer", F.lit("t"))
+    packed = packing.pack(df, specs)
+    assert sorted(map(tuple, packing.faults(packed, sound, named).collect())) == [(1, 2002, 0, 0, 0), (2, 2002, 0, 0, 0)]
+    broken = packed.where("doc_id <> 7").withColumn("container", F.when(F.col("container") == 1, 0).otherwise(F.col("container")))
+    assert all(r["overfull"] == 1 for r in packing.faults(broken, sound.where("doc_id <> 7"), named).collect())
+    assert packing.pack(df, specs.unionByName(spark.createDataFrame([(i, 50) for i in range(5, 1500)], specs.schema))).where("spec_id = 1499").count() >= 2002
     assert packing.fill(packing.pack(df, specs), specs).count() == 2
     assert packing.pack(df.limit(0), specs).count() == 0 and packing.pack(df, specs.limit(0)).count() == 0
 
@@ -138,10 +162,43 @@ def test_abuse(spark):
     assert {x["source"] for x in rates} == {"even", None, "x"} and sum(x["documents"] for x in rates) == 703
 
 
+def test_class_prior_and_threshold():
+    """Scores of which some positive ones lie with the negative ones; the prior is found from the rest, and the threshold lies between."""
+    r = np.random.default_rng(12)
+    for share in (0.03, 0.2):
+        positive = np.concatenate([r.normal(6, 1, 360), r.normal(-2, 1, 40)])
+        unlabelled = np.where(r.random(8000) < share, r.normal(6, 1, 8000), r.normal(-2, 1, 8000))
+        assert share * 0.8 < abuse.class_prior(positive, unlabelled) < share * 1.5
+        assert 1.0 < abuse.threshold(positive, unlabelled) < 5.0
+    assert abuse.class_prior(np.zeros(0), unlabelled) == 1.0
+    none = abuse.threshold(np.full(3, -5.0), np.full(30, -5.0))
+    assert none > -5.0  # nothing tells them apart: nothing offends
+
+
+def test_plain_words():
+    assert abuse.plain_words("idiоt") == ["idiot"] and abuse.plain_words("f.o O") == ["foo"] and abuse.plain_words("aBc") == ["a", "bc"]
+    assert abuse.plain_words("you\u200b") == ["you"] and abuse.plain_words("\u200b") == [] and abuse.plain_words("XMLHttp") == ["xmlhttp"]
+
+
+def test_sample_of_blocks(spark, monkeypatch):
+    """More confirmed texts than are wanted: the sample comes from blocks of ids that the scan seeks."""
+    monkeypatch.setattr(abuse, "CONFIRMED_ROWS", 50)
+    monkeypatch.setattr(abuse, "IDS", 20)
+    monkeypatch.setattr(abuse, "MEMBER_ROWS", 20)
+    monkeypatch.setattr(abuse, "OPEN_ROWS", 40)
+    d = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    lab = spark.range(0, 2000, 4).select(F.col("id").alias("doc_id"), F.lit("a").alias("rater"), F.lit(1).alias("offends"))
+    rows = abuse.sample(d, lab).toPandas()
+    n = rows.groupby("role").size()
+    blocks = {int(w[1]) // 20 for w in rows.words}
+    assert 20 <= n["confirmed"] / 2 + n["held"] <= 50 and len(blocks) < 25
+    assert 15 <= n["unlabelled"] + n["open"] <= 160
+
+
 def test_long_words_stay_whole(spark):
     """A run of letters beyond the length of a word is several words, and none of it is lost."""
     run = "".join(chr(97 + i % 26) for i in range(1003))
     df = spark.createDataFrame([(1, run), (2, None), (3, ""), (4, "x" * 40 + " y")], "doc_id long, text string")
-    got = {r["doc_id"]: r["w"] for r in df.select("doc_id", abuse.words_of(F.col("text")).alias("w")).collect()}
+    got = {r["doc_id"]: [p for w in r["w"] for p in abuse.plain_words(w)] for r in df.select("doc_id", abuse.words_of(F.col("text")).alias("w")).collect()}
     assert "".join(got[1]) == run and max(map(len, got[1])) == 40
     assert got[2] == [] and got[3] == [] and got[4] == ["x" * 40, "y"]
