@@ -7,21 +7,32 @@ a unit of theirs, so they cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-from .graph import cluster_adjacency, components, neighbour_clusters
+from ..session import over_cores
+from .graph import cluster_adjacency, neighbour_clusters
 
 
 def _named(kind: str, *parts: str):
     return F.concat_ws(":", F.lit(kind), *parts)
 
 
+def valued(assignment: DataFrame, values: DataFrame | None, keys: list[str], value: str = "value") -> DataFrame:
+    """The assignment with the units' values; values has any of the keys. Without values the assignment has the column itself."""
+    if values is None:
+        return assignment
+    on = [c for c in values.columns if c in (*keys, "unit_id")]
+    return assignment.join(values.select(*on, value), on)
+
+
 def island_units(assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.05) -> DataFrame:
     """The ceil(share · n) lowest and highest units of each cluster of over one unit; of equals the lower unit_id first, each unit once."""
-    on = [c for c in values.columns if c in (*keys, "unit_id")]
-    rows = assignment.join(values.select(*on, value), on)
+    rows = valued(assignment, values, keys, value)
     w = Window.partitionBy(*keys, "cluster_id")
     ranked = rows.withColumns({"low": F.row_number().over(w.orderBy(F.asc(value), "unit_id")), "high": F.row_number().over(w.orderBy(F.desc(value), "unit_id")), "n": F.count(F.lit(1)).over(w)})
     few = F.ceil(F.col("n") * share)
@@ -30,8 +41,7 @@ def island_units(assignment: DataFrame, values: DataFrame, keys: list[str], valu
 
 def tail_sets(assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
     """end, size, unit_id: growing sets of 2..ceil(share · n) lowest (left) and highest (right) units of each cluster."""
-    on = [c for c in values.columns if c in (*keys, "unit_id")]
-    rows = assignment.join(values.select(*on, value), on)
+    rows = valued(assignment, values, keys, value)
     w = Window.partitionBy(*keys, "cluster_id")
     ranked = rows.withColumn("most", F.ceil(F.count(F.lit(1)).over(w) * share).cast("int"))
     sides = [ranked.withColumn("end", F.lit(s)).withColumn("rank", F.row_number().over(w.orderBy(o, "unit_id"))) for s, o in (("left", F.asc(value)), ("right", F.desc(value)))]
@@ -47,14 +57,42 @@ def merges(edges: DataFrame, assignment: DataFrame, keys: list[str]) -> DataFram
     return touched.join(assignment, [*keys, "cluster_id"]).select(*keys, _named("merge", "c1", "c2").alias("cand"), "unit_id", F.lit(1).alias("part"))
 
 
+def _pieces(units: np.ndarray, part: np.ndarray, near: list) -> np.ndarray:
+    """The least unit of each unit's component within its part; units ascend."""
+    place = {int(u): i for i, u in enumerate(units)}
+    label = np.zeros(len(units), int)
+    for i, u in enumerate(units):
+        if not label[i]:
+            label[i], todo = u, [i]
+            while todo:
+                j = todo.pop()
+                for v in near[j] if near[j] is not None else ():
+                    k = place.get(int(v))
+                    if k is not None and not label[k] and part[k] == part[j]:
+                        label[k] = u
+                        todo.append(k)
+    return label
+
+
 def cut(edges: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates from parts (keys, cand, unit_id, part): each part is cut into its components; the new labels are negative. One call serves all families."""
+    """Candidates from parts (keys, cand, unit_id, part): each part is cut into its components; the new labels are negative. One call serves all families.
+
+    The units of one candidate, which are those of the clusters that it touches, are cut in one task; unit ids are above 0.
+    """
     by = [*keys, "cand"]
-    parts = written(parts, "parts")
-    a = parts.select(*by, F.col("unit_id").alias("src"), F.col("part").alias("p"))
-    b = parts.select(*by, F.col("unit_id").alias("dst"), F.col("part").alias("q"))
-    inner = a.join(edges.select("src", "dst"), "src").join(b, [*by, "dst"]).where(F.col("p") == F.col("q"))
-    return components(parts, inner.select(*by, "src", "dst"), by).select(*by, "unit_id", (-F.col("component")).alias("cluster_id"))
+    types = dict(parts.dtypes)
+    near = edges.groupBy(F.col("src").alias("unit_id")).agg(F.collect_set("dst").alias("near"))
+    packed = parts.join(near, "unit_id", "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("unit_id").cast("int").alias("unit_id"), F.col("part").cast("int").alias("part"), "near"))).alias("m"))
+    flat = packed.select(*by, F.col("m.unit_id").alias("units"), F.col("m.part").alias("part"), F.col("m.near").alias("near"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            labels = [_pieces(np.asarray(u), np.asarray(p), n) for u, p, n in zip(batch["units"], batch["part"], batch["near"])]
+            yield batch[[*by, "units"]].assign(labels=labels)
+
+    made = over_cores(flat).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", units array<int>, labels array<int>")
+    rows = made.select(*by, F.explode(F.arrays_zip("units", "labels")).alias("u"))
+    return rows.select(*by, F.col("u.units").cast(types["unit_id"]).alias("unit_id"), (-F.col("u.labels")).cast(types["unit_id"]).alias("cluster_id"))
 
 
 def islands(assignment: DataFrame, values: DataFrame, keys: list[str], value: str, share: float = 0.05) -> DataFrame:
@@ -79,8 +117,7 @@ def kmeans_splits(assignment: DataFrame, values: DataFrame, keys: list[str], val
     In one dimension the best split is a cut in sorted order; sums before each cut give its
     sum of squares. Of equal cuts the lowest is taken. A cluster whose values are all equal has none.
     """
-    on = [c for c in values.columns if c in (*keys, "unit_id")]
-    rows = assignment.join(values.select(*on, value), on)
+    rows = valued(assignment, values, keys, value)
     w = Window.partitionBy(*keys, "cluster_id")
     before = w.orderBy(value, "unit_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"rank": F.row_number().over(w.orderBy(value, "unit_id")), "head": F.sum(value).over(before), "all": F.sum(value).over(w), "n": F.count(F.lit(1)).over(w), "spread": F.max(value).over(w) - F.min(value).over(w)})

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .compare import kmeans_path, spectral_path
+from .moves import valued
 
 
 def narrow(n: int) -> int:
@@ -30,9 +31,8 @@ def wide_down(n: int) -> int:
     return min(5, math.isqrt(n))
 
 
-def _valued(assignment: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    on = [c for c in values.columns if c in (*keys, "unit_id")]
-    return assignment.select(*keys, "unit_id", "cluster_id").join(values.select(*on, "value"), on).where(F.col("value").isNotNull())
+def _valued(assignment: DataFrame, values: DataFrame | None, keys: list[str]) -> DataFrame:
+    return valued(assignment, values, keys).select(*keys, "unit_id", "cluster_id", "value").where(F.col("value").isNotNull())
 
 
 def kmeans_parts(assignment: DataFrame, values: DataFrame, keys: list[str], most: Callable[[int], int] = narrow) -> DataFrame:
@@ -71,7 +71,7 @@ def both_tails(assignment: DataFrame, values: DataFrame, keys: list[str], share:
     return rows.select(*keys, "cluster_id", "unit_id", kinds).select(*keys, F.concat_ws(":", F.lit("ends"), "cluster_id", "_kind.name").alias("cand"), "unit_id", F.col("_kind.part").alias("part"))
 
 
-def nearest_outside(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
+def nearest_outside(edges: DataFrame, assignment: DataFrame, values: DataFrame | None, keys: list[str], pieces: DataFrame) -> DataFrame:
     """keys, cand, piece, to: for each piece of a cut cluster the other cluster that touches it and whose mean is nearest; the least id of equals; none where no other touches it.
 
     pieces: candidates that touch one cluster each (keys, cand, unit_id, cluster_id).
@@ -79,7 +79,7 @@ def nearest_outside(edges: DataFrame, assignment: DataFrame, values: DataFrame,
     by = [*keys, "cand"]
     was = assignment.select(*keys, "unit_id", F.col("cluster_id").alias("_was"))
     means = _valued(assignment, values, keys).groupBy(*keys, F.col("cluster_id").alias("to")).agg(F.avg("value").alias("_other"))
-    own = pieces.join(values.select(*[c for c in values.columns if c in (*keys, "unit_id")], "value"), [c for c in values.columns if c in (*keys, "unit_id")])
+    own = valued(pieces, assignment.select(*keys, "unit_id", "value") if values is None else values, keys)
     own = own.groupBy(*by, F.col("cluster_id").alias("piece")).agg(F.avg("value").alias("_own"))
     ends = pieces.join(was, [*keys, "unit_id"]).select(*by, F.col("cluster_id").alias("piece"), F.col("unit_id").alias("src"), "_was")
     far = assignment.select(*keys, F.col("unit_id").alias("dst"), F.col("cluster_id").alias("to"))

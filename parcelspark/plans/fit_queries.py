@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare, graph, joint, panel, partitions, parts, score
+from ..operators.trial import Prior
 from ..session import written
 from .panel_queries import SIDE, _asg, _classes, _edges, _needed, _panel, _units, _values
-from .search import Problem, ensemble_fit, estimates, map_fit, tuned
+from .search import Problem, ensemble_fit, map_fit, one_cluster, start_grid, tuned, whole_fit
 
 
-def _problem(spark, sf_dir):
-    return Problem.of(_panel(spark, sf_dir), _edges(spark, sf_dir))
+def _problem(spark, sf_dir, **options):
+    return Problem.of(_panel(spark, sf_dir), _edges(spark, sf_dir), **options)
 
 
 def _start(spark, sf_dir):
@@ -20,25 +21,51 @@ def _start(spark, sf_dir):
 
 
 def map_search(spark, sf_dir):
-    """The best pair from one cluster, rounds until nothing changes: assignment of every unit."""
-    return map_fit(_problem(spark, sf_dir))[0]
+    """The best pair that the moves reach from a drawn start: cluster and means of every unit."""
+    fit = map_fit(_problem(spark, sf_dir))
+    return fit.assignment.join(fit.estimates, [*SIDE, "unit_id"])
+
+
+def ensemble_start(spark, sf_dir):
+    """The k-means starts of every pair of numbers of classes, with the chance of each."""
+    return start_grid(_problem(spark, sf_dir))[1]
 
 
 def ensemble_search(spark, sf_dir):
-    """Particles of an ensemble, with their weights: all families, sweeps until nothing changes, then every unit as an island."""
-    _, now, weights = ensemble_fit(_problem(spark, sf_dir), _start(spark, sf_dir))
-    return now.join(weights, ["run_id", "particle_id"]).select("run_id", "particle_id", "k_A", "k_B", "log_post", "w")
+    """Particles of an ensemble of ten, with their weights: drawn starts, all families, sweeps until nothing changes, then every unit as an island."""
+    return ensemble_fit(_problem(spark, sf_dir)).particles
+
+
+def ensemble_uniform(spark, sf_dir):
+    """The same under the uniform prior of partitions, from one cluster."""
+    problem = _problem(spark, sf_dir, prior=Prior("uniform"))
+    return ensemble_fit(problem, start=one_cluster(problem.units, 10)).particles
+
+
+def whole_search(spark, sf_dir):
+    """Estimates of every unit, averaged over an ensemble that starts at the best pair, with hyperparameters tuned there."""
+    fit = whole_fit(_panel(spark, sf_dir), _edges(spark, sf_dir))[0]
+    rows = fit.estimates.join(fit.particles.select("run_id", "particle_id", "w"), ["run_id", "particle_id"])
+    return rows.groupBy("run_id", "side", "unit_id").agg(F.sum(F.col("w") * F.col("mean")).alias("mean"))
+
+
+def equal_sides_search(spark, sf_dir):
+    """The best partition that serves levels and slopes alike."""
+    return map_fit(_problem(spark, sf_dir, equal=True)).assignment
 
 
 def posterior_estimates(spark, sf_dir):
     """Posterior means of every unit's level and slope in every particle."""
-    return estimates(_problem(spark, sf_dir), _start(spark, sf_dir))
+    units, edges = _units(spark, sf_dir), _edges(spark, sf_dir)
+    stats = score.scored_clusters(_start(spark, sf_dir), units, edges, panel.default_hyperparameters(units), SIDE)
+    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("mean")))
+    return score.posterior_means(stats, SIDE).groupBy("run_id", "particle_id", "unit_id").agg(pick("A").alias("alpha"), pick("B").alias("beta"))
 
 
 def hyperparam_tuning(spark, sf_dir):
     """Hyperparameters where the likelihood of the best pair found by map_fit is greatest."""
     problem = _problem(spark, sf_dir)
-    return tuned(problem, map_fit(problem)[0])
+    return tuned(problem, map_fit(problem).assignment)
 
 
 def _packed(spark, sf_dir, rows):
@@ -120,7 +147,7 @@ def spanning_tree(spark, sf_dir):
     return compare.spanning_tree(weighted, ["run_id"])
 
 
-QUERIES = {f.__name__: f for f in (map_search, ensemble_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, kmeans_split, silhouette, comparator_scores, spanning_tree)}
+QUERIES = {f.__name__: f for f in (map_search, ensemble_start, ensemble_search, ensemble_uniform, whole_search, equal_sides_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, kmeans_split, silhouette, comparator_scores, spanning_tree)}
 _PAIRS = "SELECT a.run_id, a.particle_id, a.side, a.unit_id, a.cluster_id AS own, b.cluster_id AS other, sum(abs(a.value - b.value)) AS d, count(*) AS n FROM class a JOIN class b ON (a.run_id, a.particle_id, a.side) = (b.run_id, b.particle_id, b.side) GROUP BY ALL"
 _SILHOUETTE = f"SELECT run_id, particle_id, side, round(avg(CASE WHEN b IS NULL THEN NULL WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM (SELECT run_id, particle_id, side, unit_id, max(d / nullif(n - 1, 0)) FILTER (own = other) AS a, min(d / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM ({_PAIRS}) GROUP BY ALL) GROUP BY ALL"
 SQL = {"silhouette": "WITH " + ", ".join(_needed(_SILHOUETTE)) + " " + _SILHOUETTE}

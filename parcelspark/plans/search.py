@@ -1,255 +1,327 @@
 """Search for good pairs of partitions, for all runs and particles at once.
 
-One step takes one side of some particles. All move families propose candidates as rows; the
-clusters that a candidate touches are scored, the others keep their numbers; the candidate's
-objective follows from sums; the best one of each particle is taken if it is better. A step is a
-handful of Spark jobs whatever the number of runs. What a step leaves is written to the shared
-folder, so lineage stays short and a lost executor costs one step at most.
+A sweep makes the candidates of all move families, for every partition that has none yet, as rows; scores
+the clusters that they touch; and lets the particles of each run take their best change in turns. With
+x centred a side's candidates depend on that side's partition alone, so they are made ahead of the turns, once
+for all particles that share the partition, and kept as long as a particle has it. A sweep is
+a handful of Spark jobs whatever the number of runs and particles. What it leaves is written to
+the shared folder, so lineage stays short and a lost executor costs one sweep at most.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ln_gamma_int
-from ..operators import moves, parts
-from ..operators.kernel import cluster_stats, packed
+from ..operators import mean_only, moves, parts
+from ..operators.compare import kmeans_path
+from ..operators.kernel import cluster_stats
 from ..operators.panel import default_hyperparameters, unit_ols
 from ..operators.partitions import relabelled
-from ..operators.score import log_likelihood, neighbour_lists, posterior_means, side_units, totals
-from ..session import written
+from ..operators.score import log_likelihood, neighbour_lists, totals
+from ..operators.trial import Prior, chosen, log_posterior, spread_out, tried
+from ..operators.weights import tempered_weights
+from ..session import dropped, written
 
 PARTICLE = ["run_id", "particle_id"]
 KEYS = [*PARTICLE, "side"]
+#: A partition of a run's side, by its signature.
+PARTITION = ["run_id", "side", "of"]
 FAMILIES = ("island", "border", "merge", "split", "spectral", "tail", "onward")
 
 
 @dataclass
 class Problem:
-    """What does not change in a search. units: unit_ols of the panel; hyper: one row per run."""
+    """What does not change in a search.
+
+    units: unit_ols of the panel; hyper: one row per run; facts: run_id, unit_id, near, terms, values (level and slope by least squares);
+    law: run_id, a, d, c of the log likelihood. sides: "AB", or "A" where one partition serves the whole model. levels: the model with levels alone.
+    """
 
     units: DataFrame
     edges: DataFrame
     hyper: DataFrame
+    facts: DataFrame
+    law: DataFrame
+    prior: Prior = field(default_factory=Prior)
     rho: float = 0.9
-    eta: float = 1.0
+    sides: str = "AB"
+    levels: bool = False
 
     @classmethod
-    def of(cls, panel: DataFrame, edges: DataFrame, hyper: DataFrame | None = None, rho: float = 0.9, eta: float = 1.0) -> Problem:
-        """From a panel; hyperparameters by default from its least-squares fits."""
-        units = written(unit_ols(panel), "units")
-        return cls(units, written(edges, "graph"), default_hyperparameters(units, rho) if hyper is None else hyper, rho, eta)
-
-    def values(self, side: str) -> DataFrame:
-        """run_id, unit_id, value: least-squares level (A) or slope (B)."""
-        return self.units.select("run_id", "unit_id", F.col("alpha" if side == "A" else "beta").alias("value"))
+    def of(cls, panel: DataFrame, edges: DataFrame, hyper: DataFrame | None = None, rho: float = 0.9, prior: Prior | None = None, equal: bool = False) -> Problem:
+        """Levels and slopes, each with a partition, or (equal) one for both; hyperparameters by default from the least-squares fits.
+
+        hyper: run_id, a1, a2, b1, b2, alpha_sigma, beta_sigma. A run whose hyperparameters are not all above 0, or are missing, is not searched.
+        """
+        if not 0 <= rho < 1:
+            raise ValueError("rho has to be in [0, 1)")
+        units, edges = written(unit_ols(panel), "units"), written(edges, "graph")
+        hyper = written(default_hyperparameters(units, rho) if hyper is None else hyper, "hyper")
+        term = lambda side, b, w, c: F.struct(F.lit(side).alias("side"), F.col(b).alias("b"), F.col(w).cast("double").alias("w"), F.col(f"{c}1").alias("c1"), F.col(f"{c}2").alias("c2"))
+        terms = F.array(term("A", "sum_y", "periods", "a"), term("A" if equal else "B", "sum_xy", "sum_xx", "b"))
+        values = F.create_map(F.lit("A"), F.col("alpha"), F.lit("B"), F.col("beta"))
+        usable = [F.col(c) > 0 for c in ("a1", "a2", "b1", "b2", "alpha_sigma", "beta_sigma")]
+        rows = units.join(hyper.where(reduce(lambda p, q: p & q, usable)), "run_id").join(neighbour_lists(edges), "unit_id", "left")
+        facts = written(rows.select("run_id", "unit_id", F.col("neighbours").alias("near"), terms.alias("terms"), values.alias("values")), "facts")
+        sums = totals(units, hyper)
+        law = sums.select("run_id", (F.col("alpha_sigma") + F.col("obs") / 2).alias("a"), (F.col("beta_sigma") + F.col("yy") / 2).alias("d"), F.when(F.col("beta_sigma") > 0, F.col("alpha_sigma") * F.ln("beta_sigma")).alias("c"))
+        return cls(units, edges, hyper, facts, written(law, "law"), prior or Prior(), rho, "A" if equal else "AB")
 
-    def scored(self, assignment: DataFrame, keys: list[str]) -> DataFrame:
-        """Numbers of every cluster."""
-        return cluster_stats(packed(assignment, side_units(self.units, self.hyper), neighbour_lists(self.edges), keys), keys, self.rho)
-
-
-def one_cluster(units: DataFrame, particles: int = 1) -> DataFrame:
-    """Every unit in cluster 1, on both sides of each particle."""
+    @classmethod
+    def of_levels(cls, panel: DataFrame, edges: DataFrame, hyper: DataFrame, rho: float = 0.9, eta: float = 1.0) -> Problem:
+        """Levels alone, with one partition. hyper: run_id, a1, a2, nu, lambda."""
+        units, edges = written(mean_only.level_units(panel, hyper), "units"), written(edges, "graph")
+        rows = units.where((F.col("c1") > 0) & (F.col("c2") > 0)).join(neighbour_lists(edges), "unit_id", "left")
+        terms = F.array(F.struct("side", "b", "w", "c1", "c2"))
+        facts = rows.select("run_id", "unit_id", F.col("neighbours").alias("near"), terms.alias("terms"), F.create_map(F.lit("A"), F.col("mean")).alias("values"))
+        whole = units.groupBy("run_id").agg(F.sum("ss").alias("ss"), F.sum(F.col("periods") * F.col("mean") ** 2).alias("yy"), F.sum("periods").alias("obs"), F.sum(F.ln("periods")).alias("ln_t"))
+        law = whole.join(hyper.select("run_id", "nu", F.col("lambda").alias("_lambda")), "run_id").select("run_id", ((F.col("nu") + F.col("obs")) / 2).alias("a"), ((F.col("nu") * F.col("_lambda") + F.col("yy") + F.col("ss")) / 2).alias("d"), (F.col("ln_t") / 2).alias("c"))
+        return cls(units, edges, hyper, written(facts, "facts"), written(law, "law"), Prior("levels", eta), rho, "A", True)
+
+    def values(self) -> DataFrame:
+        """run_id, side, unit_id, value: least-squares levels (A) and slopes (B), of the sides that are searched."""
+        sides = F.explode(F.array(*map(F.lit, self.sides))).alias("side")
+        return self.facts.select("run_id", "unit_id", sides, "values").select("run_id", "side", "unit_id", F.col("values")[F.col("side")].alias("value"))
+
+    def tried(self, cands: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
+        """Numbers of candidates."""
+        return tried(cands, at, self.facts, keys, self.prior, self.rho)
+
+
+def one_cluster(units: DataFrame, particles: int = 1, sides: str = "AB") -> DataFrame:
+    """Every unit in cluster 1, on each side of each particle."""
     ids = F.explode(F.sequence(F.lit(1), F.lit(particles))).alias("particle_id")
-    return units.select("run_id", "unit_id", ids).select("run_id", "particle_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("side"), "unit_id", F.lit(1).alias("cluster_id"))
-
-
-def _mark(unit: Column, first: Column) -> Column:
-    return F.xxhash64(unit, first)
-
-
-def signature(assignment: DataFrame, keys: list[str]) -> DataFrame:
-    """A number that equal partitions share: the exclusive or of a hash of each unit with its cluster's least unit; a change of some clusters changes only their part."""
-    least = F.min("unit_id").over(Window.partitionBy(*keys, "cluster_id"))
-    return assignment.withColumn("_least", least).groupBy(*keys).agg(F.bit_xor(_mark(F.col("unit_id"), F.col("_least"))).alias("sig"))
-
+    return units.select("run_id", "unit_id", ids).select("run_id", "particle_id", F.explode(F.array(*map(F.lit, sides))).alias("side"), "unit_id", F.lit(1).alias("cluster_id"))
 
-def _prior(k: Column, n: Column, inner: Column, eta: float) -> Column:
-    """Log prior of the Ewens form from the number of clusters, of units, and Σ ln Γ(n_k)."""
-    rising = F.aggregate(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), F.lit(0.0), lambda acc, i: acc + F.ln(i + F.lit(eta)))
-    return inner + k * math.log(eta) - rising
 
+def _whole(problem: Problem, assignment: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of whole partitions, their clusters cut into connected ones first."""
+    labels = moves.cut(problem.edges, assignment.select(*keys, F.lit("whole").alias("cand"), "unit_id", F.col("cluster_id").alias("part")), keys)
+    none = F.lit(None).cast("double")
+    at = labels.select(*keys, "unit_id", F.lit(0).alias("cluster_id"), none.alias("quad"), none.alias("log_det"), F.lit(None).cast("int").alias("n"))
+    return problem.tried(labels, at, keys)
 
-def state(problem: Problem, assignment: DataFrame, stats: DataFrame) -> DataFrame:
-    """run_id, particle_id, quad, log_det, prior by side, log_post, signature of each particle."""
-    by_side = stats.groupBy(*KEYS).agg(F.sum("quad").alias("quad"), F.sum("log_det").alias("log_det"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(ln_gamma_int(F.col("n"))).alias("inner"))
-    by_side = by_side.withColumn("prior", _prior(F.col("k"), F.col("n"), F.col("inner"), problem.eta)).join(signature(assignment, KEYS), KEYS)
-    pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
-    rows = by_side.groupBy(*PARTICLE).agg(F.sum("quad").alias("quad"), F.sum("log_det").alias("log_det"), F.sum("prior").alias("prior"), *[pick(c, s).alias(f"{c}_{s}") for c in ("k", "n", "inner", "sig") for s in "AB"])
-    rows = rows.join(totals(problem.units, problem.hyper), "run_id")
-    like = log_likelihood(*[F.col(c) for c in ("quad", "log_det", "yy", "alpha_sigma", "beta_sigma", "obs")])
-    return rows.withColumn("log_post", like + F.col("prior"))
 
+def start_grid(problem: Problem, most: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(classes, grid) of the k-means starts: run_id, side, k and the numbers of the best k classes, made connected; run_id, k_<side>..., log_post, p of each combination.
 
-def current_means(stats: DataFrame, side: str) -> DataFrame:
-    """KEYS, unit_id, value: the posterior mean of every unit given the partition."""
-    return posterior_means(stats.where(F.col("side") == side), KEYS).select(*KEYS, "unit_id", F.col("mean").alias("value"))
-
-
-def candidates(problem: Problem, assignment: DataFrame, side: str, share: float = 0.05, families: tuple[str, ...] = FAMILIES, stats: DataFrame | None = None) -> DataFrame:
-    """All candidate changes of one side: KEYS, cand, unit_id, cluster_id.
-
-    split and spectral cut by the least-squares values, and (":now") by the current posterior means;
-    island, tail and onward rank by the means. stats: the clusters' numbers, computed if not given.
-    onward: each piece of a split, and each piece of a tail, joins the nearest cluster outside.
+    k goes up to floor(most · ln units), at least 1; p is exp(log_post − greatest), normalised.
     """
-    values = problem.values(side)
-    means = current_means(problem.scored(assignment, KEYS) if stats is None else stats, side)
+    paths = kmeans_path(problem.values(), ["run_id", "side"], lambda n: max(1, math.floor(most * math.log(n))))
+    classes = written(_classes(problem, paths), "classes")
+    sides, prior = problem.sides, problem.prior
+
+    def combined(rows: pd.DataFrame) -> pd.DataFrame:  # a few classes by side
+        law = rows.iloc[0]
+        score = rows["inner"] + [float(prior.outer(int(k), int(n))) for k, n in zip(rows["clusters"], rows["n_units"])]
+        by = [rows.assign(prior=score)[rows["side"] == s] for s in sides]
+        if any(not len(x) for x in by):
+            return pd.DataFrame(columns=["run_id", *[f"k_{s}" for s in sides], "log_post", "p"])
+        at = np.meshgrid(*[np.arange(len(x)) for x in by], indexing="ij")
+        total = lambda c: sum(x[c].to_numpy()[i.ravel()] for x, i in zip(by, at))
+        post = log_posterior(total("quad"), total("log_det"), total("prior"), law)
+        p = np.exp(post - post.max())
+        return pd.DataFrame({"run_id": law.run_id, **{f"k_{s}": x["k"].to_numpy()[i.ravel()] for s, x, i in zip(sides, by, at)}, "log_post": post, "p": p / p.sum()})
+
+    schema = "run_id int, " + ", ".join(f"k_{s} int" for s in sides) + ", log_post double, p double"
+    rows = classes.select("run_id", "side", "k", "clusters", "quad", "log_det", "inner", F.size("units").alias("n_units")).join(problem.law, "run_id")
+    return classes, rows.groupBy("run_id").applyInPandas(combined, schema)
+
+
+def _classes(problem: Problem, paths: DataFrame) -> DataFrame:
+    """Numbers of the partitions of a path: run_id, side, k, clusters and the columns of tried."""
+    rows = _whole(problem, paths.withColumnRenamed("k", "_k"), ["run_id", "side", "_k"])
+    return rows.withColumnRenamed("k", "clusters").withColumnRenamed("_k", "k").drop("cand")
+
+
+def drawn_starts(problem: Problem, particles: int, most: float = 1.0, seed: int = 0) -> DataFrame:
+    """KEYS, unit_id, cluster_id: a start for each particle, drawn from start_grid by its cumulative p; the draw depends on seed, run and particle only."""
+    classes, grid = start_grid(problem, most)
+    ks = [f"k_{s}" for s in problem.sides]
+    run = Window.partitionBy("run_id").orderBy(*ks)
+    ranked = grid.select("run_id", *ks, F.sum("p").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("cdf"), F.row_number().over(run).alias("at"), F.count(F.lit(1)).over(Window.partitionBy("run_id")).alias("all"))
+    slots = F.explode(F.sequence(F.lit(1), F.lit(particles))).alias("particle_id")
+    u = F.xxhash64(F.lit(seed), "run_id", "particle_id") / F.lit(2.0**64) + 0.5
+    fits = ranked.select("*", slots).where((F.col("cdf") > u) | (F.col("at") == F.col("all")))
+    first = fits.groupBy(*PARTICLE).agg(F.min_by(F.struct(*ks), "at").alias("k"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"k.k_{s}").alias("k")) for s in problem.sides])).alias("s")
+    picks = first.select(*PARTICLE, sides).select(*PARTICLE, "s.*")
+    held = picks.join(classes.select("run_id", "side", "k", "units", "labels"), ["run_id", "side", "k"])
+    return held.select(*KEYS, F.explode(F.arrays_zip("units", "labels")).alias("u")).select(*KEYS, F.col("u.units").alias("unit_id"), F.col("u.labels").alias("cluster_id"))
+
+
+def candidates(problem: Problem, at: DataFrame, share: float = 0.05, families: tuple[str, ...] = FAMILIES, keys: list[str] = PARTITION) -> DataFrame:
+    """All candidate changes of partitions: keys, cand, unit_id, cluster_id.
+
+    at: keys, unit_id, cluster_id, mean (the current posterior mean), value (least squares). split and spectral cut by value and,
+    named ":now", by mean; island, tail and onward rank by mean. onward: each piece of a split, and each
+    piece of a tail, joins the nearest cluster outside.
+    """
+    plain = at.select(*keys, "unit_id", "cluster_id")
+    means, values = plain_with(at, keys, "mean"), plain_with(at, keys, "value")
     near = neighbour_lists(problem.edges)
     now = lambda made: made.withColumn("cand", F.concat("cand", F.lit(":now")))
     made = {
-        "island": lambda: moves.islands(assignment, means, KEYS, "value", share),
-        "border": lambda: moves.borders(problem.edges, assignment, KEYS),
-        "merge": lambda: moves.merges(problem.edges, assignment, KEYS),
-        "split": lambda: parts.kmeans_parts(assignment, values, KEYS).unionByName(now(parts.kmeans_parts(assignment, means, KEYS))),
-        "spectral": lambda: parts.spectral_cuts(assignment, values, near, KEYS).unionByName(now(parts.spectral_cuts(assignment, means, near, KEYS))),
-        "tail": lambda: moves.tails(assignment, means, KEYS, "value"),
+        "island": lambda: moves.islands(means, None, keys, "value", share),
+        "border": lambda: moves.borders(problem.edges, plain, keys),
+        "merge": lambda: moves.merges(problem.edges, plain, keys),
+        "split": lambda: parts.kmeans_parts(values, None, keys).unionByName(now(parts.kmeans_parts(means, None, keys))),
+        "spectral": lambda: parts.spectral_cuts(values, None, near, keys).unionByName(now(parts.spectral_cuts(means, None, near, keys))),
+        "tail": lambda: moves.tails(means, None, keys, "value"),
     }
-    out = None
-    for name in families:
-        if name != "onward":
-            out = made[name]() if out is None else out.unionByName(made[name]())
-    cands = moves.cut(problem.edges, out, KEYS)
+    cands = moves.cut(problem.edges, reduce(DataFrame.unionByName, [made[name]() for name in families if name != "onward"]), keys)
     if "onward" not in families:
         return cands
+    cands = written(cands, "cuts")
     cuts = cands.where(F.split("cand", ":")[0].isin("kmeans", "spectral", "tail"))
-    nearest = parts.nearest_outside(problem.edges, assignment, means, KEYS, cuts)
-    ends = moves.tail_sets(assignment, means, KEYS, "value").select(*KEYS, F.concat_ws(":", F.lit("tail"), "cluster_id", "end", "size").alias("cand"), "unit_id")
-    peeled = cuts.join(ends, [*KEYS, "cand", "unit_id"]).select(*KEYS, "cand", F.col("cluster_id").alias("piece")).distinct()
-    movable = nearest.where(~F.col("cand").startswith("tail:")).unionByName(nearest.join(peeled, [*KEYS, "cand", "piece"]).select(*nearest.columns))
-    return cands.unionByName(parts.join_one(assignment, KEYS, cuts, movable))
-
-
-def judged(problem: Problem, now: DataFrame, stats: DataFrame, assignment: DataFrame, cands: DataFrame, side: str) -> DataFrame:
-    """run_id, particle_id, cand, log_post, sig of each candidate, by what changes in the clusters that it touches."""
-    by = [*KEYS, "cand"]
-    new = problem.scored(cands, by).groupBy(*by).agg(F.sum("quad").alias("quad_new"), F.sum("log_det").alias("det_new"), F.count(F.lit(1)).alias("k_new"), F.sum(ln_gamma_int(F.col("n"))).alias("inner_new"))
-    least = F.min("unit_id").over(Window.partitionBy(*by, "cluster_id"))
-    marks = cands.withColumn("_least", least).groupBy(*by).agg(F.bit_xor(_mark(F.col("unit_id"), F.col("_least"))).alias("sig_new"))
-    least = F.min("unit_id").over(Window.partitionBy(*KEYS, "cluster_id"))
-    before = assignment.withColumn("_mark", _mark(F.col("unit_id"), least)).withColumnRenamed("cluster_id", "old")
-    touched = cands.select(*by, "unit_id").join(before, [*KEYS, "unit_id"]).groupBy(*by, "old").agg(F.bit_xor("_mark").alias("m"))
-    olds = touched.join(stats.select(*KEYS, F.col("cluster_id").alias("old"), "quad", "log_det", "n"), [*KEYS, "old"])
-    old = olds.groupBy(*by).agg(F.sum("quad").alias("quad_old"), F.sum("log_det").alias("det_old"), F.count(F.lit(1)).alias("k_old"), F.sum(ln_gamma_int(F.col("n"))).alias("inner_old"), F.bit_xor("m").alias("sig_old"))
-    rows = new.join(marks, by).join(old, by).join(now, PARTICLE)
-    change = (F.col("k_new") - F.col("k_old")) * math.log(problem.eta) + F.col("inner_new") - F.col("inner_old")
-    like = log_likelihood(F.col("quad") - F.col("quad_old") + F.col("quad_new"), F.col("log_det") - F.col("det_old") + F.col("det_new"), *[F.col(c) for c in ("yy", "alpha_sigma", "beta_sigma", "obs")])
-    return rows.select(*PARTICLE, "cand", (like + F.col("prior") + change).alias("log_post_new"), F.col(f"sig_{side}").bitwiseXOR(F.col("sig_old")).bitwiseXOR(F.col("sig_new")).alias("sig"))
-
-
-def applied(assignment: DataFrame, cands: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The assignment after the chosen candidate (run_id, particle_id, cand) of each particle; labels made dense again."""
-    new = cands.join(chosen.select(*PARTICLE, "cand"), [*PARTICLE, "cand"]).select(*KEYS, "unit_id", F.col("cluster_id").alias("new"))
-    return relabelled(assignment.join(new, [*KEYS, "unit_id"], "left").select(*KEYS, "unit_id", F.coalesce("new", "cluster_id").alias("cluster_id")), KEYS)
-
-
-def _entropy_gain(rows: DataFrame, others: DataFrame, side: str) -> DataFrame:
-    """Add the entropy of the weights if the particle became the candidate.
-
-    others: run_id, w, sig_A, sig_B of the run's other particles. Particles that are equal to the
-    candidate pool their weight with it.
-    """
-    a, b = (F.col("sig"), F.col("sig_B")) if side == "A" else (F.col("sig_A"), F.col("sig"))
-    groups = others.groupBy(F.col("run_id").alias("orun"), F.col("sig_A").alias("oa"), F.col("sig_B").alias("ob")).agg(F.sum("w").alias("ow"))
-    plogp = lambda p: F.when(p > 0, p * F.ln(p)).otherwise(0.0)
-    rest = groups.groupBy(F.col("orun").alias("run_id")).agg(F.sum(plogp(F.col("ow"))).alias("rest"))
-    joined = rows.join(groups, (F.col("run_id") == F.col("orun")) & (a == F.col("oa")) & (b == F.col("ob")), "left").join(rest, "run_id", "left")
-    same = F.coalesce("ow", F.lit(0.0))
-    return joined.withColumn("entropy", -(F.coalesce("rest", F.lit(0.0)) - plogp(same) + plogp(F.col("w") + same))).drop("orun", "oa", "ob", "ow", "rest")
+    nearest = parts.nearest_outside(problem.edges, means, None, keys, cuts)
+    ends = moves.tail_sets(means, None, keys, "value").select(*keys, F.concat_ws(":", F.lit("tail"), "cluster_id", "end", "size").alias("cand"), "unit_id")
+    peeled = cuts.join(ends, [*keys, "cand", "unit_id"]).select(*keys, "cand", F.col("cluster_id").alias("piece")).distinct()
+    movable = nearest.where(~F.col("cand").startswith("tail:")).unionByName(nearest.join(peeled, [*keys, "cand", "piece"]).select(*nearest.columns))
+    return cands.unionByName(parts.join_one(plain, keys, cuts, movable))
 
 
-def step(problem: Problem, assignment: DataFrame, stats: DataFrame, side: str, particle: int | None = None, weights: DataFrame | None = None, temper: float = 10.0, share: float = 0.05, families: tuple[str, ...] = FAMILIES, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(assignment, stats, run_id and particle_id of what changed or None) after one side of the particles (of the one given, or those of among) took its best change.
+def plain_with(at: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, unit_id, cluster_id, and a column as value."""
+    return at.select(*keys, "unit_id", "cluster_id", F.col(column).alias("value"))
 
-    Without weights the objective is the log posterior. With weights (run_id, particle_id, w) it is
-    w · log posterior + temper · entropy of the weights over distinct particles. A change has to be
-    strictly better; of equal ones the first by name is taken.
-    """
-    now = written(state(problem, assignment, stats), "state")
-    at = assignment.where(F.col("side") == side)
-    at = at.where(F.col("particle_id") == particle) if particle is not None else at
-    at = at.join(among, PARTICLE, "left_semi") if among is not None else at
-    cands = written(candidates(problem, at, side, share, families, stats), "candidates")
-    rows = judged(problem, now, stats, at, cands, side).join(now.select(*PARTICLE, "log_post", "sig_A", "sig_B"), PARTICLE)
-    if weights is None:
-        gain = F.col("log_post_new") - F.col("log_post")
-    else:
-        all_weights = now.select(*PARTICLE, "sig_A", "sig_B").join(weights.select(*PARTICLE, "w"), PARTICLE)
-        others = all_weights.where(F.col("particle_id") != particle)
-        rows = rows.join(weights.select(*PARTICLE, "w"), PARTICLE)
-        rows = _entropy_gain(rows, others, side).withColumnRenamed("entropy", "entropy_new")
-        rows = _entropy_gain(rows.withColumn("sig", F.col(f"sig_{side}")), others, side)
-        gain = F.col("w") * (F.col("log_post_new") - F.col("log_post")) + temper * (F.col("entropy_new") - F.col("entropy"))
-    best = rows.withColumn("gain", F.round(gain, 9)).where(F.col("gain") > 0).groupBy(*PARTICLE).agg(F.min_by("cand", F.struct(-F.col("gain"), "cand")).alias("cand"))
-    best = written(best, "best")
-    if best.isEmpty():
-        return assignment, stats, None
-    moved = applied(at, cands, best)
-    after = written(assignment.join(at.select(*KEYS, "unit_id"), [*KEYS, "unit_id"], "left_anti").unionByName(moved), "assignment")
-    return after, written(problem.scored(after, KEYS), "stats"), best.select(*PARTICLE)
-
-
-def map_fit(problem: Problem, start: DataFrame | None = None, most_rounds: int = 25, families: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame]:
-    """(assignment, state) of the best pair found for each run and particle: side A and side B take turns until nothing changes.
-
-    A particle that a round left as it was is finished, and left out of later rounds.
-    """
-    assignment = written(one_cluster(problem.units) if start is None else start, "assignment")
-    stats = written(problem.scored(assignment, KEYS), "stats")
-    among = None
-    for _ in range(most_rounds):
-        changes = []
-        for side in "AB":
-            assignment, stats, changed = step(problem, assignment, stats, side, families=families, among=among)
-            changes += [] if changed is None else [changed]
-        if not changes:
-            break
-        among = changes[0] if len(changes) == 1 else changes[0].unionByName(changes[1]).distinct()
-    return assignment, state(problem, assignment, stats)
 
+def level_candidates(problem: Problem, at: DataFrame, keys: list[str] = PARTITION, local: bool = False) -> DataFrame:
+    """The candidates of the model with levels alone, by the current means; local: every unit as an island instead."""
+    plain, means = at.select(*keys, "unit_id", "cluster_id"), at.select(*keys, "unit_id", F.col("mean").alias("value"))
+    if local:
+        return mean_only.local_candidates(problem.edges, plain, means, keys)
+    return mean_only.candidates(problem.edges, plain, means, keys).unionByName(mean_only.split_candidates(problem.edges, plain, means, keys))
 
-def particle_weights(now: DataFrame, temper: float) -> DataFrame:
-    """w of each particle of a state."""
-    from ..operators.weights import tempered_weights
 
-    sig = F.concat_ws(":", F.col("sig_A").cast("string"), F.col("sig_B").cast("string"))
-    return tempered_weights(now.select(*PARTICLE, "log_post", sig.alias("signature")), temper)
+@dataclass
+class Fit:
+    """What a search leaves.
 
+    assignment: KEYS, unit_id, cluster_id (1, 2, ... by least unit). estimates: KEYS, unit_id, mean. particles: run_id, particle_id, k_<side>..., log_post, w.
+    sweeps: how many were made; settled: whether the last one changed nothing.
+    """
 
-def ensemble_fit(problem: Problem, start: DataFrame, temper: float = 10.0, most_sweeps: int = 25, last_islands: bool = True, families: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assignment, state, weights) of an ensemble of particles per run, started from the given assignment.
+    assignment: DataFrame
+    estimates: DataFrame
+    particles: DataFrame
+    sweeps: int
+    settled: bool
+
+
+class _Search:
+    """Particles (sums), the partitions they have had (book), and the candidates of these (tables)."""
+
+    def __init__(self, problem: Problem, start: DataFrame, temper: float):
+        self.problem, self.temper = problem, temper
+        whole = written(_whole(problem, start, KEYS), "start")
+        slots = whole.groupBy("run_id").agg(F.count_distinct("particle_id").alias("slots"))
+        rows = whole.select(*KEYS, "quad", "log_det", "k", "inner", "sig", F.size("units").alias("units")).join(slots, "run_id").join(problem.law, "run_id")
+        self.sums = written(rows.withColumn("w", 1 / F.col("slots")).drop("slots"), "sums")
+        one = whole.groupBy("run_id", "side", F.col("sig").alias("of")).agg(F.min("particle_id").alias("particle_id"))
+        self.fresh = written(spread_out(whole.join(one, KEYS), PARTITION), "book")
+        self.book, self.options = [self.fresh], {}
+
+    def _all(self, tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables)
+
+    def turn(self, kind: str, make) -> bool:
+        """Make the candidates of the partitions that have none of this kind, let all particles take their best; whether any did."""
+        problem = self.problem
+        todo, tables = self.options.setdefault(kind, [list(self.book), []])
+        if todo:
+            at = self._all(todo).join(self.sums.select("run_id", "side", F.col("sig").alias("of")).distinct(), PARTITION, "left_semi")
+            at = at.join(problem.values(), ["run_id", "side", "unit_id"])
+            at = written(at, "at")
+            tables.append(written(problem.tried(make(at), at, PARTITION), "tried"))
+            todo.clear()
+        options = self._all(tables)
+        moved = written(chosen(self.sums, options.select(*PARTITION, "cand", "quad", "log_det", "k", "inner", "sig"), problem.sides, problem.prior, self.temper), "moved")
+        taken = moved.where(F.col("cand").isNotNull()).select("run_id", "side", F.col("was").alias("of"), "cand", F.col("sig").alias("new")).distinct()
+        known = self._all(self.book).select("run_id", "side", F.col("of").alias("new")).distinct()
+        changed = not moved.where(F.col("cand").isNotNull()).isEmpty()
+        if changed:
+            taken = written(taken.groupBy("run_id", "side", "new").agg(F.min(F.struct("of", "cand")).alias("t")).select("run_id", "side", "new", "t.*").join(known, ["run_id", "side", "new"], "left_anti"), "taken")
+            own = ["run_id", "side", "new"]
+            touched = spread_out(options.join(taken.select(*PARTITION, "cand", "new"), [*PARTITION, "cand"]), own)
+            before = self._all(self.book).join(taken.select(*PARTITION, "new"), PARTITION).select(*own, "unit_id", "cluster_id", "mean", "quad", "log_det", "n")
+            after = before.join(touched.select(*own, "unit_id"), [*own, "unit_id"], "left_anti").unionByName(touched)
+            self.fresh = written(after.withColumnRenamed("new", "of"), "book")
+            self.book.append(self.fresh)
+            for todo, _ in self.options.values():
+                todo.append(self.fresh)
+        self.sums = moved.drop("cand", "was")
+        return changed
+
+    def particles(self) -> DataFrame:
+        """run_id, particle_id, k_<side>..., log_post, w."""
+        prior = self.problem.prior
+
+        def posts(rows: pd.DataFrame) -> pd.DataFrame:  # the sides of a run's particles
+            own = rows["inner"] + [float(prior.outer(int(k), int(n))) for k, n in zip(rows["k"], rows["units"])]
+            by = rows.assign(prior=own).groupby("particle_id")[["quad", "log_det", "prior"]].sum()
+            return pd.DataFrame({"run_id": rows["run_id"].iloc[0], "particle_id": by.index, "log_post": log_posterior(by["quad"].to_numpy(), by["log_det"].to_numpy(), by["prior"].to_numpy(), rows.iloc[0])})
+
+        post = self.sums.groupBy("run_id").applyInPandas(posts, "run_id int, particle_id int, log_post double")
+        pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
+        rows = self.sums.groupBy(*PARTICLE).agg(*[pick("k", s).alias(f"k_{s}") for s in self.problem.sides], F.concat_ws(":", *[pick("sig", s).cast("string") for s in self.problem.sides]).alias("signature"))
+        return tempered_weights(rows.join(post, PARTICLE), self.temper or 1.0).drop("signature")
+
+    def reweighed(self) -> None:
+        """The weights by the particles as they are now."""
+        self.sums = written(self.sums.drop("w").join(self.particles().select(*PARTICLE, "w"), PARTICLE), "sums")
+
+    def fit(self, sweeps: int, settled: bool) -> Fit:
+        units = self._all(self.book).withColumnRenamed("of", "sig").join(self.sums.select(*KEYS, "sig"), ["run_id", "side", "sig"])
+        units = written(units.select(*KEYS, "unit_id", "cluster_id", "mean"), "found")
+        particles = written(self.particles(), "particles")
+        dropped(*self.book, *[t for _, tables in self.options.values() for t in tables])
+        return Fit(relabelled(units.drop("mean"), KEYS), units.drop("cluster_id"), particles, sweeps, settled)
+
+
+def ensemble_fit(problem: Problem, particles: int = 10, temper: float = 10.0, start: DataFrame | None = None, most_sweeps: int = 25, last_islands: bool = True, families: tuple[str, ...] = FAMILIES) -> Fit:
+    """An ensemble of particles per run, from drawn_starts or the given start (KEYS, unit_id, cluster_id; clusters are made connected).
 
     In a sweep the particles take turns, and the weights stay as they are; after it they are
-    computed anew. Sweeps end when nothing changes. last_islands: every unit is then tried as an
-    island, and the weights are computed once more.
+    computed anew. Sweeps end when nothing changes. In the model with levels alone, where nothing else is better every unit is
+    tried as an island, and the sweeps go on if that is. last_islands: every unit is tried as an
+    island in the end, and the weights are computed once more.
     """
-    assignment = written(start, "assignment")
-    stats = written(problem.scored(assignment, KEYS), "stats")
-    slots = [r[0] for r in start.select("particle_id").distinct().orderBy("particle_id").collect()]  # the few particles of a run
-    weights = written(start.select(*PARTICLE).distinct().withColumn("w", F.lit(1.0 / len(slots))), "weights")
-    changes = True
-    for share in [0.05] * most_sweeps + ([1.0] if last_islands else []):
-        if share < 1 and not changes:
-            continue
-        changes = False
-        for slot in slots:
-            for side in "AB":
-                assignment, stats, changed = step(problem, assignment, stats, side, slot, weights, temper, share, families if share < 1 else ("island",))
-                changes = changes or changed is not None
-        weights = written(particle_weights(state(problem, assignment, stats), temper).select(*PARTICLE, "w"), "weights")
-    return assignment, state(problem, assignment, stats), weights
-
-
-def estimates(problem: Problem, assignment: DataFrame) -> DataFrame:
-    """run_id, particle_id, unit_id, alpha, beta: posterior means of every particle."""
-    means = posterior_means(problem.scored(assignment, KEYS), KEYS)
-    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("mean")))
-    return means.groupBy(*PARTICLE, "unit_id").agg(pick("A").alias("alpha"), pick("B").alias("beta"))
+    search = _Search(problem, drawn_starts(problem, particles) if start is None else start, temper)
+    make = (lambda at: level_candidates(problem, at)) if problem.levels else (lambda at: candidates(problem, at, families=families))
+    sweeps, settled = 0, False
+    while sweeps < most_sweeps and not settled:
+        sweeps += 1
+        changed = search.turn("all", make)
+        if not changed and problem.levels:
+            changed = search.turn("local", lambda at: level_candidates(problem, at, local=True))
+        settled = not changed
+        search.reweighed()
+    if last_islands and not problem.levels:
+        search.turn("islands", lambda at: candidates(problem, at, 1.0, ("island",)))
+        search.reweighed()
+    return search.fit(sweeps, settled)
+
+
+def map_fit(problem: Problem, start: DataFrame | None = None, most_sweeps: int = 100, families: tuple[str, ...] = FAMILIES) -> Fit:
+    """The particle of greatest log posterior that the moves reach, of each run, from one drawn start or the given one."""
+    return ensemble_fit(problem, 1, 0.0, start, most_sweeps, False, families)
+
+
+def whole_fit(panel: DataFrame, edges: DataFrame, particles: int = 10, temper: float = 10.0, rho: float = 0.9, prior: Prior | None = None) -> tuple[Fit, Fit, DataFrame]:
+    """(ensemble, best particle, hyperparameters): map_fit, tuned at what it finds, and an ensemble from there with the tuned hyperparameters."""
+    problem = Problem.of(panel, edges, None, rho, prior)
+    best = map_fit(problem)
+    hyper = written(tuned(problem, best.assignment), "tuned")
+    start = best.assignment.drop("particle_id").withColumn("particle_id", F.explode(F.sequence(F.lit(1), F.lit(particles))))
+    return ensemble_fit(Problem.of(panel, edges, hyper, rho, prior), particles, temper, start), best, hyper
 
 
 def tuned(problem: Problem, assignment: DataFrame, most_rounds: int = 40, width: float = 4.0, tolerance: float = 0.01) -> DataFrame:

@@ -73,6 +73,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where each row is work for a Python helper; small tables would else be a task or two."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _path_on(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

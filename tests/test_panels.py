@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.operators import compare, graph, joint, kernel, mean_only, moves, panel, partitions, score, weights
-from parcelspark.plans import search
 from parcelspark.sources import generators
 
 
@@ -173,25 +172,6 @@ def test_spanning_tree(spark):
     assert len(tree) == n and sum(r["weight"] for r in tree) == total
 
 
-def test_search_improves_and_stays_valid(spark, world):
-    df, asg, hyper, e, x, y, la, lb, edges = world
-    problem = search.Problem.of(df, e, hyper)
-    start = search.one_cluster(problem.units)
-    before = search.state(problem, start, problem.scored(start, search.KEYS)).first()["log_post"]
-    found, now = search.map_fit(problem, most_rounds=1, families=("split", "merge"))
-    rows = found.toPandas()
-    assert now.first()["log_post"] >= before
-    assert len(rows) == 18 and sorted(rows[rows.side == "A"].unit_id) == list(range(1, 10))
-    assert math.isclose(score.scored_particles(found, problem.units, problem.edges, hyper).first()["log_post"], now.first()["log_post"], rel_tol=1e-9)
-    for side in "AB":
-        for _, g in rows[rows.side == side].groupby("cluster_id"):
-            units = set(g.unit_id)
-            reached = {min(units)}
-            while more := {b for a, b in edges if a in reached and b in units} - reached:
-                reached |= more
-            assert reached == units
-
-
 def test_kernel_identity():
     omega = kernel.within_precision(np.array([1, 2, 3]), [[2], [1, 3], [2]], 0.9, 0.5, 2.0)
     a = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0.0]])

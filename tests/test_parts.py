@@ -157,11 +157,18 @@ def test_candidates_of_the_search(spark):
     e = spark.createDataFrame(sorted(edges), "src int, dst int")
     hyper = spark.createDataFrame([(1, *H)], "run_id int, a1 double, a2 double, b1 double, b2 double, alpha_sigma double, beta_sigma double")
     problem = search.Problem.of(panel, e, hyper)
-    asg = written(spark.createDataFrame([(1, 1, s, u, 1 if u <= 15 else 2) for s in "AB" for u in range(1, 26)], "run_id int, particle_id int, side string, unit_id int, cluster_id int"), "assignment")
-    stats = problem.scored(asg, search.KEYS)
-    at = asg.where("side = 'A'")
-    cands = written(search.candidates(problem, at, "A", families=("split", "spectral", "tail", "onward")), "candidates")
-    scores = {r["cand"]: r["log_post_new"] for r in search.judged(problem, search.state(problem, asg, stats), stats, at, cands, "A").collect()}
+    label = {u: 1 if u <= 15 else 2 for u in range(1, 26)}
+    asg = spark.createDataFrame([(1, "A", u, c) for u, c in label.items()], "run_id int, side string, unit_id int, cluster_id int")
+    keys = ["run_id", "side"]
+    whole = search._whole(problem, asg, keys)
+    at = written(search.spread_out(whole, keys).join(problem.values(), [*keys, "unit_id"]), "at")
+    cands = written(search.candidates(problem, at, families=("split", "spectral", "tail", "onward"), keys=keys), "candidates")
+    base = score.scored_particles(spark.createDataFrame([(1, 1, s, u, c) for s in "AB" for u, c in label.items()], "run_id int, particle_id int, side string, unit_id int, cluster_id int"), problem.units, e, hyper).first()
+    other = search._whole(problem, asg.withColumn("side", F.lit("B")), keys).first()
+    law, first = problem.law.first(), whole.first()
+    post = lambda r: float(search.log_posterior(first["quad"] + other["quad"] + r["quad"], first["log_det"] + other["log_det"] + r["log_det"], first["inner"] + other["inner"] + r["inner"] + float(problem.prior.outer(first["k"] + r["k"], 25)) + float(problem.prior.outer(other["k"], 25)), law))
+    assert math.isclose(post({"quad": 0, "log_det": 0, "inner": 0, "k": 0}), base["log_post"], rel_tol=1e-9)
+    scores = {r["cand"]: post(r) for r in problem.tried(cands, at, keys).collect()}
     kinds = {c.split(":")[0] + (">" if ">" in c else "") for c in scores}
     assert kinds == {"kmeans", "spectral", "tail", "kmeans>", "spectral>", "tail>"}
     names = {c: i for i, c in enumerate(sorted(scores), 1)}
