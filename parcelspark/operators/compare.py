@@ -138,21 +138,22 @@ def spanning_tree(edges: DataFrame, keys: list[str]) -> DataFrame:
     way out; equal weights are told apart by the ends, so no cycle can arise.
     """
     edges = written(edges.select(*keys, "src", "dst", "weight"), "weighted")
-    vertices = edges.select(*keys, F.col("src").alias("unit_id")).distinct()
     tree = None
-    labels = vertices.withColumn("component", F.col("unit_id"))
+    labels = edges.select(*keys, F.col("src").alias("unit_id")).distinct().withColumn("component", F.col("unit_id"))
     while True:
         a = labels.select(*keys, F.col("unit_id").alias("src"), F.col("component").alias("ca"))
         b = labels.select(*keys, F.col("unit_id").alias("dst"), F.col("component").alias("cb"))
         out = edges.join(a, [*keys, "src"]).join(b, [*keys, "dst"]).where(F.col("ca") != F.col("cb"))
-        key = F.struct("weight", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
-        taken = out.groupBy(*keys, "ca").agg(F.min(key).alias("e")).select(*keys, F.col("e.lo").alias("src"), F.col("e.hi").alias("dst"), F.col("e.weight").alias("weight")).distinct()
-        grown = written(taken if tree is None else tree.unionByName(taken).distinct(), "tree")
-        if tree is not None and grown.count() == tree.count():
-            return grown
-        tree = grown
-        both = tree.select(*keys, "src", "dst").unionByName(tree.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-        labels = components(vertices, both, keys)
+        key = F.struct("weight", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "cb")
+        taken = written(out.groupBy(*keys, "ca").agg(F.min(key).alias("e")).select(*keys, "ca", "e.*"), "taken")
+        if taken.isEmpty():
+            return tree if tree is not None else edges.limit(0)
+        added = taken.select(*keys, F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight").distinct()
+        tree = added if tree is None else tree.unionByName(added)
+        ways = taken.select(*keys, F.col("ca").alias("src"), F.col("cb").alias("dst"))
+        joined = components(labels.select(*keys, F.col("component").alias("unit_id")).distinct(), ways, keys)  # of components, each round fewer
+        joined = joined.select(*keys, F.col("unit_id").alias("component"), F.col("component").alias("_new"))
+        labels = written(labels.join(joined, [*keys, "component"]).select(*keys, "unit_id", F.col("_new").alias("component")), "labels")
 
 
 def strong_parts(tree: DataFrame, vertices: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ihs_count
+from ..session import over_cores
 from .kernel import within_precision
 
 HYPER = ["a1", "a2", "b1", "b2", "alpha_sigma", "beta_sigma"]
@@ -22,10 +23,14 @@ HYPER = ["a1", "a2", "b1", "b2", "alpha_sigma", "beta_sigma"]
 
 def packed_particles(assignment: DataFrame, panel: DataFrame, neighbours: DataFrame, hyper: DataFrame) -> DataFrame:
     """run_id, particle_id, units ARRAY<STRUCT<unit_id, ca, cb, xs, ys, near>>, hyperparameters. Rows of the panel with a null are left out."""
+    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("cluster_id")))
+    return packed_pairs(assignment.groupBy("run_id", "particle_id", "unit_id").agg(pick("A").alias("ca"), pick("B").alias("cb")), panel, neighbours, hyper)
+
+
+def packed_pairs(both: DataFrame, panel: DataFrame, neighbours: DataFrame, hyper: DataFrame) -> DataFrame:
+    """The same from run_id, particle_id, unit_id and the clusters ca and cb of both sides."""
     known = panel.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     series = known.groupBy("run_id", "unit_id").agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("o")).select("run_id", "unit_id", F.col("o.x").alias("xs"), F.col("o.y").alias("ys"))
-    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("cluster_id")))
-    both = assignment.groupBy("run_id", "particle_id", "unit_id").agg(pick("A").alias("ca"), pick("B").alias("cb"))
     rows = both.join(series, ["run_id", "unit_id"]).join(neighbours.withColumnRenamed("neighbours", "near"), "unit_id", "left")
     units = F.array_sort(F.collect_list(F.struct("unit_id", "ca", "cb", "xs", "ys", "near")))
     return rows.groupBy("run_id", "particle_id").agg(units.alias("units")).join(hyper.select("run_id", *HYPER), "run_id")
@@ -62,7 +67,7 @@ def _apply(particles: DataFrame, helper) -> DataFrame:
             out = [_called(r, helper) for r in batch.itertuples(index=False)]
             yield batch[["run_id", "particle_id"]].assign(log_like=pd.Series(out, index=batch.index, dtype=float))
 
-    return _flat(particles).mapInPandas(run, "run_id int, particle_id int, log_like double")
+    return over_cores(_flat(particles)).mapInPandas(run, "run_id int, particle_id int, log_like double")
 
 
 def _apply_units(particles: DataFrame, helper) -> DataFrame:

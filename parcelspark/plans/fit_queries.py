@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, graph, joint, panel, partitions, parts, score
+from ..operators import compare, graph, joint, mean_only, panel, partitions, parts, score
 from ..operators.trial import Prior
 from ..session import written
 from .panel_queries import SIDE, _asg, _classes, _edges, _needed, _panel, _units, _values
-from .search import Problem, ensemble_fit, map_fit, one_cluster, start_grid, tuned, whole_fit
+from .search import Fit, Problem, ensemble_fit, map_fit, one_cluster, poisson_fit, start_grid, tuned, whole_fit
 
 
 def _problem(spark, sf_dir, **options):
@@ -20,9 +20,20 @@ def _start(spark, sf_dir):
     return partitions.relabelled(graph.connected_clusters(_edges(spark, sf_dir), _asg(spark, sf_dir), SIDE), SIDE)
 
 
+_fits: dict[tuple, Fit] = {}
+
+
+def _fitted(spark, sf_dir, kind, make) -> Fit:
+    """A fit over a folder of tables, made once an application for the queries that look at it."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    if at not in _fits:
+        _fits[at] = make(_problem(spark, sf_dir))
+    return _fits[at]
+
+
 def map_search(spark, sf_dir):
     """The best pair that the moves reach from a drawn start: cluster and means of every unit."""
-    fit = map_fit(_problem(spark, sf_dir))
+    fit = _fitted(spark, sf_dir, "map", map_fit)
     return fit.assignment.join(fit.estimates, [*SIDE, "unit_id"])
 
 
@@ -33,7 +44,20 @@ def ensemble_start(spark, sf_dir):
 
 def ensemble_search(spark, sf_dir):
     """Particles of an ensemble of ten, with their weights: drawn starts, all families, sweeps until nothing changes, then every unit as an island."""
-    return ensemble_fit(_problem(spark, sf_dir)).particles
+    return _fitted(spark, sf_dir, "ensemble", ensemble_fit).particles
+
+
+def ensemble_faults(spark, sf_dir):
+    """Of each run's ensemble: particles, sum of their weights, units left out or held twice, clusters that are not connected, particles whose score is not that of their partitions."""
+    fit, units, edges = _fitted(spark, sf_dir, "ensemble", ensemble_fit), _units(spark, sf_dir), _edges(spark, sf_dir)
+    labels = written(fit.assignment, "labels")
+    count = lambda df, c: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(c))
+    scored = score.scored_particles(labels, units, edges).join(fit.particles.select("run_id", "particle_id", F.col("log_post").alias("held")), ["run_id", "particle_id"])
+    pieces = count(graph.connected_clusters(edges, labels, SIDE).select(*SIDE, "cluster_id").distinct(), "pieces").join(count(labels.select(*SIDE, "cluster_id").distinct(), "clusters"), "run_id")
+    out = fit.particles.groupBy("run_id").agg(F.count(F.lit(1)).alias("particles"), F.round(F.sum("w"), 6).alias("w"))
+    for more in (count(mean_only.uncovered(labels, units, SIDE), "uncovered"), pieces.select("run_id", (F.col("pieces") - F.col("clusters")).alias("parted")), count(scored.where(F.abs(F.col("log_post") - F.col("held")) > 1e-6), "misjudged")):
+        out = out.join(more, "run_id", "left")
+    return out.na.fill(0, ["uncovered", "parted", "misjudged"])
 
 
 def ensemble_uniform(spark, sf_dir):
@@ -54,6 +78,18 @@ def equal_sides_search(spark, sf_dir):
     return map_fit(_problem(spark, sf_dir, equal=True)).assignment
 
 
+def levels_search(spark, sf_dir):
+    """Particles of an ensemble of the model with levels alone; every unit is tried as an island where nothing else is better."""
+    from .mean_queries import _hyper
+
+    return ensemble_fit(Problem.of_levels(_panel(spark, sf_dir), _edges(spark, sf_dir), _hyper(spark, sf_dir))).particles
+
+
+def poisson_search(spark, sf_dir):
+    """The pair of greatest evidence of counts made from the panel."""
+    return poisson_fit(_problem(spark, sf_dir), joint.counts(_panel(spark, sf_dir)))[0]
+
+
 def posterior_estimates(spark, sf_dir):
     """Posterior means of every unit's level and slope in every particle."""
     units, edges = _units(spark, sf_dir), _edges(spark, sf_dir)
@@ -64,8 +100,7 @@ def posterior_estimates(spark, sf_dir):
 
 def hyperparam_tuning(spark, sf_dir):
     """Hyperparameters where the likelihood of the best pair found by map_fit is greatest."""
-    problem = _problem(spark, sf_dir)
-    return tuned(problem, map_fit(problem).assignment)
+    return tuned(_problem(spark, sf_dir), _fitted(spark, sf_dir, "map", map_fit).assignment)
 
 
 def _packed(spark, sf_dir, rows):
@@ -110,13 +145,6 @@ def spectral_split(spark, sf_dir):
     return compare.spectral_parts(packed, SIDE)
 
 
-def kmeans_split(spark, sf_dir):
-    """Two-means cut of every cluster."""
-    from ..operators.moves import kmeans_splits
-
-    return kmeans_splits(_asg(spark, sf_dir), _values(spark, sf_dir), SIDE, "value")
-
-
 def silhouette(spark, sf_dir):
     """Mean silhouette of every partition."""
     return compare.silhouettes(_asg(spark, sf_dir), _values(spark, sf_dir), SIDE).withColumn("silhouette", F.round("silhouette", 6))
@@ -138,16 +166,7 @@ def comparator_scores(spark, sf_dir):
     return scored.select("run_id", method, "log_like", "log_prior", "log_post")
 
 
-def spanning_tree(spark, sf_dir):
-    """Least spanning tree of each run's lattice, edges weighted by the difference of levels."""
-    units = _units(spark, sf_dir).select("run_id", "unit_id", "alpha")
-    a = units.select("run_id", F.col("unit_id").alias("src"), F.col("alpha").alias("p"))
-    b = units.select("run_id", F.col("unit_id").alias("dst"), F.col("alpha").alias("q"))
-    weighted = a.join(_edges(spark, sf_dir), "src").join(b, ["run_id", "dst"]).select("run_id", "src", "dst", F.abs(F.col("p") - F.col("q")).alias("weight"))
-    return compare.spanning_tree(weighted, ["run_id"])
-
-
-QUERIES = {f.__name__: f for f in (map_search, ensemble_start, ensemble_search, ensemble_uniform, whole_search, equal_sides_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, kmeans_split, silhouette, comparator_scores, spanning_tree)}
+QUERIES = {f.__name__: f for f in (map_search, ensemble_start, ensemble_search, ensemble_faults, ensemble_uniform, whole_search, equal_sides_search, levels_search, poisson_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, silhouette, comparator_scores)}
 _PAIRS = "SELECT a.run_id, a.particle_id, a.side, a.unit_id, a.cluster_id AS own, b.cluster_id AS other, sum(abs(a.value - b.value)) AS d, count(*) AS n FROM class a JOIN class b ON (a.run_id, a.particle_id, a.side) = (b.run_id, b.particle_id, b.side) GROUP BY ALL"
 _SILHOUETTE = f"SELECT run_id, particle_id, side, round(avg(CASE WHEN b IS NULL THEN NULL WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM (SELECT run_id, particle_id, side, unit_id, max(d / nullif(n - 1, 0)) FILTER (own = other) AS a, min(d / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM ({_PAIRS}) GROUP BY ALL) GROUP BY ALL"
-SQL = {"silhouette": "WITH " + ", ".join(_needed(_SILHOUETTE)) + " " + _SILHOUETTE}
+SQL = {"ensemble_faults": "SELECT DISTINCT run_id, 10::BIGINT AS particles, 1.0::DOUBLE AS w, 0::BIGINT AS uncovered, 0::BIGINT AS parted, 0::BIGINT AS misjudged FROM panel", "silhouette": "WITH " + ", ".join(_needed(_SILHOUETTE)) + " " + _SILHOUETTE}

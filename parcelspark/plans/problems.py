@@ -111,17 +111,38 @@ def _line_sql() -> str:
     names = ", ".join(f"'f{i}'" for i in range(1, 10))
     held = lambda f: f"CASE WHEN {f} LIKE '\"%' THEN replace({f}[2:-2], '\"\"', '\"') ELSE {f} END"
     number = lambda v, m: f"({v} = '' OR (regexp_full_match(trim({v}), '{_NUM}') AND abs(try_cast(trim({v}) AS DOUBLE)) <= {m}))"
+    fields = ", ".join(f"{held(f'f.f{i}')} AS h{i}" for i in range(1, 10))
     return (
         "bare AS (SELECT raw_id, CASE WHEN line LIKE '%' || chr(13) THEN line[:-2] ELSE line END AS line FROM incident_raw), "
-        f"cut AS (SELECT raw_id, regexp_full_match(line, '{pattern[1:-1]}', 's') AS good, regexp_extract(line, '{pattern}', [{names}], 's') AS f FROM bare), "
-        f"held AS (SELECT raw_id, good, {held('f.f6')} AS code, {held('f.f8')} AS px, {held('f.f9')} AS py FROM cut), "
-        f"judged AS (SELECT raw_id, coalesce(good AND trim(code) IN (SELECT ucr_general::VARCHAR FROM crime_code) AND {number('px', 180)} AND {number('py', 90)}, false) AS ok FROM held)"
+        f"cut AS (SELECT raw_id, line, regexp_full_match(line, '{pattern[1:-1]}', 's') AS good, regexp_full_match(line, '{_FIELD}(,{_FIELD})*', 's') AS sound, regexp_extract(line, '{pattern}', [{names}], 's') AS f FROM bare), "
+        f"held AS (SELECT raw_id, line, good, sound, {fields} FROM cut), "
+        f"judged AS (SELECT *, coalesce(trim(h6) IN (SELECT ucr_general::VARCHAR FROM crime_code), false) AS ok6, {number('h8', 180)} AS ok8, {number('h9', 90)} AS ok9 FROM held), "
+        "split AS (SELECT *, coalesce(good AND ok6 AND ok8 AND ok9, false) AS ok FROM judged)"
     )
 
 
+_REASON = "CASE WHEN line IS NULL THEN 'null line' WHEN NOT sound THEN 'broken quoting' WHEN NOT good THEN 'wrong number of fields' ELSE concat_ws('; ', CASE WHEN NOT ok6 THEN 'ucr_general is not a known code' END, CASE WHEN NOT ok8 THEN 'point_x is not a number up to 180' END, CASE WHEN NOT ok9 THEN 'point_y is not a number up to 90' END) END"
+#: The 26 known kinds of crime_code, which name the columns of the wide table.
+KINDS = (
+    "homicide", "sexual assault", "robbery", "aggravated assault", "break in", "theft", "vehicle theft", "minor assault", "fire setting",
+    "forged papers", "swindle", "breach of trust", "handling", "damage", "weapon offence", "soliciting", "indecency", "drug offence", "gaming",
+    "neglect", "drunk driving", "liquor rules", "public drunkenness", "disorder", "loitering", "all other",
+)
+
+
+def _features_sql() -> str:
+    column = lambda *parts: "_".join(map(str, parts)).replace(" ", "_")
+    cells = [f"count(*) FILTER (k = '{k}' AND year = {y}) AS {column('n', k, y)}" for k in KINDS for y in YEARS]
+    cells += [f"count(*) FILTER (k = '{k}') AS {column('total', k)}, max(year) FILTER (k = '{k}')::BIGINT AS {column('latest', k)}" for k in KINDS]
+    return f"WITH {_CURRENT} SELECT ngbh, {', '.join(cells)}, count(*) AS total, max(year)::BIGINT AS latest FROM (SELECT *, lower(trim(crimetype)) AS k FROM current_row) WHERE ngbh IS NOT NULL AND k IS NOT NULL AND year BETWEEN 2006 AND 2018 GROUP BY ngbh"
+
+
 SQL = {
     "p2_found": f"WITH {_CURRENT} SELECT ngbh, lower(trim(crimetype)) AS crimetype FROM current_row WHERE ngbh IS NOT NULL AND crimetype IS NOT NULL AND year BETWEEN 2006 AND 2018 GROUP BY 1, 2 HAVING count(*) >= 3 AND max(year) <= 2015",
-    "p3_found": f"WITH {_line_sql()} SELECT raw_id FROM judged WHERE NOT ok",
+    "p2_features": _features_sql(),
+    "p3_found": f"WITH {_line_sql()} SELECT raw_id FROM split WHERE NOT ok",
+    "p3_reasons": f"WITH {_line_sql()} SELECT raw_id, {_REASON} AS errors FROM split WHERE NOT ok",
+    "p3_loaded": f"WITH {_line_sql()} SELECT raw_id, try_cast(trim(h1) AS BIGINT) AS dc_key, h2 AS dc_dist, h3 AS psa, h4 AS dispatch_date, h5 AS dispatch_time, trim(h6)::INT AS ucr_general, h7 AS text_general_code, try_cast(trim(h8) AS DOUBLE) AS point_x, try_cast(trim(h9) AS DOUBLE) AS point_y FROM split WHERE ok",
     "p4_found": f"WITH {_POINTS}, {_SIDES}, {_BOXES}, {_WITHIN} SELECT crime_id, 'tract' AS kind, region_id AS other_id FROM within_tract WHERE ngbh IS NULL OR ngbh <> region_id UNION ALL SELECT crime_id, 'site' AS kind, site_id AS other_id FROM pt JOIN site ON x BETWEEN site_x - 0.001 AND site_x + 0.001 AND y BETWEEN site_y - 0.001 AND site_y + 0.001 WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(site_y - y) / 2), 2) + cos(radians(y)) * cos(radians(site_y)) * pow(sin(radians(site_x - x) / 2), 2))) <= 50",
     "p4_region_counts": f"WITH {_POINTS}, {_SIDES}, {_BOXES}, {_WITHIN} SELECT region_id, count(*) AS n FROM within_tract GROUP BY 1",
     "p5_found": f"WITH {_DAYS} SELECT ngbh, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE day >= DATE '2006-01-31' AND t7 >= 8 AND 10 * t7 > 7 * t30",

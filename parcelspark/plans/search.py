@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from ..operators import mean_only, moves, parts
 from ..operators.compare import kmeans_path
+from ..operators.joint import packed_pairs, poisson_laplace
 from ..operators.kernel import cluster_stats
 from ..operators.panel import default_hyperparameters, unit_ols
 from ..operators.partitions import relabelled
 from ..operators.score import log_likelihood, neighbour_lists, totals
 from ..operators.trial import Prior, chosen, log_posterior, spread_out, tried
-from ..operators.weights import tempered_weights
+from ..operators.weights import prior_py, tempered_weights
 from ..session import dropped, written
 
 PARTICLE = ["run_id", "particle_id"]
@@ -315,6 +316,49 @@ def map_fit(problem: Problem, start: DataFrame | None = None, most_sweeps: int =
     return ensemble_fit(problem, 1, 0.0, start, most_sweeps, False, families)
 
 
+def poisson_fit(problem: Problem, counts: DataFrame, start: DataFrame | None = None, most_rounds: int = 25, families: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame]:
+    """(assignment, run_id and log_post) of the pair of greatest Laplace evidence of counts that the moves reach, for each run.
+
+    problem: of the counts on the scale of a logarithm; its means and values make the candidates. counts: run_id, unit_id, t, x, y. A
+    candidate is scored as a whole particle, since the evidence of counts does not part into clusters; the sides take their best
+    change by turns until neither has one. Runs that a round left as they were are left out of later rounds.
+    """
+    start = drawn_starts(problem, 1) if start is None else start
+    labels = _whole(problem, start, KEYS)
+    now = written(spread_out(labels, KEYS).join(problem.values(), ["run_id", "side", "unit_id"]), "now")
+    near, done = neighbour_lists(problem.edges), None
+    for _ in range(most_rounds):
+        moved = None
+        for side in problem.sides:
+            at = now if done is None else now.join(done, "run_id", "left_anti")
+            cands = candidates(problem, at.where(F.col("side") == side), families=families, keys=KEYS).drop("particle_id", "side")
+            names = cands.select("run_id", "cand").distinct().unionByName(at.select("run_id", F.lit("").alias("cand")).distinct())
+            names = written(names.withColumn("particle_id", F.row_number().over(Window.partitionBy("run_id").orderBy("cand")).cast("int")), "names")
+            cands = written(cands, "cands")
+            pick = lambda s: F.max(F.when(F.col("side") == s, F.col("cluster_id")))
+            base = at.groupBy("run_id", "unit_id").agg(pick("A").alias("ca"), pick("B").alias("cb"))
+            own = F.coalesce(F.col("cluster_id"), F.col("ca" if side == "A" else "cb"))
+            both = names.join(base, "run_id").join(cands, ["run_id", "cand", "unit_id"], "left")
+            both = both.withColumn("ca" if side == "A" else "cb", own).drop("cluster_id")
+            like = poisson_laplace(packed_pairs(both, counts, near, problem.hyper), problem.rho)
+            prior = prior_py(both.select(*PARTICLE, "unit_id", F.col("ca" if side == "A" else "cb").alias("cluster_id")), PARTICLE, problem.prior.eta, problem.prior.sigma)
+            scored = like.join(prior, PARTICLE).join(names, PARTICLE).select("run_id", "cand", F.round(F.col("log_like") + F.col("log_prior"), 9).alias("post"))
+            best = scored.groupBy("run_id").agg(F.min_by("cand", F.struct(-F.col("post"), "cand")).alias("cand"))
+            best = written(best.where(F.col("cand") != ""), "best")
+            if not best.isEmpty():
+                new = cands.join(best, ["run_id", "cand"]).select("run_id", F.lit(side).alias("side"), "unit_id", F.col("cluster_id").alias("_new"))
+                label = now.select(*KEYS, "unit_id", "cluster_id").join(new, ["run_id", "side", "unit_id"], "left").select(*KEYS, "unit_id", F.coalesce("_new", "cluster_id").alias("cluster_id"))
+                now = written(spread_out(_whole(problem, label, KEYS), KEYS).join(problem.values(), ["run_id", "side", "unit_id"]), "now")
+                moved = best.select("run_id") if moved is None else moved.unionByName(best.select("run_id"))
+        if moved is None:
+            break
+        done = now.select("run_id").distinct().join(moved, "run_id", "left_anti")
+    pairs = now.groupBy(*PARTICLE, "unit_id").agg(F.max(F.when(F.col("side") == "A", F.col("cluster_id"))).alias("ca"), F.max(F.when(F.col("side") == "B", F.col("cluster_id"))).alias("cb"))
+    like = poisson_laplace(packed_pairs(pairs, counts, near, problem.hyper), problem.rho)
+    prior = prior_py(now, KEYS, problem.prior.eta, problem.prior.sigma).groupBy(*PARTICLE).agg(F.sum("log_prior").alias("log_prior"))
+    return relabelled(now.select(*KEYS, "unit_id", "cluster_id"), KEYS), like.join(prior, PARTICLE).select("run_id", (F.col("log_like") + F.col("log_prior")).alias("log_post"))
+
+
 def whole_fit(panel: DataFrame, edges: DataFrame, particles: int = 10, temper: float = 10.0, rho: float = 0.9, prior: Prior | None = None) -> tuple[Fit, Fit, DataFrame]:
     """(ensemble, best particle, hyperparameters): map_fit, tuned at what it finds, and an ensemble from there with the tuned hyperparameters."""
     problem = Problem.of(panel, edges, None, rho, prior)

@@ -33,6 +33,7 @@ def test_tunes_at_the_map(spark, small, monkeypatch):
     """The query tunes the partitions of map_fit, with its defaults."""
     found, seen = object(), []
     monkeypatch.setattr(fit_queries, "map_fit", lambda problem: search.Fit(found, None, None, 1, True))
+    monkeypatch.setattr(fit_queries, "_fits", {})
     monkeypatch.setattr(fit_queries, "tuned", lambda problem, assignment: seen.append(assignment))
     fit_queries.hyperparam_tuning(spark, small)
     assert seen == [found]
