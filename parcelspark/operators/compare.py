@@ -51,16 +51,16 @@ def kmeans_path(values: DataFrame, keys: list[str], most: int | Callable[[int],
     return values.where(F.col("value").isNotNull()).select(*keys, "unit_id", "value").groupBy(*keys).applyInPandas(path, schema)
 
 
-def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
+def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2, squared: bool = True) -> DataFrame:
     """keys, cluster_id, unit_id, part: the cut of spectral_path into k parts."""
-    return spectral_path(clusters, keys, lambda n: [k]).drop("k")
+    return spectral_path(clusters, keys, lambda n: [k], squared).drop("k")
 
 
-def spectral_path(clusters: DataFrame, keys: list[str], ks: Callable[[int], Iterable[int]]) -> DataFrame:
+def spectral_path(clusters: DataFrame, keys: list[str], ks: Callable[[int], Iterable[int]], squared: bool = True) -> DataFrame:
     """keys, cluster_id, k, unit_id, part: spectral cuts of a cluster of n units into k parts, for each k of ks(n) that is under n.
 
     clusters: keys, cluster_id, members ARRAY<STRUCT<unit_id, value, neighbours>>, one row per cluster. Similarity is
-    exp(-(v_i - v_j)² / (2 var)) on neighbours, with 1 on the diagonal; rows of the first k
+    exp(-(v_i - v_j)² / (2 var)), or where not squared exp(-|v_i - v_j| / (2 sd)), on neighbours, with 1 on the diagonal; rows of the first k
     eigenvectors of the normalised Laplacian, at unit length, are grouped by farthest-first seeds and
     ten means steps. Clusters whose values are all equal have no cut.
     """
@@ -75,7 +75,8 @@ def spectral_path(clusters: DataFrame, keys: list[str], ks: Callable[[int], Iter
         for i, other in enumerate(near):
             for u in other if other is not None else ():
                 if int(u) in place:
-                    w[i, place[int(u)]] = np.exp(-((v[i] - v[place[int(u)]]) ** 2) / (2 * v.var(ddof=1)))
+                    gap = abs(v[i] - v[place[int(u)]])
+                    w[i, place[int(u)]] = np.exp(-(gap**2) / (2 * v.var(ddof=1)) if squared else -gap / (2 * v.std(ddof=1)))
         d = 1 / np.sqrt(w.sum(axis=1))
         return np.linalg.eigh(np.eye(len(units)) - d[:, None] * w * d)[1]
 

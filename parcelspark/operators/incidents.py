@@ -66,3 +66,8 @@ def densities(counts: DataFrame, regions: DataFrame, value: str = "violent") ->
     area = regions.select("region_id", "geoid", F.col("aland"), square_miles(F.col("aland")).alias("area_sqmile")).dropDuplicates(["region_id"])
     density = F.col(value) / F.nullif(F.col("area_sqmile"), F.lit(0.0))
     return counts.join(area, "region_id").withColumn("density", density).withColumn("tr_density", ihs(F.col("density")))
+
+
+def in_order(incidents: DataFrame, moment: str = "moment", key: str = "crime_id") -> DataFrame:
+    """Incidents by time, those without one first, of equal times by key; the order is Spark's range partitioning, written files keep it."""
+    return incidents.orderBy(F.asc_nulls_first(moment), key)

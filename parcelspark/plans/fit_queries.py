@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare, graph, joint, mean_only, panel, partitions, parts, score
-from ..operators.trial import Prior
 from ..session import written
 from .panel_queries import SIDE, _asg, _classes, _edges, _needed, _panel, _units, _values
-from .search import Fit, Problem, ensemble_fit, map_fit, one_cluster, poisson_fit, start_grid, tuned, whole_fit
+from .search import Fit, Problem, drawn_starts, ensemble_fit, map_fit, start_grid, tuned
 
 
 def _problem(spark, sf_dir, **options):
@@ -60,22 +59,12 @@ def ensemble_faults(spark, sf_dir):
     return out.na.fill(0, ["uncovered", "parted", "misjudged"])
 
 
-def ensemble_uniform(spark, sf_dir):
-    """The same under the uniform prior of partitions, from one cluster."""
-    problem = _problem(spark, sf_dir, prior=Prior("uniform"))
-    return ensemble_fit(problem, start=one_cluster(problem.units, 10)).particles
-
-
-def whole_search(spark, sf_dir):
-    """Estimates of every unit, averaged over an ensemble that starts at the best pair, with hyperparameters tuned there."""
-    fit = whole_fit(_panel(spark, sf_dir), _edges(spark, sf_dir))[0]
-    rows = fit.estimates.join(fit.particles.select("run_id", "particle_id", "w"), ["run_id", "particle_id"])
-    return rows.groupBy("run_id", "side", "unit_id").agg(F.sum(F.col("w") * F.col("mean")).alias("mean"))
-
-
 def equal_sides_search(spark, sf_dir):
-    """The best partition that serves levels and slopes alike."""
-    return map_fit(_problem(spark, sf_dir, equal=True)).assignment
+    """The best partition that serves levels and slopes alike, from the common refinement of a start for both."""
+    own = drawn_starts(_problem(spark, sf_dir), 1)
+    a, b = (own.where(F.col("side") == s).drop("side") for s in "AB")
+    start = partitions.meet(a, b, ["run_id", "particle_id"]).withColumn("side", F.lit("A"))
+    return map_fit(_problem(spark, sf_dir, equal=True), start).assignment
 
 
 def levels_search(spark, sf_dir):
@@ -85,11 +74,6 @@ def levels_search(spark, sf_dir):
     return ensemble_fit(Problem.of_levels(_panel(spark, sf_dir), _edges(spark, sf_dir), _hyper(spark, sf_dir))).particles
 
 
-def poisson_search(spark, sf_dir):
-    """The pair of greatest evidence of counts made from the panel."""
-    return poisson_fit(_problem(spark, sf_dir), joint.counts(_panel(spark, sf_dir)))[0]
-
-
 def posterior_estimates(spark, sf_dir):
     """Posterior means of every unit's level and slope in every particle."""
     units, edges = _units(spark, sf_dir), _edges(spark, sf_dir)
@@ -166,7 +150,7 @@ def comparator_scores(spark, sf_dir):
     return scored.select("run_id", method, "log_like", "log_prior", "log_post")
 
 
-QUERIES = {f.__name__: f for f in (map_search, ensemble_start, ensemble_search, ensemble_faults, ensemble_uniform, whole_search, equal_sides_search, levels_search, poisson_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, silhouette, comparator_scores)}
+QUERIES = {f.__name__: f for f in (map_search, ensemble_start, ensemble_search, ensemble_faults, equal_sides_search, levels_search, posterior_estimates, hyperparam_tuning, exact_score, poisson_score, joint_score, joint_estimates, ascent_estimates, kmeans_path, spectral_split, silhouette, comparator_scores)}
 _PAIRS = "SELECT a.run_id, a.particle_id, a.side, a.unit_id, a.cluster_id AS own, b.cluster_id AS other, sum(abs(a.value - b.value)) AS d, count(*) AS n FROM class a JOIN class b ON (a.run_id, a.particle_id, a.side) = (b.run_id, b.particle_id, b.side) GROUP BY ALL"
 _SILHOUETTE = f"SELECT run_id, particle_id, side, round(avg(CASE WHEN b IS NULL THEN NULL WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM (SELECT run_id, particle_id, side, unit_id, max(d / nullif(n - 1, 0)) FILTER (own = other) AS a, min(d / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM ({_PAIRS}) GROUP BY ALL) GROUP BY ALL"
 SQL = {"ensemble_faults": "SELECT DISTINCT run_id, 10::BIGINT AS particles, 1.0::DOUBLE AS w, 0::BIGINT AS uncovered, 0::BIGINT AS parted, 0::BIGINT AS misjudged FROM panel", "silhouette": "WITH " + ", ".join(_needed(_SILHOUETTE)) + " " + _SILHOUETTE}

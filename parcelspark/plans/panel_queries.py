@@ -510,6 +510,22 @@ def incident_times(spark, sf_dir):
     return rows.select("crime_id", F.date_format("day", "yyyy-MM-dd").alias("day"), moment.alias("moment"), "weekday_name", "year_of_day", F.date_format("week_time", "HH:mm:ss").alias("week_time"))
 
 
+@query("SELECT region_id, year, violent, row_number() OVER (PARTITION BY year ORDER BY violent DESC, region_id) AS place FROM years")
+def region_order(spark, sf_dir):
+    """Regions of each year from the most to the least violent incidents, in that order."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("violent"), "region_id"))
+    return _region_years(spark, sf_dir).select("region_id", "year", "violent", place.alias("place")).orderBy("year", "place")
+
+
+@query("SELECT crime_id, strftime(loaded_at, '%Y-%m-%d') AS loaded FROM clean_crime")
+def incident_order(spark, sf_dir):
+    """Incidents in the order of their time."""
+    rows = incidents.in_order(table(spark, sf_dir, "clean_crime").select("crime_id", "loaded_at", "timedate"), "timedate")
+    return rows.select("crime_id", F.date_format("loaded_at", "yyyy-MM-dd").alias("loaded"))
+
+
 def incident_clean(spark, sf_dir):
     """Incidents with known points inside of a region, their kind, times and region."""
     rows = incidents.with_times(incidents.with_points(table(spark, sf_dir, "clean_crime")))

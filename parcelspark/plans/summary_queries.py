@@ -42,11 +42,20 @@ def error_ratio(spark, sf_dir):
     return mse.join(first, "run_id").select("run_id", "particle_id", F.round(F.col("mse") / F.nullif(F.col("first"), F.lit(0.0)), 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (pairwise_vi, metric_average, draw_mean, predict_counts, error_ratio)}
+def posterior_gap(spark, sf_dir):
+    """Of each run: the greatest log posterior less that of particle 1, and whether another particle has particle 1's partitions."""
+    rows = _weighted(spark, sf_dir)
+    first = rows.where("particle_id = 1").select("run_id", F.col("log_post").alias("own"), F.col("signature").alias("truth"))
+    met = F.max(((F.col("signature") == F.col("truth")) & (F.col("particle_id") > 1)).cast("int"))
+    return rows.join(first, "run_id").groupBy("run_id").agg(F.round(F.max(F.col("log_post") - F.col("own")), 6).alias("gap"), met.alias("met"))
+
+
+QUERIES = {f.__name__: f for f in (pairwise_vi, metric_average, draw_mean, predict_counts, error_ratio, posterior_gap)}
 
 _PAIRS = "SELECT a.run_id, a.side, a.particle_id AS p, b.particle_id AS q, a.cluster_id AS c1, b.cluster_id AS c2, count(*) AS n FROM class a JOIN class b ON a.run_id = b.run_id AND a.side = b.side AND a.unit_id = b.unit_id AND a.particle_id < b.particle_id GROUP BY ALL"
 _E = lambda c: f"(SELECT run_id, side, p, q, sum(m * ln(m)) AS e FROM (SELECT run_id, side, p, q, {c}, sum(n) AS m FROM pairs GROUP BY ALL) GROUP BY ALL)"
 _SQL = {
+    "posterior_gap": "SELECT run_id, round(max(log_post) - max(log_post) FILTER (particle_id = 1), 6) AS gap, max((same = 1 AND particle_id > 1)::INT) AS met FROM wt GROUP BY run_id",
     "pairwise_vi": f"SELECT run_id, round(avg(vi), 6) AS vi FROM (SELECT run_id, p, q, sum(greatest((x.e + y.e - 2 * z.e) / z.n, 0)) AS vi FROM {_E('c1')} x JOIN {_E('c2')} y USING (run_id, side, p, q) JOIN (SELECT run_id, side, p, q, sum(n * ln(n)) AS e, sum(n) AS n FROM pairs GROUP BY ALL) z USING (run_id, side, p, q) GROUP BY ALL) GROUP BY run_id",
     "metric_average": "SELECT run_id, side, round(avg(rand), 6) AS mean, round(sum(w * rand) / sum(w), 6) AS weighted, avg((rand = 1)::INT) AS equal FROM (SELECT run_id, side, particle_id, round(1 - (p1 + p2 - 2 * p12) / p, 6) AS rand FROM cmp) JOIN wt USING (run_id, particle_id) GROUP BY ALL",
     "draw_mean": "SELECT run_id, unit_id, round(avg(alpha), 6) AS alpha FROM est GROUP BY ALL",

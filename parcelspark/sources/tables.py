@@ -43,6 +43,26 @@ def read_matrix_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
     return wide.select("unit_id", F.posexplode(F.array(*names)).alias("p", "value")).select("unit_id", (F.col("p") + 1).alias("t"), "value")
 
 
+def read_plain_matrix_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """A CSV matrix without ids, whose rows are the units 1, 2, ... in the order of the file, as unit_id, t, value.
+
+    path is one file. Its splits keep the order of its lines, so a line's place is the number of lines in the splits before, of which one
+    number by split goes to the driver, and its place in its split.
+    """
+    lines = spark.read.text(path).where(F.length("value") > 0).select("value", F.monotonically_increasing_id().alias("_id"))
+    lines = lines.select("value", F.shiftright("_id", 33).alias("_split"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    held = {r["_split"]: r["n"] for r in lines.groupBy("_split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for split in sorted(held):
+        before += [F.lit(split), F.lit(total)]
+        total += held[split]
+    numbers = F.transform(F.split("value", ","), lambda v: F.trim(v).try_cast("double"))
+    if not before:
+        return lines.select(F.lit(0).alias("unit_id"), F.lit(0).alias("t"), F.lit(0.0).alias("value")).limit(0)
+    unit = (F.create_map(*before)[F.col("_split")] + F.col("_at") + 1).cast("int").alias("unit_id")
+    return lines.select(unit, F.posexplode(F.slice(numbers, 1, columns)).alias("p", "value")).select("unit_id", (F.col("p") + 1).alias("t"), "value")
+
+
 def write_matrix_csv(long: DataFrame, path: str, columns: int) -> None:
     """Write unit_id, t, value (t = 1..columns) as one CSV row per unit; see read_matrix_csv."""
     wide = long.groupBy("unit_id").pivot("t", list(range(1, columns + 1))).agg(F.first("value"))
@@ -52,3 +72,19 @@ def write_matrix_csv(long: DataFrame, path: str, columns: int) -> None:
 def append_comembership(pairs: DataFrame, path: str) -> None:
     """Append pairs of units of one cluster (run_id, particle_id, unit_a, unit_b) to a CSV folder."""
     pairs.write.mode("append").csv(path)
+
+
+def read_comembership(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs that append_comembership wrote."""
+    return spark.read.schema("run_id int, particle_id int, unit_a int, unit_b int").csv(path)
+
+
+def read_batches(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, list[str]]:
+    """(rows of all batches with their number as batch, the paths that do not exist): batches of a study, each a Parquet folder; missing ones are skipped and named."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there = [hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(p)) for p in paths]
+    out = spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    for i, (path, found) in enumerate(zip(paths, there), 1):
+        if found:
+            out = out.unionByName(spark.read.schema(schema).parquet(path).withColumn("batch", F.lit(i)))
+    return out, [p for p, found in zip(paths, there) if not found]

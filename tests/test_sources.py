@@ -45,3 +45,28 @@ def test_counts_without_a_cap(spark):
     again = generators.poisson_panel(truth.repartition(7), 4, seed=5).toPandas()
     key = ["run_id", "unit_id", "t"]
     assert rows.sort_values(key).y.tolist() == again.sort_values(key).y.tolist()
+
+
+def test_plain_matrix_batches_and_pairs(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("".join(f"{u}.5, {u + 100}\n" for u in range(1, 400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = tables.read_plain_matrix_csv(spark, str(tmp_path / "x.csv"), 2)
+        got = {(r["unit_id"], r["t"]): r["value"] for r in rows.collect()}
+        assert rows.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(u, t): u + 0.5 if t == 1 else u + 100.0 for u in range(1, 400) for t in (1, 2)}
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0)], "a int, v double")
+    df.write.parquet(str(tmp_path / "b2"))
+    rows, missing = tables.read_batches(spark, [str(tmp_path / n) for n in ("b1", "b2", "b3")], df.schema)
+    assert sorted(map(tuple, rows.collect())) == [(1, 1.0, 2), (2, 2.0, 2)] and [m[-2:] for m in missing] == ["b1", "b3"]
+    pairs = spark.createDataFrame([(1, 1, 2, 5)], "run_id int, particle_id int, unit_a int, unit_b int")
+    for _ in range(2):
+        tables.append_comembership(pairs, str(tmp_path / "pairs"))
+    assert list(map(tuple, tables.read_comembership(spark, str(tmp_path / "pairs")).collect())) == [(1, 1, 2, 5)] * 2
+
+
+def test_order(spark):
+    df = spark.createDataFrame([(3, "b"), (1, "b"), (2, None), (4, "a")], "crime_id int, moment string")
+    assert [r["crime_id"] for r in incidents.in_order(df).collect()] == [2, 4, 1, 3]
