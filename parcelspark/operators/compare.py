@@ -162,3 +162,32 @@ def strong_parts(tree: DataFrame, vertices: DataFrame, keys: list[str], toleranc
     near = tree.where(F.abs("weight") <= tolerance)
     both = near.select(*keys, "src", "dst").unionByName(near.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
     return components(vertices, both, keys)
+
+
+def tree_basis(tree: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, src, dst, unit_id, value: the rows of a spanning tree's incidence matrix (1 at src, -1 at dst), and a row of 1/N (src and dst null) that makes it square; zeros are left out."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("unit_id"), F.lit(1.0).alias("value")), F.struct(F.col("dst").alias("unit_id"), F.lit(-1.0).alias("value")))).alias("e")
+    rows = tree.select(*keys, "src", "dst", ends).select(*keys, "src", "dst", "e.*")
+    types = dict(tree.dtypes)
+    none = [F.lit(None).cast(types[c]).alias(c) for c in ("src", "dst")]
+    share = 1 / F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return rows.unionByName(vertices.select(*keys, *none, "unit_id", share.alias("value")))
+
+
+def tree_inverse(tree: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, src, dst, unit_id, value: the inverse of tree_basis, by column (src, dst; null for the last).
+
+    Without an edge the tree falls apart; units on the side of src have the share of the other side, those of dst minus the share of src's
+    side, and the last column is 1. As many rows as the square of a graph's units, since the inverse is dense.
+    """
+    cut = tree.select(*keys, F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    rest = cut.join(tree.select(*keys, "src", "dst"), keys).where((F.col("src") != F.col("_s")) | (F.col("dst") != F.col("_d")))
+    both = rest.select(*keys, "_s", "_d", "src", "dst").unionByName(rest.select(*keys, "_s", "_d", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    by = [*keys, "_s", "_d"]
+    sides = components(cut.join(vertices.select(*keys, "unit_id"), keys), both, by)
+    edge = Window.partitionBy(*by)
+    own = F.max(F.when(F.col("unit_id") == F.col("_s"), F.col("component"))).over(edge)
+    marked = sides.withColumn("_near", (F.col("component") == own).cast("double")).withColumn("_share", F.avg("_near").over(edge))
+    cells = marked.select(*keys, F.col("_s").alias("src"), F.col("_d").alias("dst"), "unit_id", (F.col("_near") - F.col("_share")).alias("value"))
+    types = dict(tree.dtypes)
+    return cells.unionByName(vertices.select(*keys, *[F.lit(None).cast(types[c]).alias(c) for c in ("src", "dst")], "unit_id", F.lit(1.0).alias("value")))

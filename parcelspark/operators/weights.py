@@ -7,25 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ln_gamma_int
+from ..functions.scalars import ln_gamma, ln_gamma_int
 from .graph import clustered_edges
 from .partitions import cluster_sizes
 
 
-def _steps(k: Column, term) -> Column:
-    """Σ term(i) for i in 0..k-1."""
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1), F.lit(0.0), lambda acc, i: acc + term(i.cast("double")))
+def _rising(start: float, steps: Column, by: float = 1.0) -> Column:
+    """Σ ln(start + i · by) for i in 0..steps-1; start above 0."""
+    if by == 0:
+        return steps * math.log(start)
+    return steps * math.log(by) + ln_gamma(steps + start / by) - math.lgamma(start / by)
 
 
 def prior_py(assignment: DataFrame, keys: list[str], eta: float = 1.0, sigma: float = 0.0) -> DataFrame:
     """Log prior of the Pitman-Yor form: Σ_k [ln Γ(n_k - σ) - ln Γ(1 - σ)] + Σ_{k<K} ln(η + kσ) - Σ_{i<n} ln(η + i).
 
-    ln Γ(n - σ) - ln Γ(1 - σ) = Σ_{i<n-1} ln(1 - σ + i). sigma = 0 is the Ewens form.
+    sigma = 0 is the Ewens form.
     """
     sizes = cluster_sizes(assignment, keys)
-    term = F.when(F.col("n") > 1, _steps(F.greatest(F.col("n") - 1, F.lit(1)), lambda i: F.ln(1 - sigma + i))).otherwise(0.0)
+    term = F.when(F.col("n") > 1, ln_gamma(F.col("n") - sigma) - math.lgamma(1 - sigma)).otherwise(0.0)
     sums = sizes.groupBy(*keys).agg(F.sum(term).alias("inner"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    return sums.select(*keys, (F.col("inner") + _steps(F.col("k"), lambda i: F.ln(eta + i * sigma)) - _steps(F.col("n"), lambda i: F.ln(eta + i))).alias("log_prior"))
+    return sums.select(*keys, (F.col("inner") + _rising(eta, F.col("k"), sigma) - _rising(eta, F.col("n"))).alias("log_prior"))
 
 
 def prior_areal(edges: DataFrame, assignment: DataFrame, keys: list[str], a: int = 200, b: int = 10, eta: float = 1.0) -> DataFrame:

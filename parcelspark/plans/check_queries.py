@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import compare, joint, mean_only, panel, partitions, score
 from ..session import written
 from .panel_queries import SIDE, _asg, _edges, _needed, _panel, _r, _units, _values
@@ -191,3 +192,26 @@ def tree_components(spark, sf_dir):
     """Components of the spanning tree: the whole lattice of each run."""
     tree = spanning_tree(spark, sf_dir)
     return compare.strong_parts(tree, _units(spark, sf_dir).select("run_id", "unit_id"), ["run_id"], tolerance=float("inf")).withColumn("component", F.col("component").cast("int"))
+
+
+@_registered("SELECT run_id, count(*) AS units, 0::BIGINT AS off FROM ols GROUP BY run_id")
+def tree_identity(spark, sf_dir):
+    """Cells in which the product of the spanning tree's matrix and its inverse is not the identity, by run."""
+    keys = ["run_id"]
+    tree = written(spanning_tree(spark, sf_dir).select(*keys, "src", "dst"), "tree")
+    units = written(_units(spark, sf_dir).select(*keys, "unit_id"), "units")
+    name = F.concat_ws(":", "src", "dst")
+    rows = compare.tree_basis(tree, units, keys).select(*keys, name.alias("row"), "unit_id", F.col("value").alias("x"))
+    columns = compare.tree_inverse(tree, units, keys).select(*keys, name.alias("column"), "unit_id", F.col("value").alias("y"))
+    product = rows.join(columns, [*keys, "unit_id"]).groupBy(*keys, "row", "column").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    off = F.count_if(F.abs(F.col("v") - (F.col("row") == F.col("column")).cast("int")) > 1e-9)
+    return product.groupBy(*keys).agg(F.count_distinct("row").alias("units"), off.alias("off"))
+
+
+@_registered("SELECT n, round(lgamma(n), 6) AS gamma, round(lgamma(n / 4.0), 6) AS quarter, round(lgamma(n) + lgamma(3.5) - lgamma(n + 3.5), 6) AS beta, round(lgamma(n + 6) - lgamma(4) - lgamma(n + 3), 6) AS choose, round(1.5 * ln(pi()) + lgamma(n + 1) + lgamma(n + 0.5) + lgamma(n), 6) AS multi FROM (SELECT DISTINCT n FROM sized)")
+def lgamma_family(spark, sf_dir):
+    """ln Γ, ln B, ln of binomials and ln of the multivariate Γ at the sizes of clusters."""
+    sizes = partitions.cluster_sizes(_asg(spark, sf_dir), SIDE).select("n").distinct()
+    n = F.col("n").cast("double")
+    values = {"gamma": scalars.ln_gamma(n), "quarter": scalars.ln_gamma(n / 4), "beta": scalars.ln_beta(n, F.lit(3.5)), "choose": scalars.ln_choose(n + 5, F.lit(3)), "multi": scalars.ln_gamma_multi(n + 1, 3)}
+    return sizes.select("n", *[F.round(v, 6).alias(c) for c, v in values.items()])
