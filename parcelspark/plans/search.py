@@ -28,7 +28,7 @@ from ..operators.partitions import relabelled
 from ..operators.score import log_likelihood, neighbour_lists, totals
 from ..operators.trial import Prior, chosen, log_posterior, spread_out, tried
 from ..operators.weights import prior_py, tempered_weights
-from ..session import dropped, written
+from ..session import dropped, over_cores, written
 
 PARTICLE = ["run_id", "particle_id"]
 KEYS = [*PARTICLE, "side"]
@@ -340,7 +340,7 @@ def poisson_fit(problem: Problem, counts: DataFrame, start: DataFrame | None = N
             own = F.coalesce(F.col("cluster_id"), F.col("ca" if side == "A" else "cb"))
             both = names.join(base, "run_id").join(cands, ["run_id", "cand", "unit_id"], "left")
             both = both.withColumn("ca" if side == "A" else "cb", own).drop("cluster_id")
-            like = poisson_laplace(packed_pairs(both, counts, near, problem.hyper), problem.rho)
+            like = poisson_laplace(over_cores(packed_pairs(both, counts, near, problem.hyper)), problem.rho)
             prior = prior_py(both.select(*PARTICLE, "unit_id", F.col("ca" if side == "A" else "cb").alias("cluster_id")), PARTICLE, problem.prior.eta, problem.prior.sigma)
             scored = like.join(prior, PARTICLE).join(names, PARTICLE).select("run_id", "cand", F.round(F.col("log_like") + F.col("log_prior"), 9).alias("post"))
             best = scored.groupBy("run_id").agg(F.min_by("cand", F.struct(-F.col("post"), "cand")).alias("cand"))
