@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,9 +233,17 @@ def decoded(ids: DataFrame, key: str = "doc_id", tokenizer: str = "byte_bpe_50k"
     file = ids.sparkSession.sparkContext.broadcast(_ranks(tokenizer, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: t for t, rank in vocabulary(file.value).ranks.items()}
+        ranks = vocabulary(file.value).ranks
+        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        tokens = pa.array(table, pa.binary())
         for batch in batches:
-            texts = [b"".join(map(token.__getitem__, row or ())) for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=[key, "text"])
+            for part in sliced(batch, 1):
+                lists = part.column(1)
+                bounds = lists.offsets.to_numpy()
+                held = tokens.take(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
+                rows = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), held)
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_join(rows, pa.scalar(b"", pa.binary()))], names=[key, "text"])
 
     return ids.select(key, "ids").mapInArrow(run, f"`{key}` {dict(ids.dtypes)[key]}, text binary")
