@@ -21,3 +21,12 @@ def test_comparator_scores(spark, small):
     assert math.isclose(rows["one cluster"]["log_post"], one, rel_tol=1e-9)
     assert rows["singletons"]["log_prior"] < rows["one cluster"]["log_prior"]
     assert all(math.isfinite(r["log_post"]) for r in rows.values())
+
+
+def test_spectral_cut_by_absolute_difference(spark):
+    """Both similarities part a line of units where its values jump."""
+    line = [(u, [v for v in (u - 1, u + 1) if 1 <= v <= 8], 0.1 * u if u <= 4 else 5 + 0.1 * u) for u in range(1, 9)]
+    df = spark.createDataFrame([(1, 1, [(u, v, near) for u, near, v in line])], "run_id int, cluster_id int, members array<struct<unit_id:int,value:double,neighbours:array<int>>>")
+    parts = {s: {r["unit_id"]: r["part"] for r in compare.spectral_parts(df, ["run_id"], squared=s).collect()} for s in (True, False)}
+    for made in parts.values():
+        assert len({made[u] for u in range(1, 5)}) == 1 and len({made[u] for u in range(5, 9)}) == 1 and made[1] != made[8]
