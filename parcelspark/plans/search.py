@@ -165,16 +165,17 @@ def candidates(problem: Problem, at: DataFrame, share: float = 0.05, families: t
     named ":now", by mean; island, tail and onward rank by mean. onward: each piece of a split, and each
     piece of a tail, joins the nearest cluster outside.
     """
-    plain = at.select(*keys, "unit_id", "cluster_id")
-    means, values = plain_with(at, keys, "mean"), plain_with(at, keys, "value")
+    plain, means = at.select(*keys, "unit_id", "cluster_id"), plain_with(at, keys, "mean")
     near = neighbour_lists(problem.edges)
-    now = lambda made: made.withColumn("cand", F.concat("cand", F.lit(":now")))
+    kinds = F.explode(F.array(F.struct(F.lit("").alias("_by"), "value"), F.struct(F.lit(":now").alias("_by"), F.col("mean").alias("value")))).alias("_kind")
+    both, cuts_by = at.select(*keys, "unit_id", "cluster_id", kinds).select(*keys, "unit_id", "cluster_id", "_kind.*"), [*keys, "_by"]
+    named = lambda made: made.withColumn("cand", F.concat("cand", "_by")).drop("_by")
     made = {
         "island": lambda: moves.islands(means, None, keys, "value", share),
         "border": lambda: moves.borders(problem.edges, plain, keys),
         "merge": lambda: moves.merges(problem.edges, plain, keys),
-        "split": lambda: parts.kmeans_parts(values, None, keys).unionByName(now(parts.kmeans_parts(means, None, keys))),
-        "spectral": lambda: parts.spectral_cuts(values, None, near, keys).unionByName(now(parts.spectral_cuts(means, None, near, keys))),
+        "split": lambda: named(parts.kmeans_parts(both, None, cuts_by)),
+        "spectral": lambda: named(parts.spectral_cuts(both, None, near, cuts_by)),
         "tail": lambda: moves.tails(means, None, keys, "value"),
     }
     cands = moves.cut(problem.edges, reduce(DataFrame.unionByName, [made[name]() for name in families if name != "onward"]), keys)
@@ -304,7 +305,8 @@ def ensemble_fit(problem: Problem, particles: int = 10, temper: float = 10.0, st
         if not changed and problem.levels:
             changed = search.turn("local", lambda at: level_candidates(problem, at, local=True))
         settled = not changed
-        search.reweighed()
+        if temper:  # without, a particle's choice is its own, whatever its weight
+            search.reweighed()
     if last_islands and not problem.levels:
         search.turn("islands", lambda at: candidates(problem, at, 1.0, ("island",)))
         search.reweighed()
