@@ -56,6 +56,32 @@ def spectral_parts(clusters: DataFrame, keys: list[str], k: int = 2, squared: bo
     return spectral_path(clusters, keys, lambda n: [k], squared).drop("k")
 
 
+def spectral_vectors(units: np.ndarray, v: np.ndarray, near: list, squared: bool = True) -> np.ndarray:
+    """Eigenvectors of the normalised Laplacian of spectral_path, by ascending eigenvalues."""
+    place = {int(u): i for i, u in enumerate(units)}
+    w = np.eye(len(units))
+    for i, other in enumerate(near):
+        for u in other if other is not None else ():
+            if int(u) in place:
+                gap = abs(v[i] - v[place[int(u)]])
+                w[i, place[int(u)]] = np.exp(-(gap**2) / (2 * v.var(ddof=1)) if squared else -gap / (2 * v.std(ddof=1)))
+    d = 1 / np.sqrt(w.sum(axis=1))
+    return np.linalg.eigh(np.eye(len(units)) - d[:, None] * w * d)[1]
+
+
+def spectral_part(rows: np.ndarray, k: int) -> np.ndarray:
+    """The part of each row of the first k eigenvectors."""
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    seeds = [0]
+    while len(seeds) < k:
+        seeds.append(int(np.min([((rows - rows[s]) ** 2).sum(axis=1) for s in seeds], axis=0).argmax()))
+    centres = rows[seeds]
+    for _ in range(10):
+        part = ((rows[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([rows[part == c].mean(axis=0) if (part == c).any() else centres[c] for c in range(k)])
+    return part
+
+
 def spectral_path(clusters: DataFrame, keys: list[str], ks: Callable[[int], Iterable[int]], squared: bool = True) -> DataFrame:
     """keys, cluster_id, k, unit_id, part: spectral cuts of a cluster of n units into k parts, for each k of ks(n) that is under n.
 
@@ -69,37 +95,15 @@ def spectral_path(clusters: DataFrame, keys: list[str], ks: Callable[[int], Iter
     m = F.col("members")
     flat = clusters.where(F.size(m) > 1).select(*keys, "cluster_id", m["unit_id"].alias("units"), m["value"].alias("value"), m["neighbours"].alias("near"))
 
-    def vectors(units: np.ndarray, v: np.ndarray, near: list) -> np.ndarray:
-        place = {int(u): i for i, u in enumerate(units)}
-        w = np.eye(len(units))
-        for i, other in enumerate(near):
-            for u in other if other is not None else ():
-                if int(u) in place:
-                    gap = abs(v[i] - v[place[int(u)]])
-                    w[i, place[int(u)]] = np.exp(-(gap**2) / (2 * v.var(ddof=1)) if squared else -gap / (2 * v.std(ddof=1)))
-        d = 1 / np.sqrt(w.sum(axis=1))
-        return np.linalg.eigh(np.eye(len(units)) - d[:, None] * w * d)[1]
-
-    def cut(rows: np.ndarray, k: int) -> np.ndarray:
-        rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        seeds = [0]
-        while len(seeds) < k:
-            seeds.append(int(np.min([((rows - rows[s]) ** 2).sum(axis=1) for s in seeds], axis=0).argmax()))
-        centres = rows[seeds]
-        for _ in range(10):
-            part = ((rows[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
-            centres = np.array([rows[part == c].mean(axis=0) if (part == c).any() else centres[c] for c in range(k)])
-        return part
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 v = np.array(row["value"], float)
                 wanted = [k for k in ks(len(v)) if k < len(v)] if v.var() > 0 else []
                 if wanted:
-                    found = vectors(row["units"], v, row["near"])
+                    found = spectral_vectors(row["units"], v, row["near"], squared)
                 for k in wanted:
-                    yield pd.DataFrame({**{c: row[c] for c in [*keys, "cluster_id"]}, "k": k, "unit_id": row["units"], "part": cut(found[:, :k], k)})
+                    yield pd.DataFrame({**{c: row[c] for c in [*keys, "cluster_id"]}, "k": k, "unit_id": row["units"], "part": spectral_part(found[:, :k], k)})
 
     return flat.mapInPandas(run, schema)
 

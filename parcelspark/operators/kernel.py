@@ -20,6 +20,12 @@ def within_precision(units: np.ndarray, neighbours: list, rho: float, c1: float,
             j = place.get(int(v))
             if j is not None:
                 a[i, j] = 1.0
+    return precision_of(a, rho, c1, c2)
+
+
+def precision_of(a: np.ndarray, rho: float, c1: float, c2: float) -> np.ndarray:
+    """within_precision from the adjacency matrix of the cluster."""
+    m = len(a)
     precision = rho * (np.diag(a.sum(axis=1)) - a) + (1 - rho) * np.eye(m)
     return precision / c1 - ((1 - rho) / c1) ** 2 / (m * (1 - rho) / c1 + 1 / c2)
 

@@ -22,6 +22,8 @@ from .kernel import cluster_numbers, within_precision
 
 #: Differences of the quadratic form, the log determinant, the number of clusters, the prior's sum over clusters, and the signature.
 SUMS = "quad double, log_det double, k int, inner double, sig bigint"
+#: What a particle's side is known by when the particles take turns.
+TURN = ["run_id", "particle_id", "side", "quad", "log_det", "k", "inner", "sig", "units", "w", "a", "d", "c"]
 
 
 @dataclass(frozen=True)
@@ -138,6 +140,45 @@ def _entropies(pairs: dict, weight: float, pooled: np.ndarray) -> np.ndarray:
     return -(rest - plogp(pooled) + plogp(weight + pooled))
 
 
+def turns(mine: pd.DataFrame, cands: pd.DataFrame, sides: str, prior: Prior, temper: float) -> pd.DataFrame:
+    """chosen for one run."""
+    if not len(mine):
+        return pd.DataFrame(columns=[*TURN, "cand", "was"])
+    options = {at: g.sort_values("cand", ignore_index=True) for at, g in cands.groupby(["side", "of"])}
+    rows = {(r.particle_id, r.side): r for r in mine.sort_values(["particle_id", "side"]).itertuples(index=False)}
+    slots = list(dict.fromkeys(l for l, _ in rows))
+    law = mine.iloc[0]
+    now = {at: {"quad": r.quad, "log_det": r.log_det, "k": int(r.k), "inner": r.inner, "sig": int(r.sig), "units": int(r.units)} for at, r in rows.items()}
+    prior_of = lambda x: x["inner"] + float(prior.outer(int(x["k"]), int(x["units"])))
+    weight = {l: rows[l, sides[0]].w for l in slots}
+    picked = {}
+    for l in slots:
+        pairs: dict = {}
+        for o in slots:
+            if o != l:
+                pairs[tuple(now[o, s]["sig"] for s in sides)] = pairs.get(tuple(now[o, s]["sig"] for s in sides), 0.0) + weight[o]
+        for s in sides:
+            got, x = options.get((s, now[l, s]["sig"])), now[l, s]
+            if got is None:
+                continue
+            rest = [now[l, o] for o in sides if o != s]
+            quad, det, fixed = sum(o["quad"] for o in rest), sum(o["log_det"] for o in rest), sum(map(prior_of, rest))
+            new = log_posterior(quad + x["quad"] + got["quad"].to_numpy(), det + x["log_det"] + got["log_det"].to_numpy(), fixed + x["inner"] + got["inner"].to_numpy() + prior.outer(got["k"].to_numpy() + int(x["k"]), int(x["units"])), law)
+            old = log_posterior(quad + x["quad"], det + x["log_det"], fixed + prior_of(x), law)
+            sigs = got["sig"].to_numpy() ^ np.int64(x["sig"])
+            full = lambda sig: tuple(int(sig) if o == s else now[l, o]["sig"] for o in sides)  # noqa: B023, E731
+            there = np.array([pairs.get(full(v), 0.0) for v in sigs]) if pairs else np.zeros(len(sigs))
+            gain = weight[l] * (new - old) + temper * (_entropies(pairs, weight[l], there) - _entropies(pairs, weight[l], np.array(pairs.get(full(x["sig"]), 0.0))))
+            gain = np.round(np.nan_to_num(gain, nan=-1.0), 9)
+            best = int(gain.argmax())
+            if gain[best] > 0:
+                row = got.iloc[best]
+                picked[l, s] = row["cand"]
+                now[l, s] = {"quad": x["quad"] + row["quad"], "log_det": x["log_det"] + row["log_det"], "k": x["k"] + int(row["k"]), "inner": x["inner"] + row["inner"], "sig": int(sigs[best]), "units": x["units"]}
+    out = [{**r._asdict(), **now[at], "cand": picked.get(at), "was": int(r.sig)} for at, r in rows.items()]
+    return pd.DataFrame(out)[[*TURN, "cand", "was"]]
+
+
 def chosen(sums: DataFrame, candidates: DataFrame, sides: str, prior: Prior, temper: float) -> DataFrame:
     """sums after each particle in turn, side by side, took its best change: the columns of sums, cand (null where nothing is better) and was (the signature before).
 
@@ -147,45 +188,6 @@ def chosen(sums: DataFrame, candidates: DataFrame, sides: str, prior: Prior, tem
     partition's candidates depend on itself alone, so those made before the turns hold for all of them. One run's
     particles and candidates, as numbers, are one group, however many units there are.
     """
-    columns = ["run_id", "particle_id", "side", "quad", "log_det", "k", "inner", "sig", "units", "w", "a", "d", "c"]
     types = dict(sums.dtypes)
-
-    def turns(mine: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame(columns=[*columns, "cand", "was"])
-        options = {at: g.sort_values("cand", ignore_index=True) for at, g in cands.groupby(["side", "of"])}
-        rows = {(r.particle_id, r.side): r for r in mine.sort_values(["particle_id", "side"]).itertuples(index=False)}
-        slots = list(dict.fromkeys(l for l, _ in rows))
-        law = mine.iloc[0]
-        now = {at: {"quad": r.quad, "log_det": r.log_det, "k": int(r.k), "inner": r.inner, "sig": int(r.sig), "units": int(r.units)} for at, r in rows.items()}
-        prior_of = lambda x: x["inner"] + float(prior.outer(int(x["k"]), int(x["units"])))
-        weight = {l: rows[l, sides[0]].w for l in slots}
-        picked = {}
-        for l in slots:
-            pairs: dict = {}
-            for o in slots:
-                if o != l:
-                    pairs[tuple(now[o, s]["sig"] for s in sides)] = pairs.get(tuple(now[o, s]["sig"] for s in sides), 0.0) + weight[o]
-            for s in sides:
-                got, x = options.get((s, now[l, s]["sig"])), now[l, s]
-                if got is None:
-                    continue
-                rest = [now[l, o] for o in sides if o != s]
-                quad, det, fixed = sum(o["quad"] for o in rest), sum(o["log_det"] for o in rest), sum(map(prior_of, rest))
-                new = log_posterior(quad + x["quad"] + got["quad"].to_numpy(), det + x["log_det"] + got["log_det"].to_numpy(), fixed + x["inner"] + got["inner"].to_numpy() + prior.outer(got["k"].to_numpy() + int(x["k"]), int(x["units"])), law)
-                old = log_posterior(quad + x["quad"], det + x["log_det"], fixed + prior_of(x), law)
-                sigs = got["sig"].to_numpy() ^ np.int64(x["sig"])
-                full = lambda sig: tuple(int(sig) if o == s else now[l, o]["sig"] for o in sides)  # noqa: B023, E731
-                there = np.array([pairs.get(full(v), 0.0) for v in sigs]) if pairs else np.zeros(len(sigs))
-                gain = weight[l] * (new - old) + temper * (_entropies(pairs, weight[l], there) - _entropies(pairs, weight[l], np.array(pairs.get(full(x["sig"]), 0.0))))
-                gain = np.round(np.nan_to_num(gain, nan=-1.0), 9)
-                best = int(gain.argmax())
-                if gain[best] > 0:
-                    row = got.iloc[best]
-                    picked[l, s] = row["cand"]
-                    now[l, s] = {"quad": x["quad"] + row["quad"], "log_det": x["log_det"] + row["log_det"], "k": x["k"] + int(row["k"]), "inner": x["inner"] + row["inner"], "sig": int(sigs[best]), "units": x["units"]}
-        out = [{**r._asdict(), **now[at], "cand": picked.get(at), "was": int(r.sig)} for at, r in rows.items()]
-        return pd.DataFrame(out)[[*columns, "cand", "was"]]
-
-    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", cand string, was bigint"
-    return sums.select(*columns).groupBy("run_id").cogroup(candidates.groupBy("run_id")).applyInPandas(turns, schema)
+    schema = ", ".join(f"{c} {types[c]}" for c in TURN) + ", cand string, was bigint"
+    return sums.select(*TURN).groupBy("run_id").cogroup(candidates.groupBy("run_id")).applyInPandas(lambda mine, cands: turns(mine, cands, sides, prior, temper), schema)

@@ -6,6 +6,8 @@ x centred a side's candidates depend on that side's partition alone, so they are
 for all particles that share the partition, and kept as long as a particle has it. A sweep is
 a handful of Spark jobs whatever the number of runs and particles. What it leaves is written to
 the shared folder, so lineage stays short and a lost executor costs one sweep at most.
+
+Runs of at most IN_TASK units, which one task holds, are searched whole inside of a task each (operators/local.py), by the same moves.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import mean_only, moves, parts
+from ..operators import local, mean_only, moves, parts
 from ..operators.compare import kmeans_path
 from ..operators.joint import packed_pairs, poisson_laplace
 from ..operators.kernel import cluster_stats
@@ -34,6 +36,8 @@ PARTICLE = ["run_id", "particle_id"]
 KEYS = [*PARTICLE, "side"]
 #: A partition of a run's side, by its signature.
 PARTITION = ["run_id", "side", "of"]
+#: The most units of a run that is searched inside of one task.
+IN_TASK = 2_000
 FAMILIES = ("island", "border", "merge", "split", "spectral", "tail", "onward")
 
 
@@ -218,6 +222,21 @@ class Fit:
     settled: bool
 
 
+def _particles(problem: Problem, sums: DataFrame, temper: float) -> DataFrame:
+    """run_id, particle_id, k_<side>..., log_post, w."""
+    prior = problem.prior
+
+    def posts(rows: pd.DataFrame) -> pd.DataFrame:  # the sides of a run's particles
+        own = rows["inner"] + [float(prior.outer(int(k), int(n))) for k, n in zip(rows["k"], rows["units"])]
+        by = rows.assign(prior=own).groupby("particle_id")[["quad", "log_det", "prior"]].sum()
+        return pd.DataFrame({"run_id": rows["run_id"].iloc[0], "particle_id": by.index, "log_post": log_posterior(by["quad"].to_numpy(), by["log_det"].to_numpy(), by["prior"].to_numpy(), rows.iloc[0])})
+
+    post = sums.groupBy("run_id").applyInPandas(posts, "run_id int, particle_id int, log_post double")
+    pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
+    rows = sums.groupBy(*PARTICLE).agg(*[pick("k", s).alias(f"k_{s}") for s in problem.sides], F.concat_ws(":", *[pick("sig", s).cast("string") for s in problem.sides]).alias("signature"))
+    return tempered_weights(rows.join(post, PARTICLE), temper or 1.0).drop("signature")
+
+
 class _Search:
     """Particles (sums), the partitions they have had (book), and the candidates of these (tables)."""
 
@@ -264,17 +283,7 @@ class _Search:
 
     def particles(self) -> DataFrame:
         """run_id, particle_id, k_<side>..., log_post, w."""
-        prior = self.problem.prior
-
-        def posts(rows: pd.DataFrame) -> pd.DataFrame:  # the sides of a run's particles
-            own = rows["inner"] + [float(prior.outer(int(k), int(n))) for k, n in zip(rows["k"], rows["units"])]
-            by = rows.assign(prior=own).groupby("particle_id")[["quad", "log_det", "prior"]].sum()
-            return pd.DataFrame({"run_id": rows["run_id"].iloc[0], "particle_id": by.index, "log_post": log_posterior(by["quad"].to_numpy(), by["log_det"].to_numpy(), by["prior"].to_numpy(), rows.iloc[0])})
-
-        post = self.sums.groupBy("run_id").applyInPandas(posts, "run_id int, particle_id int, log_post double")
-        pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
-        rows = self.sums.groupBy(*PARTICLE).agg(*[pick("k", s).alias(f"k_{s}") for s in self.problem.sides], F.concat_ws(":", *[pick("sig", s).cast("string") for s in self.problem.sides]).alias("signature"))
-        return tempered_weights(rows.join(post, PARTICLE), self.temper or 1.0).drop("signature")
+        return _particles(self.problem, self.sums, self.temper)
 
     def reweighed(self) -> None:
         """The weights by the particles as they are now."""
@@ -288,6 +297,58 @@ class _Search:
         return Fit(relabelled(units.drop("mean"), KEYS), units.drop("cluster_id"), particles, sweeps, settled)
 
 
+def _in_tasks(problem: Problem, start: DataFrame, temper: float, most_sweeps: int, last_islands: bool, families: tuple[str, ...]) -> Fit:
+    """ensemble_fit with every run inside of a task; each run's sweeps end when nothing changes in it."""
+    prior, rho, levels, sides = problem.prior, problem.rho, problem.levels, problem.sides
+    labels = moves.cut(problem.edges, start.select(*KEYS, F.lit("whole").alias("cand"), "unit_id", F.col("cluster_id").alias("part")), KEYS)
+    held = labels.groupBy(*KEYS).agg(F.collect_list(F.struct("unit_id", "cluster_id")).alias("m")).select(*KEYS, F.col("m.unit_id").alias("members"), F.col("m.cluster_id").alias("labels"))
+    held = held.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("particle_id", "side", "members", "labels"))).alias("s"))
+    t = F.col("terms")
+    unit = F.struct("unit_id", "near", t["side"].alias("sides"), t["b"].alias("b"), t["w"].alias("w"), t["c1"].alias("c1"), t["c2"].alias("c2"), F.array(*[F.col("values")[s].cast("double") for s in sides]).alias("values"))
+    facts = problem.facts.groupBy("run_id").agg(F.array_sort(F.collect_list(unit), lambda p, q: p["unit_id"] - q["unit_id"]).alias("f"))
+    rows = held.join(facts, "run_id").join(problem.law, "run_id")
+    flat = rows.select("run_id", *[F.col("s")[c].alias(c) for c in ("particle_id", "side", "members", "labels")], *[F.col("f")[c].alias(f"f_{c}") for c in ("unit_id", "near", "sides", "b", "w", "c1", "c2", "values")], "a", "d", "c")
+
+    def found(r) -> pd.DataFrame | None:
+        terms = {s: [t for t, x in enumerate(r.f_sides[0]) if x == s] for s in sides}
+        laws = {s: [(float(r.f_c1[0][t]), float(r.f_c2[0][t])) for t in ts] for s, ts in terms.items()}
+        if not all(c1 > 0 and c2 > 0 for some in laws.values() for c1, c2 in some):
+            return None
+        graph = local.Graph(r.f_unit_id, r.f_near)
+        column = lambda cells, t: np.array([x[t] for x in cells], float)
+        data = {s: ([(column(r.f_b, t), column(r.f_w, t)) for t in ts], laws[s]) for s, ts in terms.items()}
+        run = local.Run(graph, data, {s: column(r.f_values, i) for i, s in enumerate(sides)}, pd.Series({"a": r.a, "d": r.d, "c": r.c}), prior, rho, levels, families)
+        starts = []
+        for particle, side, members, own in zip(r.particle_id, r.side, r.members, r.labels):
+            of = dict(zip(members.tolist(), own.tolist()))
+            label = np.array([of.get(u, local.NONE) for u in graph.ids], np.int64)
+            for c in set(label.tolist()) - {local.NONE}:
+                label[label == c] = graph.units[np.flatnonzero(label == c)[0]]
+            starts.append((int(particle), side, label))
+        sums, labels, sweeps, settled = local.searched(run, starts, int(r.run_id), temper, most_sweeps, last_islands)
+        at = [labels[s, g] for s, g in zip(sums["side"], sums["sig"].tolist())]
+        means = []
+        for side, label in zip(sums["side"], at):
+            mean = np.full(len(label), np.nan)
+            for own in local.Partition(graph, label).clusters.values():
+                mean[own] = run.cluster(side, tuple(own))[2]
+            means.append(mean[label != local.NONE])
+        return sums.assign(members=[graph.units[x != local.NONE] for x in at], labels=[x[x != local.NONE] for x in at], means=means, sweeps=sweeps, settled=settled)
+
+    def work(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if (made := found(r)) is not None:
+                    yield made
+
+    schema = "run_id int, particle_id int, side string, quad double, log_det double, k int, inner double, sig bigint, units int, w double, a double, d double, c double, members array<int>, labels array<int>, means array<double>, sweeps int, settled boolean"
+    made = written(flat.repartition(8 * flat.sparkSession.sparkContext.defaultParallelism).mapInPandas(work, schema), "searched")
+    zipped = F.explode(F.arrays_zip("members", "labels", "means")).alias("u")
+    units = made.select(*KEYS, zipped).select(*KEYS, F.col("u.members").alias("unit_id"), F.col("u.labels").alias("cluster_id"), F.col("u.means").alias("mean"))
+    ended = made.agg(F.max("sweeps").alias("sweeps"), F.coalesce(F.bool_and("settled"), F.lit(True)).alias("settled")).first()
+    return Fit(relabelled(units.drop("mean"), KEYS), units.drop("cluster_id"), written(_particles(problem, made, temper), "particles"), ended["sweeps"] or 0, ended["settled"])
+
+
 def ensemble_fit(problem: Problem, particles: int = 10, temper: float = 10.0, start: DataFrame | None = None, most_sweeps: int = 25, last_islands: bool = True, families: tuple[str, ...] = FAMILIES) -> Fit:
     """An ensemble of particles per run, from drawn_starts or the given start (KEYS, unit_id, cluster_id; clusters are made connected).
 
@@ -296,7 +357,11 @@ def ensemble_fit(problem: Problem, particles: int = 10, temper: float = 10.0, st
     tried as an island, and the sweeps go on if that is. last_islands: every unit is tried as an
     island in the end, and the weights are computed once more.
     """
-    search = _Search(problem, drawn_starts(problem, particles) if start is None else start, temper)
+    start = drawn_starts(problem, particles) if start is None else start
+    largest = problem.facts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if (largest or 0) <= IN_TASK:
+        return _in_tasks(problem, start, temper, most_sweeps, last_islands, families)
+    search = _Search(problem, start, temper)
     make = (lambda at: level_candidates(problem, at)) if problem.levels else (lambda at: candidates(problem, at, families=families))
     sweeps, settled = 0, False
     while sweeps < most_sweeps and not settled:
