@@ -62,7 +62,7 @@ class Graph:
 
 
 class Partition:
-    """Clusters of places, with what touches them. value: by place, NaN where there is none; has: whether the place has a row of values at all."""
+    """Clusters of places, with what touches them. value: by place, NaN where there is none."""
 
     def __init__(self, graph: Graph, label: np.ndarray):
         self.graph, self.label = graph, label.tolist()
@@ -86,15 +86,15 @@ class Partition:
                 out[c] = float(v.mean())
         return out
 
-    def nearest(self, at: list[int], label: list[int], value: np.ndarray, means: dict[int, float]) -> dict[int, int]:
-        """For each piece of a cut cluster the other cluster that touches it and whose mean is nearest; the least id of equals."""
+    def nearest(self, at: list[int], label: list[int], value: np.ndarray, means: dict[int, float], has: np.ndarray | None = None) -> dict[int, int]:
+        """For each piece of a cut cluster the other cluster that touches it and whose mean is nearest; the least id of equals. has: places with a row of values, by default all; a piece without any has none."""
         pieces: dict[int, list[int]] = {}
         for i, p in zip(at, label):
             pieces.setdefault(p, []).append(i)
         out = {}
         for p, own in pieces.items():
             to = [c for c in set().union(*(self.outside[i] for i in own)) if c in means]
-            if to:
+            if to and (has is None or has[own].any()):
                 v = value[own]
                 v = v[~np.isnan(v)]
                 mean = float(v.mean()) if len(v) else math.nan
@@ -128,7 +128,7 @@ def local_islands(graph: Graph, label: np.ndarray, value: np.ndarray, has: np.nd
             name = f"island:{graph.ids[alone]}"
             cut = graph.pieces(at, [int(i == alone) for i in at])
             yield name, at, cut
-            to = whole.nearest(at, cut, value, means)
+            to = whole.nearest(at, cut, value, means, has)
             if to:
                 yield (f"{name}>>all", *whole.joined(at, cut, to))
 

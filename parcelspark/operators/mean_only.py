@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ln_gamma_int
-from ..session import written
+from ..session import over_cores, written
 from .compare import kmeans_path, spectral_path
 from .graph import cluster_adjacency, connected_clusters, nearest_clusters
 from .kernel import cluster_stats, packed
+from .local import Graph, local_islands
 from .moves import cut
 from .parts import both_tails, join_all, join_in_turn, kmeans_parts, nearest_outside, packed_values, spectral_cuts, wide_down, wide_up
 from .score import neighbour_lists
 
+#: The most units of a partition whose candidates one task lists; candidates of one batch.
+ONE_TASK, LISTED = 2_000, 500
+
 
 def level_units(panel: DataFrame, hyper: DataFrame) -> DataFrame:
     """run_id, side, unit_id, b, w, c1, c2 of the levels, and ss (squares around the unit's mean), mean, periods.
@@ -100,10 +107,52 @@ def candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys:
 
 
 def local_candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """The island candidates of every unit, for where no other candidate is better."""
+    """The island candidates of every unit, for where no other candidate is better.
+
+    Partitions of at most ONE_TASK units are one row each, whose candidates a task lists one after the other; nothing is joined or broadcast for
+    them. Larger ones go through joins.
+    """
+    largest = assignment.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if (largest or 0) <= ONE_TASK:
+        return _local_in_tasks(edges, assignment, values, keys)
     return _with_all_joined(edges, assignment, values, keys, cut(edges, _island_parts(assignment, values, keys, 1.0), keys))
 
 
+def _local_in_tasks(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    on = [c for c in values.columns if c in (*keys, "unit_id")]
+    own = values.select(*on, F.col("value").cast("double").alias("value"), F.lit(True).alias("has"))
+    rows = assignment.join(own.hint("merge"), on, "left").join(neighbour_lists(edges), "unit_id", "left")
+    member = F.struct("unit_id", F.col("cluster_id").cast("bigint").alias("label"), "value", F.coalesce("has", F.lit(False)).alias("has"), "neighbours")
+    m = F.array_sort(F.collect_list(member), lambda p, q: (p["unit_id"] - q["unit_id"]).cast("int"))
+    flat = rows.groupBy(*keys).agg(m.alias("m")).select(*keys, *[F.col("m")[c].alias(f"_{c}") for c in ("unit_id", "label", "value", "has", "neighbours")])
+    types = dict(assignment.dtypes)
+    unit = types["unit_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                graph = Graph(r["_unit_id"], r["_neighbours"])
+                made: list[tuple[str, list[int], list[int]]] = []
+                value = np.array([np.nan if v is None else v for v in r["_value"]], float)
+                for cand in local_islands(graph, np.array(r["_label"], np.int64), value, np.array(r["_has"])):
+                    made.append(cand)
+                    if len(made) == LISTED:
+                        yield listed(batch, r, graph, made)
+                        made = []
+                if made:
+                    yield listed(batch, r, graph, made)
+
+    def listed(batch: pa.RecordBatch, r: dict, graph: Graph, made: list[tuple[str, list[int], list[int]]]) -> pa.RecordBatch:
+        sizes = [len(at) for _, at, _ in made]
+        kind = batch.schema.field("_unit_id").type.value_type
+        head = [pa.repeat(pa.scalar(r[k], batch.schema.field(k).type), sum(sizes)) for k in keys]
+        names = pa.array([name for name, *_ in made]).take(pa.array(np.repeat(np.arange(len(made)), sizes)))
+        units = graph.units[np.concatenate([at for _, at, _ in made])]
+        return pa.RecordBatch.from_arrays([*head, names, pa.array(units).cast(kind), pa.array(np.concatenate([label for *_, label in made]).astype(np.int64)).cast(kind)], names=[*keys, "cand", "unit_id", "cluster_id"])
+
+    return over_cores(flat).mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", cand string, unit_id {unit}, cluster_id {unit}")
+
+
 def split_candidates(edges: DataFrame, assignment: DataFrame, values: DataFrame, keys: list[str], share: float = 0.025) -> DataFrame:
     """Cuts of every cluster by spectral parts, k-means and tails, and after each cut its first 1, 2, ... pieces joined to their nearest outside clusters."""
     parts = spectral_cuts(assignment, values, neighbour_lists(edges), keys, wide_up).unionByName(kmeans_parts(assignment, values, keys, wide_down)).unionByName(both_tails(assignment, values, keys, share))
