@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators import local, mean_only, moves, parts
 from ..operators.compare import kmeans_path
 from ..operators.joint import packed_pairs, poisson_laplace
-from ..operators.kernel import cluster_stats
+from ..operators.kernel import cluster_numbers, cluster_stats, precision_of
 from ..operators.panel import default_hyperparameters, unit_ols
 from ..operators.partitions import relabelled
 from ..operators.score import log_likelihood, neighbour_lists, totals
@@ -297,6 +297,12 @@ class _Search:
         return Fit(relabelled(units.drop("mean"), KEYS), units.drop("cluster_id"), particles, sweeps, settled)
 
 
+def _small(problem: Problem) -> bool:
+    """Whether every run may be held by a task."""
+    largest = problem.facts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return (largest or 0) <= IN_TASK
+
+
 def _in_tasks(problem: Problem, start: DataFrame, temper: float, most_sweeps: int, last_islands: bool, families: tuple[str, ...]) -> Fit:
     """ensemble_fit with every run inside of a task; each run's sweeps end when nothing changes in it."""
     prior, rho, levels, sides = problem.prior, problem.rho, problem.levels, problem.sides
@@ -358,8 +364,7 @@ def ensemble_fit(problem: Problem, particles: int = 10, temper: float = 10.0, st
     island in the end, and the weights are computed once more.
     """
     start = drawn_starts(problem, particles) if start is None else start
-    largest = problem.facts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    if (largest or 0) <= IN_TASK:
+    if _small(problem):
         return _in_tasks(problem, start, temper, most_sweeps, last_islands, families)
     search = _Search(problem, start, temper)
     make = (lambda at: level_candidates(problem, at)) if problem.levels else (lambda at: candidates(problem, at, families=families))
@@ -447,6 +452,8 @@ def tuned(problem: Problem, assignment: DataFrame, most_rounds: int = 40, width:
     usable = F.coalesce((F.col("a1") > 0) & (F.col("a2") > 0) & (F.col("b1") > 0) & (F.col("b2") > 0), F.lit(False))
     out = problem.hyper.where(~usable).select(*names, F.lit(False).alias("settled"))
     todo = problem.hyper.where(usable).select(*names, F.lit(math.log(width) / 2).alias("gap"))
+    if problem.sides == "AB" and _small(problem):
+        return out.unionByName(_tuned_in_tasks(problem, assignment, todo.drop("gap"), most_rounds, width, tolerance))
     near = neighbour_lists(problem.edges)
     for _ in range(most_rounds):
         steps = F.array(*[F.lit(i) for i in (-2, -1, 0, 1, 2)])
@@ -469,3 +476,44 @@ def tuned(problem: Problem, assignment: DataFrame, most_rounds: int = 40, width:
         if todo.isEmpty():
             return out
     return out.unionByName(todo.select(*names, F.lit(False).alias("settled")))
+
+
+def _tuned_in_tasks(problem: Problem, assignment: DataFrame, hyper: DataFrame, most_rounds: int, width: float, tolerance: float) -> DataFrame:
+    """tuned, with all rounds of a run inside of a task. A side's numbers depend on its own factor alone, so a round has 5 + 5 of them for its 25 points."""
+    rho, names = problem.rho, ["run_id", "a1", "a2", "b1", "b2", "alpha_sigma", "beta_sigma"]
+    own = assignment.where("particle_id = 1").select("run_id", "unit_id", "side", "cluster_id")
+    rows = own.join(problem.facts.select("run_id", "unit_id", "near", F.explode("terms").alias("t")), ["run_id", "unit_id"]).where(F.col("side") == F.col("t.side"))
+    packed = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("side", "cluster_id", "unit_id", "near", "t.b", "t.w"))).alias("m"))
+    flat = hyper.join(packed, "run_id").join(problem.law, "run_id").select(*names, "a", "d", "c", *[F.col("m")[c].alias(f"m_{c}") for c in ("side", "cluster_id", "unit_id", "near", "b", "w")])
+
+    def moved(r) -> list:
+        clusters: dict = {"A": {}, "B": {}}
+        for side, c, *unit in zip(r.m_side, r.m_cluster_id, r.m_unit_id, r.m_near, r.m_b, r.m_w):
+            clusters[side].setdefault(c, []).append(unit)
+        ready = {}
+        for side, by in clusters.items():
+            ready[side] = [(local.Graph([u[0] for u in some], [u[1] for u in some]).matrix(list(range(len(some)))), *(np.array([u[i] for u in some], float) for i in (2, 3))) for some in by.values()]
+
+        def of(side: str, c1: float, c2: float) -> np.ndarray:
+            return np.sum([cluster_numbers(precision_of(a, rho, c1, c2), b, w)[:2] for a, b, w in ready[side]], axis=0)
+
+        a1, b1, gap, steps = r.a1, r.b1, math.log(width) / 2, (-2, -1, 0, 1, 2)
+        for _ in range(most_rounds):
+            by_a, by_b = ({i: of(side, c1 * math.exp(i * gap), c2) for i in steps} for side, c1, c2 in (("A", a1, r.a2), ("B", b1, r.b2)))
+            like = lambda i, j: log_posterior(by_a[i][0] + by_b[j][0], by_a[i][1] + by_b[j][1], 0.0, r)  # noqa: B023, E731
+            *_, i, j = max((round(like(i, j), 9), -abs(5 * i + j), 5 * i + j, i, j) for i in steps for j in steps)
+            a1, b1 = a1 * math.exp(i * gap), b1 * math.exp(j * gap)
+            edge = 2 in (abs(i), abs(j))
+            if not edge and gap <= math.log(1 + tolerance):
+                return [r.run_id, a1, r.a2, b1, r.b2, r.alpha_sigma, r.beta_sigma, True]
+            gap = gap if edge else gap / 2
+        return [r.run_id, a1, r.a2, b1, r.b2, r.alpha_sigma, r.beta_sigma, False]
+
+    def work(batches):
+        for batch in batches:
+            yield pd.DataFrame([moved(r) for r in batch.itertuples(index=False)], columns=[*names, "settled"])
+
+    types = dict(hyper.dtypes)
+    found = flat.repartition(8 * flat.sparkSession.sparkContext.defaultParallelism).mapInPandas(work, ", ".join(f"{n} {types[n]}" for n in names) + ", settled boolean")
+    lost = hyper.join(own.select("run_id").distinct(), "run_id", "left_semi").join(packed.select("run_id"), "run_id", "left_anti")
+    return written(found.unionByName(lost.select(*names, F.lit(False).alias("settled"))), "tuned")

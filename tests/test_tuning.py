@@ -37,3 +37,24 @@ def test_tunes_at_the_map(spark, small, monkeypatch):
     monkeypatch.setattr(fit_queries, "tuned", lambda problem, assignment: seen.append(assignment))
     fit_queries.hyperparam_tuning(spark, small)
     assert seen == [found]
+
+
+def test_rounds_in_tasks_are_those_of_the_batches(spark):
+    """hyperparam_tuning: the same hyperparameters inside of tasks as by jobs, and no jobs by round."""
+    from parcelspark.plans import search
+    from parcelspark.operators.graph import lattice_edges
+    from parcelspark.sources.tables import table
+
+    problem = search.Problem.of(table(spark, "/root/testdata/sf0.001", "panel"), lattice_edges(table(spark, "/root/testdata/sf0.001", "panel")))
+    one = search.one_cluster(problem.units)
+    spark.sparkContext.setJobGroup("tuned", "tuned")
+    got = search.tuned(problem, one, 2).collect()
+    number = len(spark.sparkContext.statusTracker().getJobIdsForGroup("tuned"))
+    spark.sparkContext.setJobGroup("other", "other")
+    was, search.IN_TASK = search.IN_TASK, 0
+    try:
+        want = search.tuned(problem, one, 2).collect()
+    finally:
+        search.IN_TASK = was
+    assert number < 20 and len(got) == len(want) == 1
+    assert got[0]["settled"] == want[0]["settled"] and all(abs(a / b - 1) < 1e-9 for a, b in zip(got[0][:7], want[0][:7]))
