@@ -2,10 +2,11 @@
 
 Texts become words; a text's score is that of its worst stretch of words, so one remark in
 a long file counts as much as in a short one. A linear model over hashed words, pairs of words and
-character n-grams scores the words. It is learnt from confirmed examples and unlabelled texts, drawn
-from all documents, with the non-negative risk estimator of positive-unlabelled learning; the class
-prior is estimated for the documents, and the threshold is where the risk of positive-unlabelled
-classification is least on texts held back. There are several members, whose weights are averaged.
+character n-grams scores the words. It is learnt from all confirmed examples and all documents, which
+are the unlabelled texts, with the non-negative risk estimator of positive-unlabelled learning. There are
+MEMBERS members, whose weights are averaged, and a text is of one of them: that one learns from it, another
+one, which has not seen it, judges it. From these judgements of all texts come the class prior and the threshold,
+where the risk of positive-unlabelled classification is least.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from operator import or_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread, written
+from ..session import dropped, spread, written
 from .slices import sliced
 
 #: Letters that look like Latin ones, and what they stand for (fixed values).
@@ -41,11 +43,13 @@ SHAPE = re.compile(r"\d+|[^\W\d_]+|[\W_]+")
 SUPPORT, LEAST_ODDS = 3, 1.0
 #: Hashed features; words in a block; blocks in a stretch.
 DIM, BLOCK, STRETCH = 1 << 19, 2, 5
-#: Members of the ensemble; the most confirmed texts, which all members see, but for every HELD-th, which is held back; unlabelled texts of a member; unlabelled texts held back; the most characters of a text of this sample. Rows are numbers expected of a draw by hash.
+#: Of sample, which fit does not use, but for MEMBERS: members of the ensemble; the most confirmed texts, which all members see, but for every HELD-th, which is held back; unlabelled texts of a member; unlabelled texts held back; the most characters of a text of this sample. Rows are numbers expected of a draw by hash.
 MEMBERS, CONFIRMED_ROWS, HELD, MEMBER_ROWS, OPEN_ROWS, FIT_CHARS = 2, 5000, 5, 2500, 6000, 100_000
 #: The sample is drawn from blocks of so many ids where ids are numbers, and at most so many blocks are sought by their ids in the scan.
 IDS, SOUGHT = 10_000, 100
 EPOCHS, RATE = 30, 0.005
+#: Words after which a pack of texts is full; confirmed texts that a pack is learnt with, if there are as many; the most confirmed keys, and confirmed texts, that are broadcast; partitions that sums are made in; scores are counted by this many decimals.
+PACK_WORDS, PACK_CONFIRMED, KEYS_SENT, TEXTS_SENT, SUM_PARTS, DECIMALS = 700_000, 1_000, 2_000_000, 10_000, 8, 3
 #: Words that a scoring worker remembers.
 REMEMBER = 300_000
 _PLAIN = {**{ord(a): b for a, b in zip(LOOKALIKE, LATIN)}, **{ord(c): None for c in HIDDEN}}
@@ -137,10 +141,12 @@ class Words:
         size = self.starts[numbers + 1] - self.starts[numbers]
         return self.features[np.repeat(self.starts[numbers] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
-    def pairs(self, numbers: np.ndarray) -> np.ndarray:
-        """The feature of each word with the one before it."""
+    def pairs(self, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The feature of each word with the one before it in its text, of the first one with itself."""
         keys = self.keys[numbers]
         before = np.concatenate([keys[:1], keys[:-1]])
+        first = bounds[:-1][np.diff(bounds) > 0]
+        before[first] = keys[first]
         mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (keys + np.uint64(0x632BE59BD9B4E019))
         return ((mixed >> np.uint64(20)) % np.uint64(DIM)).astype(np.int64)
 
@@ -166,132 +172,219 @@ class _Texts:
 
     def __init__(self, words: Words, numbers: np.ndarray, bounds: np.ndarray):
         self.words, self.numbers, self.bounds = words, numbers, bounds
-        self.starts, self.rows = _blocks(bounds)
-        self.pair = words.pairs(numbers)
-        self.first_block = np.searchsorted(self.rows, np.arange(len(bounds)))
+        self.starts, rows = _blocks(bounds)
+        self.pair = words.pairs(numbers, bounds)
+        self.first_block = np.searchsorted(rows, np.arange(len(bounds)))
         self.has = np.flatnonzero(np.diff(self.first_block) > 0)
-        self.where = np.concatenate([self.starts, [len(numbers)]])
-
-    @classmethod
-    def of(cls, words: Words, numbers: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> _Texts:
-        """Some of the texts."""
-        sizes = np.diff(bounds)[rows]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return cls(words, numbers[np.repeat(bounds[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends)
+        self.where = np.append(self.starts, len(numbers))
+        self.text = np.searchsorted(self.has, rows)
+        self.ends = self.where[np.minimum(np.arange(len(rows)) + STRETCH, self.first_block[rows + 1])]
+        self.own, self.own_pair, self.total = np.zeros(len(numbers)), np.zeros(len(numbers)), np.zeros(len(numbers) + 1)  # these are used again in each round
+        self.of_word, self.value, self.less = np.zeros(len(words.features)), np.zeros(len(rows)), np.zeros(len(rows))
 
     def stretches(self, weight_of: np.ndarray) -> np.ndarray:
         """The score of every stretch."""
-        by_word = np.add.reduceat(weight_of[self.words.features], self.words.starts[:-1])
-        return _stretches(np.add.reduceat(by_word[self.numbers] + weight_of[self.pair], self.starts), self.rows)
+        by_word = np.add.reduceat(np.take(weight_of, self.words.features, out=self.of_word, mode="clip"), self.words.starts[:-1])
+        np.take(by_word, self.numbers, out=self.own, mode="clip")
+        self.own += np.take(weight_of, self.pair, out=self.own_pair, mode="clip")
+        np.cumsum(self.own, out=self.total[1:])
+        np.take(self.total, self.ends, out=self.value, mode="clip")
+        self.value -= np.take(self.total, self.starts, out=self.less, mode="clip")
+        return self.value
 
     def worst(self, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, number of the first block) of the worst stretch of each text that has words."""
+        if not len(self.has):
+            return np.zeros(0), np.zeros(0, np.int64)
         value = self.stretches(weight_of)
         best = np.maximum.reduceat(value, self.first_block[self.has])
-        at = np.flatnonzero(value == best[np.searchsorted(self.has, self.rows)])
-        return best, at[np.unique(self.rows[at], return_index=True)[1]]
+        at = np.flatnonzero(value == np.take(best, self.text, out=self.less, mode="clip"))
+        return best, at[np.flatnonzero(np.diff(self.text[at], prepend=-1))]
 
-    def gather(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(feature, text) of the words of each text's chosen stretch; texts in the order of has."""
-        last = np.minimum(block + STRETCH, self.first_block[self.has + 1])
-        lo, n = self.where[block], self.where[last] - self.where[block]
+    def gradient(self, block: np.ndarray, g: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(features, g) of each text's chosen stretch, of words and of pairs; texts in the order of has."""
+        lo, n = self.starts[block], self.ends[block] - self.starts[block]
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        text = np.repeat(np.arange(len(self.has)), n)
-        f, size = self.words.of(self.numbers[at])
-        return np.concatenate([f, self.pair[at]]), np.concatenate([np.repeat(text, size), text])
-
-    def counted(self, groups: list[np.ndarray]) -> list[np.ndarray]:
-        """Of each group of texts, in how many each feature of words occurs; few texts at a time, to spare memory."""
-        out = [np.zeros(DIM) for _ in groups]
-        for lo in range(0, len(self.bounds) - 1, 500):
-            hi = min(lo + 500, len(self.bounds) - 1)
-            row_of = np.repeat(np.arange(lo, hi), np.diff(self.bounds[lo : hi + 1]))
-            uniq = np.unique(row_of * len(self.words.keys) + self.numbers[self.bounds[lo] : self.bounds[hi]])
-            r, num = uniq // len(self.words.keys), uniq % len(self.words.keys)
-            f, size = self.words.of(num)
-            seen = np.unique(np.repeat(r, size) * DIM + f)
-            r, f = seen // DIM, seen % DIM
-            for total, group in zip(out, groups):
-                total += np.bincount(f[group[r]], minlength=DIM)
-        return out
-
-
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+        each = np.repeat(g, n)
+        by_word = np.bincount(self.numbers[at], weights=each, minlength=len(self.words.keys))
+        some = np.flatnonzero(by_word)
+        f, size = self.words.of(some)
+        return (f, np.repeat(by_word[some], size)), (self.pair[at], each)
+
+
+class _Pack:
+    """Texts of one member that are kept together: what is kept of their rows, their words as numbers, the features of these, and in how many texts each feature occurs."""
+
+    SCHEMA = "fold int, grp int, pack bigint, texts bigint, numbers binary, sizes binary, keys binary, features binary, starts binary, counts binary"
+
+    def __init__(self) -> None:
+        self.words, self.numbers, self.sizes, self.kept, self.held = Words(), [], [], [], 0
+        self.counts = np.zeros(DIM, np.int32)
+
+    def add(self, lists: pa.ListArray, kept: pa.StructArray) -> None:
+        self.kept.append(kept)
+        numbers, bounds = self.words.numbers(lists)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if hi > lo:
+                self.counts[self.words.of(np.unique(numbers[lo:hi]))[0]] += 1  # once for a feature that occurs twice
+        self.numbers.append(numbers.astype(np.int32))
+        self.sizes.append(np.diff(bounds))
+        self.held += len(numbers)
+
+    def row(self, fold: int, grp: int, pack: int) -> pa.RecordBatch:
+        sizes, rows = np.concatenate(self.sizes), pa.concat_arrays(self.kept)
+        kept = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        cells = [np.concatenate(self.numbers), sizes, self.words.keys, self.words.features.astype(np.int32), self.words.starts, self.counts]
+        return pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([grp], pa.int32()), pa.array([pack]), pa.array([len(sizes)]), *[pa.array([x.tobytes()], pa.binary()) for x in cells], kept], names=[*[c.split()[0] for c in _Pack.SCHEMA.split(", ")], "kept"])
+
+    @staticmethod
+    def texts(numbers: bytes, sizes: bytes, keys: bytes, features: bytes, starts: bytes) -> _Texts:
+        words = Words()
+        words.keys, words.features, words.starts = np.frombuffer(keys, np.uint64), np.frombuffer(features, np.int32).astype(np.int64), np.frombuffer(starts, np.int64)
+        return _Texts(words, np.frombuffer(numbers, np.int32).astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]))
+
+
+#: What a pack's texts are made of.
+_CELLS = ("numbers", "sizes", "keys", "features", "starts")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """_Pack.SCHEMA and the list kept, of fold, grp, kept (a struct), words. Every text is in one pack; a group of at least 0, of which a task has all rows, is one pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, packs = TaskContext.get().partitionId(), 0, {}
+        for batch in batches:
+            for part in sliced(batch, 3):
+                fold, grp = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for at in sorted(set(zip(fold.tolist(), grp.tolist()))):
+                    pack = packs.setdefault(at, _Pack())
+                    own = part.filter(pa.array((fold == at[0]) & (grp == at[1])))
+                    pack.add(own.column(3), own.column(2))
+                    if pack.held >= PACK_WORDS and at[1] < 0:
+                        yield packs.pop(at).row(*at, task << 24 | made)
+                        made += 1
+        for at, pack in packs.items():
+            yield pack.row(*at, task << 24 | made)
+            made += 1
+
+    return rows.mapInArrow(run, f"{_Pack.SCHEMA}, kept array<{dict(rows.dtypes)['kept']}>")
+
+
+def _total(batches: Iterator[pa.RecordBatch], kind: type) -> dict[int, tuple[int, np.ndarray]]:
+    """(sum of texts, sum of the arrays) of fold, texts, values, by fold."""
+    sums: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            fold, texts, values = (c[i].as_py() for c in batch.columns)
+            known = sums.get(fold, (0, 0.0))
+            sums[fold] = known[0] + texts, known[1] + np.frombuffer(values, kind)
+    return sums
+
+
+def _summed(rows: DataFrame, kind: type) -> dict[int, tuple[int, np.ndarray]]:
+    """_total of a table, of which the driver gets at most SUM_PARTS parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fold, (texts, values) in _total(batches, kind).items():
+            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([texts]), pa.array([values.astype(np.float64).tobytes()], pa.binary())], names=["fold", "texts", "values"])
+
+    return _total(rows.coalesce(SUM_PARTS).mapInArrow(run, "fold int, texts bigint, values binary").toArrow().to_batches(), np.float64)
+
+
+def _above(values: np.ndarray, counts: np.ndarray | None, cuts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(share of the values that are not below each cut, number of values); counts: how often each occurs."""
+    order = np.argsort(values)
+    left = np.concatenate([[0.0], np.cumsum(np.ones(len(values)) if counts is None else counts[order])])
+    return 1 - left[np.searchsorted(values[order], cuts)] / max(1.0, left[-1]), left[-1]
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, positives: np.ndarray | None = None, unlabelleds: np.ndarray | None = None) -> float:
     """The share of positive texts among the unlabelled, from scores of both: the least ratio of the shares above a score, each taken at its unfavourable bound (two standard errors); 1 without positive or unlabelled scores.
 
-    Where scores above a cut come from positive texts alone, the two shares differ by just this factor.
+    Where scores above a cut come from positive texts alone, the two shares differ by just this factor. positives, unlabelleds: how often
+    each score occurs, once by default.
     """
     if not len(positive) or not len(unlabelled):
         return 1.0
     cuts = np.unique(positive)
-    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    low = p * len(positive) / (len(positive) + 1) - 2 * np.sqrt(p * (1 - p) / len(positive))
-    high = u + 2 * np.sqrt((u + 1 / len(unlabelled)) / len(unlabelled)) + 2 / len(unlabelled)
+    (p, n), (u, m) = _above(positive, positives, cuts), _above(unlabelled, unlabelleds, cuts)
+    low = p * n / (n + 1) - 2 * np.sqrt(np.maximum(0, p * (1 - p)) / n)
+    high = u + 2 * np.sqrt((u + 1 / m) / m) + 2 / m
     ratio = np.where(low > 0, high / np.maximum(low, 1e-12), np.inf)
     best = int(ratio.argmin())
-    return float(min(1.0, max(u[best] / p[best], 1 / len(unlabelled)) if np.isfinite(ratio[best]) else 1.0))
+    return float(min(1.0, max(u[best] / p[best], 1 / m) if np.isfinite(ratio[best]) else 1.0))
 
 
-def threshold(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def threshold(positive: np.ndarray, unlabelled: np.ndarray, positives: np.ndarray | None = None, unlabelleds: np.ndarray | None = None) -> float:
     """The score of least risk: prior · missed positives + max(0, unlabelled above − prior · positives above); above all scores where nothing is gained by any, or no score tells the two apart."""
-    prior = class_prior(positive, unlabelled)
+    prior = class_prior(positive, unlabelled, positives, unlabelleds)
     both = np.unique(np.concatenate([positive, unlabelled]))
     cuts = np.append(both, both[-1] + 1 if len(both) else 0.0)
     if prior >= 1:
         return float(cuts[-1])
-    p = 1 - np.searchsorted(np.sort(positive), cuts) / max(1, len(positive))
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / max(1, len(unlabelled))
+    p, u = _above(positive, positives, cuts)[0], _above(unlabelled, unlabelleds, cuts)[0]
     risk = prior * (1 - p) + np.maximum(0, u - prior * p)
     best = len(cuts) - 1 - int(risk[::-1].argmin())
     return float(cuts[best] if best == 0 else (cuts[best] + cuts[best - 1]) / 2)
 
 
-def _learn(words: Words, numbers: np.ndarray, bounds: np.ndarray, role: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(weights, with the bias behind them; class prior) by the non-negative risk: prior·R⁺(P) + max(0, R⁻(U) − prior·R⁻(P)), logistic loss.
-
-    role: confirmed, unlabelled, or held and open, which give the class prior by the weights at the
-    start, log odds of features. In each round the worst stretch of a text stands for it. A text may be in P and in U.
-    """
-    positive, other = role == "confirmed", role == "unlabelled"
-    texts, whole = _Texts.of(words, numbers, bounds, np.flatnonzero(positive | other)), _Texts.of(words, numbers, bounds, np.flatnonzero(~positive & ~other))
-    pos, unl = positive[positive | other], other[positive | other]
-    p, u = texts.counted([pos, unl])
-    odds = np.log((p + 0.5) / (pos.sum() + 1)) - np.log((u + 0.5) / (unl.sum() + 1))
+def _start(confirmed: tuple[int, np.ndarray] | None, unlabelled: tuple[int, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, whether a feature speaks for a case) by log odds, from the number of texts of both kinds and how many have each feature."""
+    if confirmed is None or unlabelled is None:
+        return np.zeros(DIM), np.zeros(DIM, bool)
+    (n, p), (m, u) = confirmed, unlabelled
+    odds = np.log((p + 0.5) / (n + 1)) - np.log((u + 0.5) / (m + 1))
     speaks = (p >= SUPPORT) & (odds >= LEAST_ODDS)
-    weights = np.where(speaks, np.clip(odds, -1, 3), 0.0) * 0.1
-    pos, unl = pos[texts.has], unl[texts.has]
-    if not pos.any() or not unl.any():
-        return np.append(np.zeros(DIM), -5.0), 1.0
-    score = np.full(len(whole.bounds) - 1, -10.0)
-    if len(whole.has):
-        score[whole.has] = whole.worst(weights)[0]
-    held, open_ = (score[role[~positive & ~other] == r] for r in ("held", "open"))
-    prior, bias = class_prior(held, open_), -threshold(held, open_)
+    return np.where(speaks, np.clip(odds, -1, 3), 0.0) * 0.1, speaks
+
+
+def _learn(pos: _Texts, unl: _Texts, weights: np.ndarray, speaks: np.ndarray, bias: float, prior: float, epochs: int) -> tuple[np.ndarray, float]:
+    """(weights, bias) by the non-negative risk: prior·R⁺(P) + max(0, R⁻(U) − prior·R⁻(P)), logistic loss; in each round the worst stretch of a text stands for it. A text may be in P and in U."""
+    if not len(pos.has) or not len(unl.has):
+        return weights, bias
+    weights, most, step = weights.copy(), np.where(speaks, np.inf, 0.0), np.zeros(DIM)
     square, square_b, momentum = np.full(DIM, 1e-8), 1e-8, np.zeros(DIM)
     for _ in range(epochs):
-        best, block = texts.worst(weights)
-        score = best + bias
-        sig = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        minus = np.logaddexp(0, score)
-        slack = minus[unl].mean() - prior * minus[pos].mean()
-        g = np.zeros(len(texts.has))
-        if slack >= 0:
-            g[unl] += sig[unl] / unl.sum()
-            g[pos] += prior * (-(1 - sig[pos]) - sig[pos]) / pos.sum()
+        (best_p, block_p), (best_u, block_u) = pos.worst(weights), unl.worst(weights)
+        sig_p, sig_u = (1 / (1 + np.exp(-np.clip(x + bias, -30, 30))) for x in (best_p, best_u))
+        if np.logaddexp(0, best_u + bias).mean() >= prior * np.logaddexp(0, best_p + bias).mean():
+            of_p, of_u = np.full(len(sig_p), -prior / len(sig_p)), sig_u / len(sig_u)
         else:
-            g[unl] -= sig[unl] / unl.sum()
-            g[pos] += prior * sig[pos] / pos.sum()
-        feature, text = texts.gather(block)
-        grad = np.bincount(feature, weights=g[text], minlength=DIM) + 1e-6 * weights
-        momentum = 0.9 * momentum + 0.1 * grad
-        square = 0.99 * square + 0.01 * grad**2
-        weights = weights - RATE * momentum / (np.sqrt(square) + 1e-5)
-        weights[~speaks] = np.minimum(weights[~speaks], 0.0)
-        gb = g.sum()
+            of_p, of_u = prior * sig_p / len(sig_p), -sig_u / len(sig_u)
+        features, shares = zip(*pos.gradient(block_p, of_p), *unl.gradient(block_u, of_u))
+        grad = np.bincount(np.concatenate(features), weights=np.concatenate(shares), minlength=DIM)
+        grad += np.multiply(weights, 1e-6, out=step)
+        momentum *= 0.9
+        momentum += np.multiply(grad, 0.1, out=step)
+        square *= 0.99
+        square += np.multiply(np.square(grad, out=grad), 0.01, out=grad)
+        np.sqrt(square, out=grad)
+        grad += 1e-5
+        weights -= np.multiply(np.divide(momentum, grad, out=step), RATE, out=step)
+        np.minimum(weights, most, out=weights)
+        gb = of_p.sum() + of_u.sum()
         square_b = 0.99 * square_b + 0.01 * gb**2
         bias -= RATE * gb / (np.sqrt(square_b) + 1e-5)
-    return np.append(weights, bias), prior
+    return weights, float(bias)
+
+
+def _judged(packs: DataFrame, weights: dict[int, np.ndarray], bias: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores to DECIMALS, how many texts have each) by members that have not seen the texts; that of a text without words is the bias less 10."""
+    shared = packs.sparkSession.sparkContext.broadcast((weights, bias))  # a few MB, by DIM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fold, *cells = [c[i].as_py() for c in batch.columns]
+                texts, other = _Pack.texts(*cells), (fold + 1) % MEMBERS
+                score = np.full(len(texts.bounds) - 1, -10.0)
+                score[texts.has] = texts.worst(weights[other])[0]
+                values, counts = np.unique(np.round(score + bias[other], DECIMALS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["score", "n"])
+
+    found = packs.select("fold", *_CELLS).mapInArrow(run, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("score").to_numpy(), found.column("n").to_numpy().astype(float)
 
 
 @dataclass
@@ -326,7 +419,7 @@ class _Scorer:
         out = np.full(len(bounds) - 1, -10.0)
         if len(numbers):
             starts, rows = _blocks(bounds)
-            each = self.by_word[numbers] + self.weights[self.words.pairs(numbers)]
+            each = self.by_word[numbers] + self.weights[self.words.pairs(numbers, bounds)]
             np.maximum.at(out, rows, _stretches(np.add.reduceat(each, starts), rows))
         return out + self.model.bias
 
@@ -359,7 +452,7 @@ def sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     member, and for what is held back (role open). Where ids are numbers and there are more than
     CONFIRMED_ROWS confirmed texts, all are drawn from blocks of IDS ids, which the scan then seeks, so
     the sample of a large table is read from few of its files. Texts over FIT_CHARS are not in the
-    sample; of a repeated key one text is taken.
+    sample; of a repeated key one text is taken. For a look at what the texts are like: fit takes all of them, not this.
     """
     draw = lambda salt, c=key: F.xxhash64(F.col(c), F.lit(salt))
     rate = lambda h: (h / F.lit(2.0**64)) + 0.5
@@ -390,35 +483,91 @@ def sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     return drawn.select(F.explode(F.array_compact(F.array(*roles))).alias("r"), words_of(F.col("_text")).alias("words")).select("r.*", "words")
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", epochs: int = EPOCHS) -> Model | None:
-    """A model from a bounded sample of the documents (see sample); None if no text is confirmed.
+def _confirmed(documents: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[int, DataFrame]:
+    """(number of confirmed keys, _key and _text of the documents that have one); of a repeated key one text is taken."""
+    keys = judgements(labels, key).where(F.col("least") == 1).select(F.col(key).alias("_key"))
+    number = keys.count()
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return number, rows.join(F.broadcast(keys) if number <= KEYS_SENT else keys, "_key").groupBy("_key").agg(F.min("_text").alias("_text"))
+
+
+def _learnt(packs: DataFrame, confirmed: DataFrame, start: dict[int, tuple[np.ndarray, np.ndarray]], bias: float, prior: float, epochs: int) -> dict[int, tuple[int, np.ndarray]]:
+    """By fold the sum of what the packs learn, weights and bias behind them, each times its texts, beside the sum of texts. packs: with the group of confirmed texts that each learns with."""
+    shared = packs.sparkSession.sparkContext.broadcast(start)
+    with_ = packs.select("fold", "grp", "texts", *_CELLS).join(confirmed.select("fold", "grp", *[F.col(c).alias(f"p_{c}") for c in _CELLS]), ["fold", "grp"], "left")
 
-    The class prior and the threshold come from the confirmed and unlabelled texts that were held back; a single
-    confirmed text is held back, so nothing is learnt from it and nothing offends.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fold, texts, *cells = (c[i].as_py() for c in batch.columns)
+                weights, speaks = shared.value[fold]
+                moved, b = (weights, bias) if cells[-1] is None else _learn(_Pack.texts(*cells[len(_CELLS) :]), _Pack.texts(*cells[: len(_CELLS)]), weights, speaks, bias, prior, epochs)
+                known = sums.get(fold, (0, 0.0))
+                sums[fold] = known[0] + texts, known[1] + texts * np.append(moved, b)
+        for fold, (texts, values) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([texts]), pa.array([values.tobytes()], pa.binary())], names=["fold", "texts", "values"])
+
+    learnt = with_.select("fold", "texts", *_CELLS, *[f"p_{c}" for c in _CELLS]).mapInArrow(run, "fold int, texts bigint, values binary")
+    return _summed(written(learnt, "learnt"), np.float64)
+
+
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), epochs: int = EPOCHS) -> tuple[Model | None, DataFrame | None]:
+    """(model from all documents, packs of all documents with key and the columns keep, for scored); None twice if no text is confirmed.
+
+    Confirmed are texts that all of their raters judge as cases. A member has the texts of a fold, by hash of the key: it starts from
+    the log odds of features over all of them; packs of them learn from there, each with the confirmed texts of the fold or a group
+    of these, and the member is the mean of its packs. The class prior and the threshold come from the scores of
+    all texts, each judged by the member that has not seen it. A single confirmed text teaches nothing, and nothing offends then.
     """
-    drawn = sample(documents, labels, key, text)
-    if drawn is None:
-        return None
-    drawn = written(drawn, "judged")
-    members = F.explode(F.when(F.col("member") >= 0, F.array("member")).otherwise(F.sequence(F.lit(0), F.lit(MEMBERS - 1)))).alias("member")
+    fold = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(1)), F.lit(MEMBERS)).cast("int").alias("fold")
+    number, texts = _confirmed(documents, labels, key, text)
+    if not number:
+        return None, None
+    rows = spread(documents.select(F.struct(key, *keep).alias("kept"), F.col(key).alias("_key"), F.col(text).alias("_text")))
+    packs = written(_packed(rows.select(fold("_key"), F.lit(-1).alias("grp"), "kept", words_of(F.col("_text")).alias("words"))), "packs", 1)
+    texts = written(texts.select("_key", fold("_key"), words_of(F.col("_text")).alias("words")), "confirmed")
+    ids = packs.select("fold", "pack").toPandas().sort_values(["fold", "pack"])  # a row for some MB of texts
+    have = {r["fold"]: r["count"] for r in texts.groupBy("fold").count().collect()}
+    groups = {m: max(1, min(int((ids["fold"] == m).sum()), -(-have.get(m, 0) // PACK_CONFIRMED))) for m in range(MEMBERS)}
+    of = F.pmod(F.xxhash64("_key", F.lit(2)), F.array(*[F.lit(groups[m]) for m in range(MEMBERS)])[F.col("fold")]).cast("int").alias("grp")
+    confirmed = written(_packed(texts.select("fold", of, F.struct("_key").alias("kept"), "words").repartition("fold", "grp")), "confirmed_packs", 1)
+
+    counted = [_summed(t.select("fold", "texts", "counts"), np.int32) for t in (confirmed, packs)]
+    start = {m: _start(*[c.get(m) for c in counted]) for m in range(MEMBERS)}
+    judged = lambda weights, bias: [x for both in zip(*[_judged(t, weights, bias) for t in (confirmed, packs)]) for x in both]
+    scores = judged({m: w for m, (w, _) in start.items()}, dict.fromkeys(start, 0.0))
+    prior, bias = class_prior(*scores), -threshold(*scores)
+
+    at = [(int(p), int(i % groups[f])) for f, p, i in zip(ids["fold"], ids["pack"], ids.groupby("fold").cumcount())]
+    pairs = packs.drop("grp").join(F.broadcast(packs.sparkSession.createDataFrame(at, "pack bigint, grp int")), "pack")
+    learnt = _learnt(pairs, F.broadcast(confirmed) if sum(have.values()) <= TEXTS_SENT else confirmed, start, bias, prior, epochs)
+    member = {m: learnt[m][1] / learnt[m][0] if learnt.get(m, (0,))[0] else np.append(start[m][0], bias) for m in range(MEMBERS)}
+    scores = judged({m: x[:-1] for m, x in member.items()}, {m: float(x[-1]) for m, x in member.items()})
+    dropped(texts, confirmed)
+    mean = sum(member.values()) / MEMBERS
+    at = np.flatnonzero(mean[:-1])
+    return Model(at, mean[at], float(mean[-1]), threshold(*scores), prior), packs
+
+
+def scored(packs: DataFrame, model: Model) -> DataFrame:
+    """score of the documents that the model is fitted to, from what fit has kept of them."""
+    shared = packs.sparkSession.sparkContext.broadcast(model)
+    fields = packs.select(F.explode("kept").alias("k")).select("k.*").dtypes
+    names = [n for n, _ in fields]
 
-    def member(table: pa.Table) -> pa.Table:  # about CONFIRMED_ROWS + MEMBER_ROWS + OPEN_ROWS texts
-        words = Words()
-        numbers, bounds = words.numbers(table.column("words").combine_chunks())
-        weights, prior = _learn(words, numbers, bounds, np.array(table.column("role").to_pylist()), epochs)
-        at = np.flatnonzero(weights[:-1])
-        return pa.table({"at": pa.array([at], pa.list_(pa.int64())), "value": pa.array([weights[at]], pa.list_(pa.float64())), "bias": pa.array([weights[-1]]), "prior": pa.array([prior])})
-
-    parts = drawn.select("role", "words", members).groupBy("member").applyInArrow(member, "at array<bigint>, value array<double>, bias double, prior double").toArrow()
-    total = np.zeros(DIM)
-    for at, value in zip(parts.column("at"), parts.column("value")):
-        total[at.values.to_numpy()] += value.values.to_numpy() / max(1, parts.num_rows)
-    at = np.flatnonzero(total)
-    mean = lambda c, none: float(np.mean(parts.column(c).to_numpy())) if parts.num_rows else none
-    model = Model(at, total[at], mean("bias", -5.0), 0.0, mean("prior", 1.0))
-    held = _scored(drawn.where("member < 0").select("role", "words"), model).toPandas()  # bounded as above
-    model.threshold = threshold(held["score"][held["role"] == "held"].to_numpy(), held["score"][held["role"] == "open"].to_numpy())
-    return model
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.zeros(DIM)
+        weights[shared.value.at] = shared.value.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kept, texts = batch.column(0)[i].values, _Pack.texts(*[c[i].as_py() for c in batch.columns[1:]])
+                score = np.full(len(kept), -10.0)
+                score[texts.has] = texts.worst(weights)[0]
+                yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(score + shared.value.bias)], names=[*names, "score"])
+
+    rows = packs.select("kept", *_CELLS).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields) + ", score double")
+    return rows.withColumn("offends", F.col("score") >= model.threshold)
 
 
 def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -439,7 +588,8 @@ def abuse_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", t
     If no judged text is confirmed, or there are no labels, every score is null and nothing offends. Repeated rows come
     out as often as they occur; an empty table gives no row.
     """
-    return score(documents, fit(documents, labels, key, text), key, text, keep)
+    model, packs = fit(documents, labels, key, text, keep)
+    return score(documents, None, key, text, keep) if model is None else scored(packs, model)
 
 
 def abuse_rates(scored: DataFrame, source: str = "source") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.tables import table
-from .abuse import Model, abuse_rates, fit, judgements, score
+from .abuse import abuse_rates, abuse_scores, judgements
 from .encode import decoded, token_counts, token_ids
 from .ngrams import term_frequencies
 from .packing import faults, fill, pack
@@ -70,19 +70,15 @@ def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults(packed, sizes, table(spark, sf_dir, "pack_spec"))
 
 
-_models: dict[tuple[str, str], Model | None] = {}
-
-
-def _model(spark: SparkSession, sf_dir: str) -> Model | None:
-    """The model of a folder of tables, fitted once an application."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _models:
-        _models[at] = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_label"))
-    return _models[at]
+_scores: dict[tuple[str, str], DataFrame] = {}
 
 
 def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), _model(spark, sf_dir), keep=("source",))
+    """Scores of a folder of tables, whose model is fitted once an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _scores:
+        _scores[at] = abuse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_label"), keep=("source",))
+    return _scores[at]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,15 +83,15 @@ def _path_on(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back.
+def written(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Write df once as a table in the shared folder and read it back; rows_a_file: at most so many, for large rows, which are else held together.
 
     Later reads survive the loss of executors and do not compute df again. The table is removed
     when the application ends, or before that by dropped.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     files, place = _path_on(spark, path)
     files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -162,6 +162,31 @@ def test_abuse(spark):
     assert {x["source"] for x in rates} == {"even", None, "x"} and sum(x["documents"] for x in rates) == 703
 
 
+def test_abuse_of_all_texts(spark, monkeypatch):
+    """p8: what only long texts and few confirmed ones show is learnt; and what fit keeps of the documents is scored as they are."""
+    for name, most in (("CONFIRMED_ROWS", 20), ("MEMBER_ROWS", 100), ("OPEN_ROWS", 100)):
+        monkeypatch.setattr(abuse, name, most)
+    r = random.Random(13)
+    plain = "the loader reads a frame and kills the worker process when the packet is stale".split()
+    docs = []
+    for i in range(1000):
+        words = [r.choice(plain) for _ in range(20_000 if i % 64 == 0 else 30)]
+        if i % 8 == 0 or i >= 996:
+            words.insert(r.randrange(len(words)), "zorbnak" if i % 64 == 0 or i >= 996 else "you idiot")
+        docs.append((i, " ".join(words)))
+    assert len(docs[64][1]) > abuse.FIT_CHARS
+    d = spark.createDataFrame([*docs, (None, "a null key"), (5, None)], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    lab = spark.createDataFrame([(i, "a", int(i % 8 == 0)) for i in range(900)], "doc_id bigint, rater string, offends int")
+    rows = abuse.abuse_scores(d, lab, keep=("source",)).collect()
+    got = {x["doc_id"]: x["offends"] for x in rows if x["score"] is not None}
+    assert len(rows) == 1002 and all(got[i] for i in range(996, 1000)) and sum(got.values()) < 150
+    assert np.mean([got[i] == (i % 8 == 0) for i in range(900) if i != 5]) > 0.97
+    model, packs = abuse.fit(d, lab)
+    both = abuse.scored(packs, model).toPandas(), abuse.score(d, model).toPandas()
+    a, b = (x.sort_values(["doc_id", "score"])["score"].to_numpy() for x in both)
+    assert np.allclose(a, b, atol=1e-9)
+
+
 def test_class_prior_and_threshold():
     """Scores of which some positive ones lie with the negative ones; the prior is found from the rest, and the threshold lies between."""
     r = np.random.default_rng(12)
