@@ -93,3 +93,13 @@ def test_map_search_has_no_jobs_by_sweep(spark, world):
     a, b = (sorted(map(tuple, f.assignment.select(*search.KEYS, "unit_id", "cluster_id").collect())) for f in (fit, want))
     assert a == b
     assert abs(fit.particles.first()["log_post"] - want.particles.first()["log_post"]) < 1e-7
+
+
+def test_levels_search_has_no_jobs_by_sweep(spark, world):
+    """levels_search: the plans and tables of sweeps do not gather in the driver."""
+    hyper = spark.createDataFrame([(1, 0.4, 1.5, 4.0, 0.5)], "run_id int, a1 double, a2 double, nu double, lambda double")
+    problem = search.Problem.of_levels(*world, hyper)
+    start = written(search.one_cluster(problem.units, 3, "A"), "start")
+    fit, number = jobs(spark, "levels", lambda: search.ensemble_fit(problem, 3, start=start))
+    assert fit.settled and fit.sweeps > 2 and number < 40, (fit.sweeps, number)
+    assert fit.particles.count() == 3
