@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.llm import abuse, encode, ngrams, packing, queries
+from parcelspark.llm.cut import cut
 
 TEXTS = [None, "", "   ", "Hello world", "<|endoftext|> it's", "é漢字 ١٢ x y\r\n\t  z", "a" * 3000, "﻿BOM", "def f(x):\n\treturn x**2  # don't", "👍🏽 naïve ﬁ", "=" * 777, "tok tok tok", "tok tok tok"]
 
@@ -227,3 +228,21 @@ def test_long_words_stay_whole(spark):
     got = {r["doc_id"]: [p for w in r["w"] for p in abuse.plain_words(w)] for r in df.select("doc_id", abuse.words_of(F.col("text")).alias("w")).collect()}
     assert "".join(got[1]) == run and max(map(len, got[1])) == 40
     assert got[2] == [] and got[3] == [] and got[4] == ["x" * 40, "y"]
+
+
+def test_words_are_cut_in_tasks(spark):
+    """p8: texts are cut in arrays just as the regular expression cuts them; learning makes no match by word in the JVM, and a stretch is the sum of its words."""
+    r = random.Random(14)
+    signs = "ab*._- c1²@#$%!é́Ж​­𝒜😀\n,(x"
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(90))) for _ in range(5000)] + ["a*" * 60, "x" * 41 + " a b", "é" * 100, "", None, "*a b", "a_b_c_dd"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(F.col("text").cast("binary").alias("t"), abuse.words_of(F.col("text")).alias("w")).collect()
+    assert cut([r["t"] for r in rows], abuse.HIDDEN).to_pylist() == [r["w"] for r in rows]
+    assert cut([], abuse.HIDDEN).to_pylist() == [] and cut([None], abuse.HIDDEN).to_pylist() == [[]]
+
+    words = abuse.Words()
+    numbers, bounds = words.numbers(cut([b"", b"one two three four five six seven eight nine ten eleven twelve", b"lone", None, b"a long word, and then some more of them until it ends here or there"], abuse.HIDDEN))
+    texts, weights = abuse._Texts(words, numbers, bounds), np.random.default_rng(15).normal(size=abuse.DIM)
+    own = [weights[words.of(numbers[i : i + 1])[0]].sum() + weights[p] for i, p in enumerate(words.pairs(numbers, bounds))]
+    step, most = abuse.BLOCK, abuse.BLOCK * abuse.STRETCH
+    assert np.allclose(texts.worst(weights)[0], [max(sum(own[i : min(i + most, hi)]) for i in range(lo, hi, step)) for lo, hi in zip(bounds, bounds[1:]) if hi > lo])
+    assert texts.has.tolist() == [1, 2, 4]
