@@ -12,9 +12,10 @@ where the risk of positive-unlabelled classification is least.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 from operator import or_
 
 import numpy as np
@@ -56,7 +57,9 @@ IDS, SOUGHT = 10_000, 100
 EPOCHS, RATE = 30, 0.005
 #: Words after which a pack of texts is full; confirmed texts that a pack is learnt with, if there are as many; the most confirmed keys, and confirmed texts, that are broadcast; partitions that sums are made in; scores are counted by this many decimals.
 PACK_WORDS, PACK_CONFIRMED, KEYS_SENT, TEXTS_SENT, SUM_PARTS, DECIMALS = 700_000, 1_000, 2_000_000, 10_000, 8, 3
-#: Words that a scoring worker remembers.
+#: Slots of words that are scored at once, a text at least; blocks of a group, of which the best is sought first.
+SLOTS, GROUP = 1 << 16, 32
+#: Words that a worker that packs or scores remembers.
 REMEMBER = 300_000
 _PLAIN = {**{ord(a): b for a, b in zip(LOOKALIKE, LATIN)}, **{ord(c): None for c in HIDDEN}}
 
@@ -82,10 +85,15 @@ def plain_words(word: str) -> list[str]:
     return [word[i:j].lower() for i, j in zip(cuts, cuts[1:])]
 
 
+@lru_cache(1 << 16)
+def _runs(signs: str) -> str:
+    return RUN.sub(r"\1", signs)
+
+
 def shape(word: str) -> str:
     """A sign for each run of digits (0), letters (a) and other signs (*) of a word."""
     if word.isascii():
-        return RUN.sub(r"\1", word.translate(_SHAPE))
+        return _runs(word.translate(_SHAPE))
     return SHAPE.sub(lambda m: "0" if m[0][0].isdigit() else "a" if m[0][0].isalpha() else "*", word)
 
 
@@ -95,6 +103,12 @@ def _hash(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).astype(np.uint64)
 
 
+def _ranges(starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places from starts[i] to starts[i + 1] for each i of numbers, in order, how many each has)."""
+    size = starts[numbers + 1] - starts[numbers]
+    return np.repeat(starts[numbers] - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
+
+
 class Words:
     """Numbers for words, and the hashed features of each."""
 
@@ -146,17 +160,25 @@ class Words:
             if fresh:
                 self.add(fresh)
             self.raw.update(zip(new, range(len(self.raw), len(self.raw) + len(new))))
-            self.raw_starts = np.concatenate([self.raw_starts, self.raw_starts[-1] + np.cumsum([len(ws) for ws in plain])])
-            self.raw_items = np.concatenate([self.raw_items, np.array([self.known[w] for ws in plain for w in ws], np.int64)])
-        place = np.fromiter((self.raw[w] for w in written_so), np.int64, len(written_so))[coded.indices.to_numpy(zero_copy_only=False)]
+            self.raw_starts = np.concatenate([self.raw_starts, self.raw_starts[-1] + np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))])
+            self.raw_items = np.concatenate([self.raw_items, np.fromiter(map(self.known.__getitem__, chain.from_iterable(plain)), np.int64)])
+        place = np.fromiter(map(self.raw.__getitem__, written_so), np.int64, len(written_so))[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.raw_starts[place + 1] - self.raw_starts[place]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return self.raw_items[np.repeat(self.raw_starts[place] - ends[:-1], sizes) + np.arange(ends[-1])], ends[offsets - offsets[0]]
 
+    def only(self, numbers: np.ndarray) -> Words:
+        """These words alone, numbered in this order."""
+        out, names = Words(), list(self.known)
+        out.known, out.keys = {names[i]: n for n, i in enumerate(numbers.tolist())}, self.keys[numbers]
+        out.features, size = self.of(numbers)
+        out.starts = np.concatenate([[0], np.cumsum(size)])
+        return out
+
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(features of the words in order, how many each word has)."""
-        size = self.starts[numbers + 1] - self.starts[numbers]
-        return self.features[np.repeat(self.starts[numbers] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+        at, size = _ranges(self.starts, numbers)
+        return self.features[at], size
 
     def pairs(self, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The feature of each word with the one before it in its text, of the first one with itself."""
@@ -193,35 +215,46 @@ class _Texts:
         self.has = np.flatnonzero(sizes)
         sizes = sizes[self.has]
         blocks = -(-sizes // BLOCK)
-        self.room = blocks + STRETCH
-        first = np.cumsum(self.room) - self.room
-        self.spans = np.stack([first, first + blocks], axis=1).ravel()  # the blocks with words, those without, by turns
-        self.text = np.repeat(np.arange(len(first)), self.room)
+        room = blocks + STRETCH
+        first = np.cumsum(room) - room
         at = np.repeat(first * BLOCK - bounds[:-1][self.has], sizes) + np.arange(len(numbers))
-        self.slots, self.pair = np.full(len(self.text) * BLOCK, self.empty), np.full(len(self.text) * BLOCK, DIM)
+        slots = int(room.sum()) * BLOCK
+        self.slots, self.pair = np.full(slots, self.empty), np.full(slots, DIM)
         self.slots[at], self.pair[at] = numbers, words.pairs(numbers, bounds)
-        self.of_word, self.own, self.own_pair, self.value = (np.empty(n) for n in (len(words.features), len(self.slots), len(self.slots), len(self.text)))  # these are used again in each round
-
-    def stretches(self, weight_of: np.ndarray) -> np.ndarray:
-        """The score of the stretch from every block on."""
-        weight_of = np.append(weight_of, 0.0)
-        by_word = np.add.reduceat(np.take(weight_of, self.words.features, out=self.of_word, mode="clip"), self.words.starts[:-1])
-        np.take(np.append(by_word, 0.0), self.slots, out=self.own, mode="clip")
-        self.own += np.take(weight_of, self.pair, out=self.own_pair, mode="clip")
-        blocks = reduce(np.add, [self.own[k::BLOCK] for k in range(BLOCK)])
-        self.value[:] = blocks
-        for k in range(1, STRETCH):
-            self.value[:-k] += blocks[k:]
-        return self.value
+        self.value = np.empty(slots // BLOCK)  # of the stretch from each block on
+        groups = -(-blocks // GROUP)
+        self.group_of = np.cumsum(groups + 1) - groups - 1  # the first group of a text, whose last one are its empty blocks
+        self.groups = np.repeat(first - self.group_of * GROUP, groups + 1) + np.arange(int((groups + 1).sum())) * GROUP
+        self.groups[self.group_of + groups] = first + blocks
+        self.spans = np.stack([self.group_of, self.group_of + groups], axis=1).ravel()
+        self.parts = _parts(np.append(first * BLOCK, slots), np.append(self.group_of, len(self.groups)))
 
     def worst(self, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, number of the first block) of the worst stretch of each text that has words."""
+        weight_of, by_word = np.append(weight_of, 0.0), np.zeros(self.empty + 1)
+        if self.empty:
+            np.add.reduceat(weight_of.take(self.words.features, mode="clip"), self.words.starts[:-1], out=by_word[:-1])
+        return self.stretches(lambda at: by_word.take(self.slots[at], mode="clip") + weight_of.take(self.pair[at], mode="clip"))
+
+    def stretches(self, own: Callable[[slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """worst by what gives the scores of a slice of the slots, which are taken in parts that a core's cache holds."""
         if not len(self.has):
             return np.zeros(0), np.zeros(0, np.int64)
-        value = self.stretches(weight_of)
-        best = np.maximum.reduceat(value, self.spans)[::2]
-        at = np.flatnonzero(value == np.repeat(best, self.room))
-        return best, at[np.flatnonzero(np.diff(self.text[at], prepend=-1))]
+        most = np.empty(len(self.groups))
+        for start, end, group, groups in self.parts:
+            each = own(slice(start, end))
+            blocks = reduce(np.add, [each[k::BLOCK] for k in range(BLOCK)])
+            start //= BLOCK
+            value = self.value[start : start + len(blocks)]
+            value[:] = blocks
+            for k in range(1, STRETCH):
+                value[:-k] += blocks[k:]
+            most[group:groups] = np.maximum.reduceat(value, self.groups[group:groups] - start)
+        best = np.maximum.reduceat(most, self.spans)[::2]
+        at = np.flatnonzero(most == np.repeat(best, np.diff(np.append(self.group_of, len(most)))))
+        first = self.groups[at[np.searchsorted(at, self.group_of)]]  # of the first group that has the best
+        inside = self.value.take(first[:, None] + np.arange(GROUP), mode="clip") == best[:, None]
+        return best, first + inside.argmax(axis=1)
 
     def gradient(self, block: np.ndarray, g: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """(features, g) of each text's chosen stretch, of words and of pairs; texts in the order of has."""
@@ -234,29 +267,110 @@ class _Texts:
         return (f, np.repeat(by_word[some], size)), (self.pair[at], each)
 
 
+def _parts(slots: np.ndarray, groups: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first slot, last, first group, last) of runs of texts, which hold SLOTS at most or are one text; slots, groups: where those of each text start, and the last end."""
+    out, lo = [], 0
+    while lo < len(slots) - 1:
+        hi = max(lo + 1, int(np.searchsorted(slots, slots[lo] + SLOTS, side="right")) - 1)
+        out.append((int(slots[lo]), int(slots[hi]), int(groups[lo]), int(groups[hi])))
+        lo = hi
+    return out
+
+
+def _sorted(*keys: np.ndarray) -> list[np.ndarray]:
+    """Equally long keys of numbers from 0 on in the order of the first, the second, ..."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        order = np.lexsort(keys[::-1])
+        return [k[order] for k in keys]
+    whole = np.sort(reduce(lambda x, k: x << k[1] | k[0], zip(keys[1:], bits[1:]), keys[0]))  # much faster than an order
+    out = []
+    for b in bits[:0:-1]:
+        out.append(whole & ((1 << b) - 1))
+        whole >>= b
+    return [whole, *out[::-1]]
+
+
+class _Learner:
+    """Texts whose score is summed over the features that learning has met, which alone have a weight; these are numbered from 1 on as they are met, 0 is no such feature. Equal words behind equal words are scored once."""
+
+    def __init__(self, texts: _Texts):
+        self.texts, words = texts, texts.words
+        feature, self.owners = _sorted(words.features, np.repeat(np.arange(texts.empty), np.diff(words.starts)))
+        self.owner_starts = self._starts(feature)
+        self.having, self.held, self.sizes = np.empty_like(self.owners), 0, np.zeros(1, np.int64)  # the words that have the features met
+
+        slots = np.flatnonzero(texts.slots < texts.empty)
+        pair, word, slots = _sorted(texts.pair[slots], texts.slots[slots], slots)
+        new = (np.diff(pair, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0)
+        used = np.zeros(len(texts.slots), np.int64)
+        used[slots[new]] = 1
+        self.twin = np.cumsum(used)[slots[new]] - 1  # of each pair and word, by the pair; numbered by their first use, as many are used again soon
+        self.twin_starts = self._starts(pair[new])
+        self.word, self.number = np.empty(len(self.twin), np.int64), np.zeros(len(self.twin), np.int64)
+        self.word[self.twin] = word[new]
+        self.twins = np.full(len(texts.slots), len(self.twin))
+        self.twins[slots] = self.twin[np.cumsum(new) - 1]
+
+    @staticmethod
+    def _starts(features: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bincount(features, minlength=DIM))])
+
+    def meet(self, fresh: np.ndarray, number: int) -> None:
+        """Features that are met and have the numbers from number on."""
+        at, size = _ranges(self.owner_starts, fresh)
+        self.having[self.held : self.held + len(at)] = self.owners[at]
+        self.held, self.sizes = self.held + len(at), np.append(self.sizes, size)
+        at, size = _ranges(self.twin_starts, fresh)
+        self.number[self.twin[at]] = np.repeat(np.arange(number, number + len(fresh)), size)
+
+    def worst(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """texts.worst by weights of the features met, by their number."""
+        by_word = np.bincount(self.having[: self.held], weights=np.repeat(weights, self.sizes), minlength=self.texts.empty + 1)
+        each = np.zeros(len(self.word) + 1)
+        each[:-1] = by_word.take(self.word, mode="clip") + weights.take(self.number, mode="clip")
+        return self.texts.stretches(lambda at: each.take(self.twins[at], mode="clip"))
+
+
 class _Pack:
-    """Texts of one member that are kept together: what is kept of their rows, their words as numbers, the features of these, and in how many texts each feature occurs."""
+    """Texts of one member that are kept together: what is kept of their rows, their words as numbers, the features of these, and in how many texts each feature occurs. A task's packs share its Words until they are full."""
 
     SCHEMA = "fold int, grp int, pack bigint, texts bigint, numbers binary, sizes binary, keys binary, features binary, starts binary, counts binary"
 
     def __init__(self) -> None:
-        self.words, self.numbers, self.sizes, self.kept, self.held = Words(), [], [], [], 0
+        self.numbers, self.sizes, self.kept, self.held = [], [], [], 0
+        self.ids, self.own = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the task's number of each of its words, and its own number, from 1 on, of each of the task's
         self.counts = np.zeros(DIM, np.int32)
 
-    def add(self, lists: pa.ListArray, kept: pa.StructArray) -> None:
+    def add(self, words: Words, numbers: np.ndarray, sizes: np.ndarray, kept: pa.StructArray) -> None:
+        """Take in texts whose words are numbered in words, those of the task."""
+        self.own = np.append(self.own, np.zeros(len(words.keys) - len(self.own), np.int64))
+        fresh = np.unique(numbers[self.own[numbers] == 0])
+        self.own[fresh] = np.arange(len(self.ids), len(self.ids) + len(fresh)) + 1
+        self.ids = np.append(self.ids, fresh)
+        bits = len(words.keys).bit_length()  # rows of a batch and words of a task leave room
+        each = np.sort(np.repeat(np.arange(len(sizes)) << bits, sizes) | numbers)
+        each = each[np.diff(each, prepend=-1) != 0]
+        starts = np.searchsorted(each, np.arange(len(sizes) + 1) << bits)
+        features, size = words.of(each & ((1 << bits) - 1))
+        ends = np.concatenate([[0], np.cumsum(size)])[starts].tolist()
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            self.counts[features[lo:hi]] += 1  # once for a feature that occurs twice
         self.kept.append(kept)
-        numbers, bounds = self.words.numbers(lists)
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi > lo:
-                self.counts[self.words.of(np.unique(numbers[lo:hi]))[0]] += 1  # once for a feature that occurs twice
-        self.numbers.append(numbers.astype(np.int32))
-        self.sizes.append(np.diff(bounds))
+        self.numbers.append((self.own[numbers] - 1).astype(np.int32))
+        self.sizes.append(sizes)
         self.held += len(numbers)
 
-    def row(self, fold: int, grp: int, pack: int) -> pa.RecordBatch:
+    def moved(self, known: np.ndarray) -> None:
+        """The task's words are now those of known, in this order, which has all of this pack."""
+        self.ids, self.own = np.searchsorted(known, self.ids), np.zeros(len(known), np.int64)
+        self.own[self.ids] = np.arange(len(self.ids)) + 1
+
+    def row(self, words: Words, fold: int, grp: int, pack: int) -> pa.RecordBatch:
         sizes, rows = np.concatenate(self.sizes), pa.concat_arrays(self.kept)
+        features, size = words.of(self.ids)
         kept = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-        cells = [np.concatenate(self.numbers), sizes, self.words.keys, self.words.features.astype(np.int32), self.words.starts, self.counts]
+        cells = [np.concatenate(self.numbers), sizes, words.keys[self.ids], features.astype(np.int32), np.concatenate([[0], np.cumsum(size)]), self.counts]
         return pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([grp], pa.int32()), pa.array([pack]), pa.array([len(sizes)]), *[pa.array([x.tobytes()], pa.binary()) for x in cells], kept], names=[*[c.split()[0] for c in _Pack.SCHEMA.split(", ")], "kept"])
 
     @staticmethod
@@ -276,19 +390,26 @@ def _packed(rows: DataFrame) -> DataFrame:
     cut = rows.dtypes[3][1] == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, packs = TaskContext.get().partitionId(), 0, {}
+        task, made, packs, words = TaskContext.get().partitionId(), 0, {}, Words()
         for batch in batches:
             for part, lists in listed(batch, 3, HIDDEN) if cut else ((x, x.column(3)) for x in sliced(batch, 3)):
                 fold, grp = part.column(0).to_numpy(), part.column(1).to_numpy()
+                numbers, bounds = words.numbers(lists)
+                sizes = np.diff(bounds)
                 for at in sorted(set(zip(fold.tolist(), grp.tolist()))):
                     pack = packs.setdefault(at, _Pack())
-                    own = pa.array((fold == at[0]) & (grp == at[1]))
-                    pack.add(lists.filter(own), part.column(2).filter(own))
+                    own = (fold == at[0]) & (grp == at[1])
+                    pack.add(words, numbers[np.repeat(own, sizes)], sizes[own], part.column(2).filter(pa.array(own)))
                     if pack.held >= PACK_WORDS and at[1] < 0:
-                        yield packs.pop(at).row(*at, task << 24 | made)
+                        yield packs.pop(at).row(words, *at, task << 24 | made)
                         made += 1
+                if len(words.raw) > REMEMBER:
+                    known = np.unique(np.concatenate([np.zeros(0, np.int64), *[p.ids for p in packs.values()]]))
+                    words = words.only(known)
+                    for pack in packs.values():
+                        pack.moved(known)
         for at, pack in packs.items():
-            yield pack.row(*at, task << 24 | made)
+            yield pack.row(words, *at, task << 24 | made)
             made += 1
 
     return rows.mapInArrow(run, f"{_Pack.SCHEMA}, kept array<{dict(rows.dtypes)['kept']}>")
@@ -366,28 +487,37 @@ def _learn(pos: _Texts, unl: _Texts, weights: np.ndarray, speaks: np.ndarray, bi
     """(weights, bias) by the non-negative risk: prior·R⁺(P) + max(0, R⁻(U) − prior·R⁻(P)), logistic loss; in each round the worst stretch of a text stands for it. A text may be in P and in U."""
     if not len(pos.has) or not len(unl.has):
         return weights, bias
-    weights, most, momentum, seen = weights.copy(), np.where(speaks, np.inf, 0.0), np.zeros(DIM), weights != 0
-    square, square_b = np.full(DIM, 1e-8), 1e-8
-    for _ in range(epochs):
-        (best_p, block_p), (best_u, block_u) = pos.worst(weights), unl.worst(weights)
+    learners, most = (_Learner(pos), _Learner(unl)), np.where(speaks, np.inf, 0.0)
+    number, met = np.zeros(DIM, np.int64), np.zeros(0, np.int64)
+    own, bound, momentum, square = np.zeros((4, 1))  # of the features met by their number; the others have no weight and get none
+    square_new, square_b = 1e-8, 1e-8
+    features = np.flatnonzero(weights)
+    for i in range(epochs + 1):
+        fresh = np.unique(features[number[features] == 0])
+        number[fresh] = np.arange(len(own), len(own) + len(fresh))
+        for x in learners:
+            x.meet(fresh, len(own))
+        met, own, bound = np.append(met, fresh), np.append(own, weights[fresh]), np.append(bound, most[fresh])
+        momentum, square = np.append(momentum, np.zeros(len(fresh))), np.append(square, np.full(len(fresh), square_new))
+        if i:  # a step along the stretches of the round before
+            grad = np.bincount(number[features], weights=shares, minlength=len(own)) + 1e-6 * own
+            momentum = 0.9 * momentum + 0.1 * grad
+            square = square * 0.99 + 0.01 * np.square(grad)
+            own = np.minimum(own - RATE * momentum / (np.sqrt(square) + 1e-5), bound)
+            square_new, square_b = square_new * 0.99, 0.99 * square_b + 0.01 * gb**2
+            bias -= RATE * gb / (np.sqrt(square_b) + 1e-5)
+        if i == epochs:
+            break
+        (best_p, block_p), (best_u, block_u) = (x.worst(own) for x in learners)
         sig_p, sig_u = (1 / (1 + np.exp(-np.clip(x + bias, -30, 30))) for x in (best_p, best_u))
         if np.logaddexp(0, best_u + bias).mean() >= prior * np.logaddexp(0, best_p + bias).mean():
             of_p, of_u = np.full(len(sig_p), -prior / len(sig_p)), sig_u / len(sig_u)
         else:
             of_p, of_u = prior * sig_p / len(sig_p), -sig_u / len(sig_u)
-        features, shares = zip(*pos.gradient(block_p, of_p), *unl.gradient(block_u, of_u))
-        grad = np.bincount(np.concatenate(features), weights=np.concatenate(shares), minlength=DIM)
-        seen |= grad != 0
-        square *= 0.99
-        at = np.flatnonzero(seen)  # the others have no weight and get none
-        own = weights[at]
-        grad = grad[at] + 1e-6 * own
-        momentum[at] = moved = 0.9 * momentum[at] + 0.1 * grad
-        square[at] = scale = square[at] + 0.01 * np.square(grad)
-        weights[at] = np.minimum(own - RATE * moved / (np.sqrt(scale) + 1e-5), most[at])
+        features, shares = (np.concatenate(x) for x in zip(*pos.gradient(block_p, of_p), *unl.gradient(block_u, of_u)))
         gb = of_p.sum() + of_u.sum()
-        square_b = 0.99 * square_b + 0.01 * gb**2
-        bias -= RATE * gb / (np.sqrt(square_b) + 1e-5)
+    weights = weights.copy()
+    weights[met] = own[1:]
     return weights, float(bias)
 
 

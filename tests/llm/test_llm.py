@@ -5,9 +5,11 @@ import collections
 import os
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,42 @@ def test_words_are_cut_in_tasks(spark):
     step, most = abuse.BLOCK, abuse.BLOCK * abuse.STRETCH
     assert np.allclose(texts.worst(weights)[0], [max(sum(own[i : min(i + most, hi)]) for i in range(lo, hi, step)) for lo, hi in zip(bounds, bounds[1:]) if hi > lo])
     assert texts.has.tolist() == [1, 2, 4]
+
+
+def test_words_are_weighed_once(monkeypatch):
+    """p8: a task knows a word for all of its packs, also where it forgets words in between; learning weighs a word behind an equal word once, by the features it has met, and finds the same worst stretches."""
+    r = random.Random(16)
+    rare = [f"{r.choice('xyz')}{r.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join(r.choice(["the", "loader", "Reads", "a_frame", r.choice(rare)]) for _ in range(r.choice([0, 1, 7, 300]))) for _ in range(80)]
+    rows = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(80)], pa.int32()), pa.array([-1] * 80, pa.int32()), pa.array([{"k": i} for i in range(80)]), pa.array(texts)], names=["fold", "grp", "kept", "t"])
+    frame = SimpleNamespace(dtypes=[("fold", "int"), ("grp", "int"), ("kept", "struct<k:bigint>"), ("t", "string")], mapInArrow=lambda run, _: run)
+    monkeypatch.setattr(abuse, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(abuse, "PACK_WORDS", 1000)
+    asked, plain = [], abuse.plain_words
+    monkeypatch.setattr(abuse, "plain_words", lambda w: asked.append(w) or plain(w))
+    packed = lambda: [x.to_pylist()[0] for x in abuse._packed(frame)(rows.slice(i, 10) for i in range(0, 80, 10))]
+    packs = packed()
+    assert len(packs) > 4 and len(asked) == len(set(asked))
+    monkeypatch.setattr(abuse, "REMEMBER", 20)
+    for a, b in zip(packs, packed(), strict=True):
+        assert a["counts"] == b["counts"] and a["sizes"] == b["sizes"] and a["kept"] == b["kept"]
+        assert np.array_equal(*[np.frombuffer(x["keys"], np.uint64)[np.frombuffer(x["numbers"], np.int32)] for x in (a, b)])
+
+    monkeypatch.setattr(abuse, "SLOTS", 64)
+    monkeypatch.setattr(abuse, "GROUP", 3)
+    numbers, bounds = (words := abuse.Words()).numbers(cut([x.encode() for x in texts], abuse.HIDDEN))
+    both, weights = abuse._Texts(words, numbers, bounds), np.zeros(abuse.DIM)
+    learner = abuse._Learner(both)
+    assert len(both.parts) > 4 and len(learner.word) == len(set(zip(numbers, words.pairs(numbers, bounds)))) < len(numbers)
+    used = np.unique(np.concatenate([words.features, words.pairs(numbers, bounds)]))
+    met = np.random.default_rng(17).permutation(used)[: len(used) // 2]
+    weights[met] = np.arange(len(met)) % 7 / 8 - 0.375  # sums of these are exact
+    learner.meet(met[:50], 1)
+    learner.meet(met[50:], 51)
+    worst, block = both.worst(weights)
+    assert all(np.array_equal(x, y) for x, y in zip(learner.worst(np.append(0.0, weights[met])), (worst, block)))
+    own = [weights[words.of(numbers[i : i + 1])[0]].sum() + weights[p] for i, p in enumerate(words.pairs(numbers, bounds))]
+    step, most = abuse.BLOCK, abuse.BLOCK * abuse.STRETCH
+    brute = [[sum(own[i : min(i + most, hi)]) for i in range(lo, hi, step)] for lo, hi in zip(bounds, bounds[1:]) if hi > lo]
+    assert np.array_equal(worst, [max(x) for x in brute])
+    assert np.array_equal(block, [x.index(max(x)) + sum(len(y) + abuse.STRETCH for y in brute[:i]) for i, x in enumerate(brute)])
