@@ -55,7 +55,7 @@ MEMBERS, CONFIRMED_ROWS, HELD, MEMBER_ROWS, OPEN_ROWS, FIT_CHARS = 2, 5000, 5, 2
 #: The sample is drawn from blocks of so many ids where ids are numbers, and at most so many blocks are sought by their ids in the scan.
 IDS, SOUGHT = 10_000, 100
 EPOCHS, RATE = 30, 0.005
-#: Words after which a pack of texts is full; confirmed texts that a pack is learnt with, if there are as many; the most confirmed keys, and confirmed texts, that are broadcast; partitions that sums are made in; scores are counted by this many decimals.
+#: Words after which a pack of texts is full; confirmed texts that a pack is learnt with, if there are as many; the most confirmed keys, and confirmed texts, that are broadcast at once; partitions that sums are made in; scores are counted by this many decimals.
 PACK_WORDS, PACK_CONFIRMED, KEYS_SENT, TEXTS_SENT, SUM_PARTS, DECIMALS = 700_000, 1_000, 2_000_000, 10_000, 8, 3
 #: Slots of words that are scored at once, a text at least; blocks of a group, of which the best is sought first.
 SLOTS, GROUP = 1 << 16, 32
@@ -662,7 +662,21 @@ def _learnt(packs: DataFrame, confirmed: DataFrame, start: dict[int, tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([texts]), pa.array([values.tobytes()], pa.binary())], names=["fold", "texts", "values"])
 
     learnt = with_.select("fold", "texts", *_CELLS, *[f"p_{c}" for c in _CELLS]).mapInArrow(run, "fold int, texts bigint, values binary")
-    return _summed(written(learnt, "learnt"), np.float64)
+    sums = _summed(kept := written(learnt, "learnt"), np.float64)
+    dropped(kept)
+    return sums
+
+
+def _turns(groups: pd.DataFrame) -> list[pd.DataFrame]:
+    """Rows of fold, grp, texts, file in turns of at most TEXTS_SENT texts, or one group."""
+    out, held = [[]], 0
+    for row in groups.sort_values(["fold", "grp"]).itertuples(index=False):
+        if out[-1] and held + row.texts > TEXTS_SENT:
+            out.append([])
+            held = 0
+        out[-1].append(row)
+        held += row.texts
+    return [pd.DataFrame(rows, columns=groups.columns) for rows in out]
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), epochs: int = EPOCHS) -> tuple[Model | None, DataFrame | None]:
@@ -680,7 +694,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = spread(documents.select(F.struct(key, *keep).alias("kept"), F.col(key).alias("_key"), F.col(text).alias("_text")))
     packs = written(_packed(rows.select(fold("_key"), F.lit(-1).alias("grp"), "kept", F.col("_text").cast("string"))), "packs", 1)
     texts = written(texts.select("_key", fold("_key"), words_of(F.col("_text")).alias("words")), "confirmed")
-    ids = packs.select("fold", "pack").toPandas().sort_values(["fold", "pack"])  # a row for some MB of texts
+    ids = packs.select("fold", "pack", F.input_file_name().alias("file")).toPandas().sort_values(["fold", "pack"])  # a row for some MB of texts
     have = {r["fold"]: r["count"] for r in texts.groupBy("fold").count().collect()}
     groups = {m: max(1, min(int((ids["fold"] == m).sum()), -(-have.get(m, 0) // PACK_CONFIRMED))) for m in range(MEMBERS)}
     of = F.pmod(F.xxhash64("_key", F.lit(2)), F.array(*[F.lit(groups[m]) for m in range(MEMBERS)])[F.col("fold")]).cast("int").alias("grp")
@@ -692,9 +706,20 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     scores = judged({m: w for m, (w, _) in start.items()}, dict.fromkeys(start, 0.0))
     prior, bias = class_prior(*scores), -threshold(*scores)
 
-    at = [(int(p), int(i % groups[f])) for f, p, i in zip(ids["fold"], ids["pack"], ids.groupby("fold").cumcount())]
-    pairs = packs.drop("grp").join(F.broadcast(packs.sparkSession.createDataFrame(at, "pack bigint, grp int")), "pack")
-    learnt = _learnt(pairs, F.broadcast(confirmed) if sum(have.values()) <= TEXTS_SENT else confirmed, start, bias, prior, epochs)
+    ids["grp"] = ids.groupby("fold").cumcount() % ids["fold"].map(groups)
+    learnt: dict[int, tuple[int, np.ndarray]] = {}
+    turns = _turns(confirmed.select("fold", "grp", "texts", F.input_file_name().alias("file")).toPandas())
+    for k, turn in enumerate(turns):  # packs stay where they are, their confirmed texts are sent to them
+        now = set(zip(turn["fold"], turn["grp"]))
+        own = ids[[(f, g) in now or (k == 0 and not have.get(f)) for f, g in zip(ids["fold"], ids["grp"])]]
+        if not len(own):
+            continue
+        read = packs.sparkSession.read.schema
+        some, sent = (packs, confirmed) if len(turns) == 1 else (read(packs.schema).parquet(*own["file"]), read(confirmed.schema).parquet(*turn["file"]))
+        at = packs.sparkSession.createDataFrame([(int(p), int(g)) for p, g in zip(own["pack"], own["grp"])], "pack bigint, grp int")
+        for m, (n, values) in _learnt(some.drop("grp").join(F.broadcast(at), "pack"), F.broadcast(sent), start, bias, prior, epochs).items():
+            known = learnt.get(m, (0, 0.0))
+            learnt[m] = known[0] + n, known[1] + values
     member = {m: learnt[m][1] / learnt[m][0] if learnt.get(m, (0,))[0] else np.append(start[m][0], bias) for m in range(MEMBERS)}
     scores = judged({m: x[:-1] for m, x in member.items()}, {m: float(x[-1]) for m, x in member.items()})
     dropped(texts, confirmed)

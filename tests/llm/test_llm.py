@@ -287,3 +287,20 @@ def test_words_are_weighed_once(monkeypatch):
     brute = [[sum(own[i : min(i + most, hi)]) for i in range(lo, hi, step)] for lo, hi in zip(bounds, bounds[1:]) if hi > lo]
     assert np.array_equal(worst, [max(x) for x in brute])
     assert np.array_equal(block, [x.index(max(x)) + sum(len(y) + abuse.STRETCH for y in brute[:i]) for i, x in enumerate(brute)])
+
+
+def test_confirmed_texts_are_sent_in_turns(spark, monkeypatch):
+    """p8: more confirmed texts than are sent at once come to the packs in turns, and no pack is shuffled; what is learnt is the same."""
+    monkeypatch.setattr(abuse, "PACK_CONFIRMED", 15)
+    r = random.Random(18)
+    plain = "the loader reads a frame and kills the worker process when the packet is stale".split()
+    docs = [(i, " ".join(r.choice(plain) for _ in range(30)) + (" you idiot" if i % 8 == 0 else "")) for i in range(800)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6).cache()
+    lab = spark.createDataFrame([(i, "a", int(i % 8 == 0)) for i in range(700)], "doc_id bigint, rater string, offends int")
+    whole = abuse.fit(d, lab)[0]
+    sent, learnt = [], abuse._learnt
+    monkeypatch.setattr(abuse, "_learnt", lambda packs, confirmed, *rest: sent.append((confirmed.agg(F.sum("texts")).first()[0], packs.agg(F.sum("texts")).first()[0])) or learnt(packs, confirmed, *rest))
+    monkeypatch.setattr(abuse, "TEXTS_SENT", 40)
+    turns = abuse.fit(d, lab)[0]
+    assert len(sent) > 1 and max(n for n, _ in sent) <= 40 and sum(n for n, _ in sent) == 88 and sum(n for _, n in sent) == 800
+    assert np.array_equal(turns.at, whole.at) and np.allclose(turns.value, whole.value, atol=1e-9) and abs(turns.threshold - whole.threshold) < 1e-9
